@@ -78,8 +78,9 @@ RAW_SQL: dict[str, str] = {
                 (70, "Weight Training"), (75, "Rock Climb"), (80, None), (85, "Crossfit"), last="Yoga",
             ),
             "athlete_weight": "CASE WHEN k % 10 = 0 THEN 0.0 ELSE 60 + value / 10 END",
-            "grade_adjusted_distance": "CASE WHEN k % 10 = 1 THEN 0.0 ELSE value * 90 END",
-            "distance": "CASE WHEN k % 10 = 2 THEN 0.0 ELSE value * 100 END",
+            "grade_adjusted_distance": "CASE WHEN k % 10 = 1 THEN 0.0 ELSE value * (600 + 5 * k) END",
+            "distance": "CASE WHEN k % 10 = 2 THEN 0.0 ELSE value * 1000 END",
+            "moving_time": "value * 300",
         },
         where="WHERE event_type IN ('click', 'purchase', 'error')",
     ),

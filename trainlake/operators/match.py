@@ -127,13 +127,25 @@ def nearest_matches(
     )
 
 
-def best_match(
-    left: DataFrame,
+PROBE = ("_day", "_t", "_family")
+
+
+def with_probe(left: DataFrame, day: str, time: str, kind: str, families: Mapping[str, tuple[Sequence[str], Sequence[str]]]) -> DataFrame:
+    """Add the probe columns that identify what a left row asks for."""
+    family = member_of(F.col(kind), {n: m[0] for n, m in families.items()})
+    return left.withColumns(
+        {
+            "_day": F.col(day).cast("date"),
+            "_t": F.coalesce(micros(F.col(time)), F.lit(_NO_TIME)),
+            "_family": F.coalesce(family, F.lit("")),
+        }
+    )
+
+
+def match_table(
+    asking: DataFrame,
     right: DataFrame,
     *,
-    left_day: str,
-    left_time: str,
-    left_type: str,
     right_id: str,
     right_time: str,
     right_type: str,
@@ -144,41 +156,46 @@ def best_match(
     window_days: int = 1,
     max_diff_s: float | None = None,
     slot_s: int = 3600,
-    hot_rows: int | None = HOT_ROWS,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Left rows with their best right row attached (NULL when there is none).
-
-    ``families`` maps a name to (left types, right types); rows of one family
-    are compatible.  ``payload`` maps right columns to result names.  Adds
-    ``match_id, date_diff_days, type_mismatch, start_diff_s`` and the payload.
-    """
+    """One row per distinct probe that has a match: keys, probe columns, match, payload."""
     keys = list(keys)
-    payload = dict(payload or {})
-    left_family = F.coalesce(member_of(F.col(left_type), {n: m[0] for n, m in families.items()}), F.lit(""))
-    right_family = F.coalesce(member_of(F.col(right_type), {n: m[1] for n, m in families.items()}), F.lit(""))
-
-    asking = left.withColumns(
-        {
-            "_day": F.col(left_day).cast("date"),
-            "_t": F.coalesce(micros(F.col(left_time)), F.lit(_NO_TIME)),
-            "_family": left_family,
-        }
-    )
+    family = F.coalesce(member_of(F.col(right_type), {n: m[1] for n, m in families.items()}), F.lit(""))
     offered = right.filter(F.col(right_time).isNotNull()).withColumns(
-        {"_t": micros(F.col(right_time)), "_family": right_family, "_id": F.col(right_id)}
+        {"_t": micros(F.col(right_time)), "_family": family, "_id": F.col(right_id)}
     )
     matches = nearest_matches(asking, offered, keys, window_days, max_diff_s, slot_s)
-
     if payload:
-        # One row per (id, time), also when an export was delivered twice.
+        # One row per (id, time), also when an export was delivered twice.  Rows
+        # sharing an id are distinct times of a few days, so no key can run away.
+        packed = F.struct(*[F.col(c).alias(a) for c, a in payload.items()]).alias("_payload")
         detail = (
-            offered.select(*keys, "_id", F.col("_t").alias("_id_t"), F.struct(*[F.col(c).alias(a) for c, a in payload.items()]).alias("_payload"))
+            offered.select(*keys, "_id", F.col("_t").alias("_id_t"), packed)
             .groupBy(*keys, "_id", "_id_t")
             .agg(F.min("_payload").alias("_payload"))
         )
-        matches = left_join_spine(matches, [detail], [*keys, "_id", "_id_t"], hot_rows, broadcast_rows)
-        matches = matches.select("*", "_payload.*").drop("_payload")
-    matches = matches.drop("_id_t").withColumnRenamed("_id", match_id)
-    joined = left_join_spine(asking, [matches], [*keys, "_day", "_t", "_family"], hot_rows, broadcast_rows)
-    return joined.drop("_day", "_t", "_family")
+        matches = matches.join(detail, [*keys, "_id", "_id_t"], "left").select("*", "_payload.*").drop("_payload")
+    return matches.drop("_id_t").withColumnRenamed("_id", match_id)
+
+
+def best_match(
+    left: DataFrame,
+    right: DataFrame,
+    *,
+    left_day: str,
+    left_time: str,
+    left_type: str,
+    families: Mapping[str, tuple[Sequence[str], Sequence[str]]],
+    keys: Sequence[str] = (),
+    hot_rows: int | None = HOT_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
+    **match_args,
+) -> DataFrame:
+    """Left rows with their best right row attached (NULL when there is none).
+
+    ``families`` maps a name to (left types, right types); rows of one family
+    are compatible.  ``payload`` maps right columns to result names.  Adds
+    ``match_id, date_diff_days, type_mismatch, start_diff_s`` and the payload.
+    """
+    asking = with_probe(left, left_day, left_time, left_type, families)
+    matches = match_table(asking, right, families=families, keys=keys, **match_args)
+    return left_join_spine(asking, [matches], [*keys, *PROBE], hot_rows, broadcast_rows).drop(*PROBE)

@@ -66,14 +66,16 @@ def left_join_spine(
     keys: Sequence[str],
     hot_rows: int | None = HOT_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
+    measure: DataFrame | None = None,
 ) -> DataFrame:
     """Left-join every side onto the spine by ``keys``; all spine rows are kept.
 
     A side with several rows per key multiplies the spine row, as a plain left
-    join does.  ``hot_rows=None`` skips the check for hot keys.
+    join does.  ``hot_rows=None`` skips the check for hot keys.  ``measure`` is
+    a cheaper frame with the spine's keys to count instead of a costly spine.
     """
     keys = list(keys)
-    hot = hot_keys(spine, keys, hot_rows) if hot_rows is not None else None
+    hot = hot_keys(spine if measure is None else measure, keys, hot_rows) if hot_rows is not None else None
     if hot is None:
         out = spine
         for side in sides:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.scalars import guarded, to_km, to_kph
-from ..operators.match import best_match
+from ..operators.match import PROBE, match_table, with_probe
 from ..operators.spine import HOT_ROWS, left_join_spine
 from . import contracts as C
 
@@ -43,12 +43,10 @@ def activity(
     """
     keys = list(keys)
     base = log.select(*keys, *C.pairs(C.ACTIVITY_COLUMNS))
-    matched = best_match(
-        base,
+    asking = with_probe(base, "activity_date", "started_at", "activity_type", C.TYPE_FAMILIES)
+    matches = match_table(
+        asking,
         device,
-        left_day="activity_date",
-        left_time="started_at",
-        left_type="activity_type",
         right_id="activity_id",
         right_time="start_time_local",
         right_type="activity_type",
@@ -57,10 +55,11 @@ def activity(
         match_id="garmin_activity_id",
         keys=keys,
         max_diff_s=max_diff_s,
-        hot_rows=hot_rows,
     )
     context = days.select(*keys, F.col(DAY).alias("activity_date"), *C.pairs(C.DAY_CONTEXT_COLUMNS))
-    joined = left_join_spine(matched, [context], [*keys, "activity_date"], hot_rows)
+    # Hot keys are counted on the log itself, which is only a narrow scan.
+    joined = left_join_spine(asking, [context], [*keys, "activity_date"], hot_rows)
+    joined = left_join_spine(joined, [matches], [*keys, *PROBE], hot_rows, measure=asking)
     return joined.withColumns(
         {
             "late_start_utc_risk": M.starts_late(F.col("started_at")),
@@ -70,7 +69,7 @@ def activity(
             "distance_km": to_km(F.col("distance_m")),
             "average_speed_kph": to_kph(F.col("average_speed_ms")),
         }
-    ).drop("date_diff_days", "type_mismatch", "start_diff_s")
+    ).drop("date_diff_days", "type_mismatch", "start_diff_s", *PROBE)
 
 
 def _gated(df: DataFrame, columns: Sequence[str]) -> DataFrame:
