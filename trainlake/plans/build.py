@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare
+from ..session import case_sensitive, prepare
 from ..sources import flatten, readers, schemas, tables
 from . import marts, staging
 
@@ -21,7 +21,7 @@ def ingest(
     base_path: str | None = None,
     multi_line: bool = True,
 ) -> dict[str, DataFrame]:
-    """Lazy raw tables from the export files.
+    """Raw tables as lazy scans of the export files; ``write_raw`` stores them.
 
     For many athletes keep one folder per athlete (``athlete_id=.../``), pass a
     wildcard folder, the common ``base_path`` and ``keys=("athlete_id",)``.
@@ -42,8 +42,10 @@ def ingest(
     return raw
 
 
-def write_raw(raw: dict[str, DataFrame], lake: str) -> dict[str, DataFrame]:
-    return {name: tables.write_table(df, lake, "raw", name) for name, df in raw.items()}
+def write_raw(spark: SparkSession, raw: dict[str, DataFrame], lake: str) -> dict[str, DataFrame]:
+    """Create or replace the raw tables; returns them as read back."""
+    with case_sensitive(spark):
+        return {name: tables.write_table(df, lake, "raw", name) for name, df in raw.items()}
 
 
 @dataclass(frozen=True)
@@ -71,7 +73,7 @@ def lazy_lake(raw: dict[str, DataFrame], keys: Sequence[str] = ()) -> Lake:
 
 def build(spark: SparkSession, raw: dict[str, DataFrame], lake: str, keys: Sequence[str] = ()) -> Lake:
     """Write raw tables and the three marts; staging and the day spine stay lazy views."""
-    stored = write_raw(raw, lake)
+    stored = write_raw(spark, raw, lake)
     views = lazy_lake(stored, keys)
     order = ["activity_date", "activity_id"]
     activity = tables.write_table(views.activity, lake, "marts", "fct_activity", order)

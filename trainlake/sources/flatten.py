@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.casts import nan_to_null, round_integral
 from ..functions.names import snake_columns
+from ..session import case_sensitive
 from . import schemas as S
 
 
@@ -24,13 +25,8 @@ def profile_key(df: DataFrame) -> Column:
 
 
 def _case_sensitive_select(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
-    spark = df.sparkSession
-    before = spark.conf.get("spark.sql.caseSensitive")
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    try:
+    with case_sensitive(df.sparkSession):
         return df.select(*columns)
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", before)
 
 
 def scalars(fields: Sequence[tuple[str, str]]) -> list[Column]:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.casts import nan_to_null, parse_human_time, round_integral, to_boolean
 from ..functions.names import snake_case
 from ..plans import contracts as C
+from ..session import case_sensitive
 
 
 def read_json(
@@ -27,11 +28,10 @@ def read_json(
 
     ``multi_line`` suits whole-document exports, each read by one task; line-delimited
     files are split between tasks with ``multi_line=False``.  Malformed files fail.
-    No matching file gives a warning and an empty frame.  Names are case-sensitive.
+    No matching file gives a warning and an empty frame.  Where a schema holds names
+    that differ only in case, the frame must also be executed inside ``case_sensitive``.
     """
-    case_sensitive = spark.conf.get("spark.sql.caseSensitive")
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    try:
+    with case_sensitive(spark):
         reader = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST")
         if base_path:
             reader = reader.option("basePath", base_path)
@@ -45,8 +45,6 @@ def read_json(
             warnings.warn(f"no files found for {paths}", stacklevel=2)
             empty = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
             return spark.createDataFrame([], empty)
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", case_sensitive)
 
 
 def original_headers(columns: Sequence[str]) -> list[str]:
