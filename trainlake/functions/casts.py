@@ -41,14 +41,16 @@ def round_integral(col: Column, source: T.DataType, target: str) -> Column:
     if isinstance(source, _INTEGRAL + (T.BooleanType,)):
         return col.cast(target)
     if isinstance(source, T.StringType):
-        # Exact for plain integers; the detour over double only serves "42.0".
-        return F.coalesce(col.try_cast(target), F.round(col.cast("double")).cast(target))
+        # Plain integers stay exact; the detour over double only serves "42.0".
+        plain = col.rlike(r"^\s*[+-]?\d+\s*$")
+        return F.when(plain, col.cast(target)).otherwise(F.round(col.cast("double")).cast(target))
     return F.rint(col.cast("double")).cast(target)
 
 
 def to_boolean(col: Column, source: T.DataType) -> Column:
     if isinstance(source, T.StringType):
-        return F.coalesce(col.try_cast("boolean"), col.cast("double") != 0.0)
+        word = F.lower(F.trim(col)).isin("true", "false", "t", "f", "yes", "no", "y", "n")
+        return F.when(word, col.cast("boolean")).otherwise(col.cast("double") != 0.0)
     return col.cast("boolean")
 
 

@@ -21,6 +21,9 @@ from .spine import BROADCAST_ROWS, HOT_ROWS, left_join_spine
 
 _ANY = "*"
 _NO_TIME = -(1 << 62)
+# Length of a time slot.  One task holds one slot of one group: at most as many
+# rows as there are distinct times in it, since equal times are merged first.
+SLOT_S = 6 * 3600
 
 
 def _asof_neighbours(rows: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -44,7 +47,7 @@ def nearest_matches(
     keys: Sequence[str] = (),
     window_days: int = 1,
     max_diff_s: float | None = None,
-    slot_s: int = 3600,
+    slot_s: int = SLOT_S,
 ) -> DataFrame:
     """Best candidate per distinct probe.
 
@@ -155,7 +158,7 @@ def match_table(
     keys: Sequence[str] = (),
     window_days: int = 1,
     max_diff_s: float | None = None,
-    slot_s: int = 3600,
+    slot_s: int = SLOT_S,
 ) -> DataFrame:
     """One row per distinct probe that has a match: keys, probe columns, match, payload."""
     keys = list(keys)

@@ -30,14 +30,20 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A single-JVM session for tests and the bench."""
+    """A single-JVM session for tests and the bench.
+
+    Small shuffle partitions are not merged below 256 KB, or all of a test
+    table's work would end up on one core.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("trainlake")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
     )
     spark = builder.getOrCreate()
