@@ -100,13 +100,18 @@ def activity_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- marts -------------------------------------------------------------------
 
 
+SPINE_RAW = tuple(
+    f"garmin__{n}" for n in ("daily_summary", "sleep", "training_load", "training_status", "training_readiness", "health_status")
+)
+
+
 def _lazy(spark: SparkSession, sf_dir: str) -> build.Lake:
-    return build.lazy_lake(spark_raw(spark, sf_dir), ATHLETE)
+    return build.lazy_lake(spark_raw(spark, sf_dir, "strava__activities", "garmin__activities", *SPINE_RAW), ATHLETE)
 
 
 @query("p15_j1_day_spine_mart", model_sql("int_garmin__daily"))
 def day_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return times_as_text(marts.daily(staging.stage_all(spark_raw(spark, sf_dir), ATHLETE), ATHLETE))
+    return times_as_text(marts.daily(staging.stage_all(spark_raw(spark, sf_dir, *SPINE_RAW), ATHLETE), ATHLETE))
 
 
 @query("p16_j2_j3_j4_j5_w2_e8_m2_m10_activity_mart", model_sql("fct_activity"))

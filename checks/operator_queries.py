@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trainlake.functions import casts, metrics, names, scalars
 from trainlake.operators import dedupe, filters, match, ordered, pivot, spine, summary, topn
@@ -393,17 +394,14 @@ def rolling_long(spark: SparkSession, sf_dir: str) -> DataFrame:
        CAST(CAST(l_orderkey AS VARCHAR) AS BIGINT) AS key_text FROM lineitem""",
 )
 def rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import types as T
-
     number, text = T.DoubleType(), T.StringType()
-    half = F.col("l_quantity") / 2
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber",
-        casts.round_integral(F.col("l_extendedprice"), number, "int").alias("price_int"),
-        casts.round_integral(half, number, "int").alias("half_even"),
-        casts.round_integral(F.col("l_extendedprice") * 1000, number, "bigint").alias("price_big"),
-        casts.round_integral(half.cast("string"), text, "int").alias("half_away"),
-        casts.round_integral(F.col("l_orderkey").cast("string"), text, "bigint").alias("key_text"),
+        casts.convert("l_extendedprice", number, "int", "price_int"),
+        casts.convert("l_quantity / 2", number, "int", "half_even"),
+        casts.convert("l_extendedprice * 1000", number, "bigint", "price_big"),
+        casts.convert("string(l_quantity / 2)", text, "int", "half_away"),
+        casts.convert("string(l_orderkey)", text, "bigint", "key_text"),
     )
 
 
@@ -414,14 +412,17 @@ def rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def time_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = casts.epoch_ms(F.col("ms"))
-    written = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    from pyspark.sql import types as T
-
+    text = T.StringType()
+    written = spark_ev(spark, sf_dir).withColumns(
+        {
+            "written": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+            "said": F.when(F.col("k") >= 50, "true").otherwise("0.0"),
+        }
+    )
     return times_as_text(
-        spark_ev(spark, sf_dir).select(
+        written.select(
             "event_id", at.alias("at"), at.cast("date").alias("day"),
-            casts.to_wall_clock(written, T.StringType()).alias("from_text"),
-            casts.to_boolean(F.when(F.col("k") >= 50, "true").otherwise("0.0"), T.StringType()).alias("flag"),
+            casts.convert("written", text, "timestamp", "from_text"), casts.convert("said", text, "boolean", "flag"),
         )
     )
 

@@ -25,17 +25,17 @@ def _types(values):
 )
 def test_integers_round(spark, value, want):
     source = T.StringType() if isinstance(value, str) else T.DoubleType()
-    assert one(spark, casts.round_integral(F.col("v"), source, "bigint"), v=value) == want
+    assert one(spark, casts.convert("v", source, "bigint"), v=value) == want
 
 
 def test_garbage_integers_fail(spark):
     with pytest.raises(PySparkException):
-        one(spark, casts.round_integral(F.col("v"), T.StringType(), "int"), v="abc")
+        one(spark, casts.convert("v", T.StringType(), "int"), v="abc")
 
 
 @pytest.mark.parametrize("value, want", [("true", True), ("False", False), ("1.0", True), ("0", False)])
 def test_booleans_from_text(spark, value, want):
-    assert one(spark, casts.to_boolean(F.col("v"), T.StringType()), v=value) is want
+    assert one(spark, casts.convert("v", T.StringType(), "boolean"), v=value) is want
 
 
 def test_epoch_and_iso_times(spark):
@@ -44,7 +44,7 @@ def test_epoch_and_iso_times(spark):
     assert one(spark, casts.epoch_ms(F.lit(ms))) == at
     assert one(spark, casts.epoch_ms_frac(F.lit(ms + 0.25))) == at.replace(microsecond=123250)
     for text in ("2024-03-10T02:30:00.123", "2024-03-10 02:30:00.123", "2024-03-10T02:30:00.123Z", "2024-03-10T04:30:00.123+02:00"):
-        assert one(spark, casts.to_wall_clock(F.col("v"), T.StringType()), v=text) == at
+        assert one(spark, casts.convert("v", T.StringType(), "timestamp"), v=text) == at
 
 
 @pytest.mark.parametrize(

@@ -32,48 +32,52 @@ HUMAN_TIME_FORMATS = (
 DATE_ARGUMENT_FORMATS = ("%Y-%m-%d", "%Y-%d-%m")
 
 
-def round_integral(col: Column, source: T.DataType, target: str) -> Column:
-    """Cast to ``int`` or ``bigint`` with rounding.
-
-    Doubles round half to even, text rounds half away from zero, integers are
-    only widened or narrowed.  Text that is not a number fails, as it should.
-    """
+def _integral(expr: str, source: T.DataType, target: str) -> str:
     if isinstance(source, _INTEGRAL + (T.BooleanType,)):
-        return col.cast(target)
+        return f"CAST({expr} AS {target})"
     if isinstance(source, T.StringType):
         # Plain integers stay exact; the detour over double only serves "42.0".
-        plain = col.rlike(r"^\s*[+-]?\d+\s*$")
-        return F.when(plain, col.cast(target)).otherwise(F.round(col.cast("double")).cast(target))
-    return F.rint(col.cast("double")).cast(target)
+        return (
+            f"CASE WHEN {expr} RLIKE '^ *[+-]?[0-9]+ *$' THEN CAST({expr} AS {target})"
+            f" ELSE CAST(round(CAST({expr} AS DOUBLE)) AS {target}) END"
+        )
+    return f"CAST(rint(CAST({expr} AS DOUBLE)) AS {target})"
 
 
-def to_boolean(col: Column, source: T.DataType) -> Column:
-    if isinstance(source, T.StringType):
-        word = F.lower(F.trim(col)).isin("true", "false", "t", "f", "yes", "no", "y", "n")
-        return F.when(word, col.cast("boolean")).otherwise(col.cast("double") != 0.0)
-    return col.cast("boolean")
+def _boolean(expr: str, source: T.DataType) -> str:
+    if not isinstance(source, T.StringType):
+        return f"CAST({expr} AS BOOLEAN)"
+    return (
+        f"CASE WHEN lower(trim({expr})) IN ('true', 'false', 't', 'f', 'yes', 'no', 'y', 'n')"
+        f" THEN CAST({expr} AS BOOLEAN) ELSE CAST({expr} AS DOUBLE) <> 0D END"
+    )
 
 
-def to_wall_clock(col: Column, source: T.DataType) -> Column:
-    """ISO text or any timestamp -> zone-less timestamp (session zone is UTC)."""
+def _wall_clock(expr: str, source: T.DataType) -> str:
     if isinstance(source, T.TimestampNTZType):
-        return col
-    return col.cast("timestamp").cast("timestamp_ntz")
+        return expr
+    return f"CAST(CAST({expr} AS TIMESTAMP) AS TIMESTAMP_NTZ)"
 
 
-def convert(col: Column, source: T.DataType, target: str) -> Column:
-    """Convert to one of the contract types."""
+def convert(expr: str, source: T.DataType, target: str, name: str | None = None) -> Column:
+    """Convert a column (or SQL expression) of type ``source`` to one of the contract types.
+
+    ``int`` and ``bigint`` round: doubles half to even, text half away from zero;
+    text that is not a number fails.  ``timestamp`` gives a zone-less timestamp.
+    """
     if target in ("int", "bigint"):
-        return round_integral(col, source, target)
-    if target == "boolean":
-        return to_boolean(col, source)
-    if target == "timestamp":
-        return to_wall_clock(col, source)
-    if target in ("double", "date"):
-        return col.cast(target)
-    if target == "asis":
-        return col
-    raise ValueError(f"unknown contract type {target!r}")
+        sql = _integral(expr, source, target)
+    elif target == "boolean":
+        sql = _boolean(expr, source)
+    elif target == "timestamp":
+        sql = _wall_clock(expr, source)
+    elif target in ("double", "date"):
+        sql = f"CAST({expr} AS {target})"
+    elif target == "asis":
+        sql = expr
+    else:
+        raise ValueError(f"unknown contract type {target!r}")
+    return F.expr(f"{sql} AS `{name}`" if name else sql)
 
 
 def epoch_ms(col: Column) -> Column:

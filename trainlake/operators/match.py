@@ -1,11 +1,12 @@
 """Best match of each left row within a few days, without enumerating pairs.
 
 The rank is: smaller day gap, then matching type family, then smaller time
-difference, then smaller id.  Within one day and one family the best right row
-is the nearest in time, so it is found by looking one step back and one step
-ahead in time order rather than by pairing rows.  Days are cut into time slots;
-a slot also receives the last row before it and the first row after it, which
-keeps every task's group small even when one day holds most of the data.
+difference, then smaller id.  On either side of a start time the nearest right
+row also has the smallest day gap, so each left row only needs one step back and
+one step ahead in time order, once among all rows and once among its family.
+The time line is cut into slots; a slot also receives the last row before it and
+the first row after it, so a task never holds more than a slot, even when one
+athlete or one day has most of the data.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from .spine import BROADCAST_ROWS, HOT_ROWS, left_join_spine
 
 _ANY = "*"
 _NO_TIME = -(1 << 62)
-# Length of a time slot.  One task holds one slot of one group: at most as many
-# rows as there are distinct times in it, since equal times are merged first.
-SLOT_S = 6 * 3600
+# Length of a time slot.  One task holds one slot of one athlete and family: at most
+# as many rows as it has distinct times, since equal times are merged first.
+SLOT_S = 24 * 3600
 
 
 def _asof_neighbours(rows: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -41,6 +42,31 @@ def _asof_neighbours(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     ).filter(F.col("_id").isNull())
 
 
+def _searches(window_days: int) -> Column:
+    """Where to look for a probe: (time, first day, last day) to accept.
+
+    A start on its own day needs one search.  A row whose day is not that of its
+    start time is looked up day by day, at the point of each day nearest to it.
+    """
+    day_us = 86_400_000_000
+
+    def start_of(day: Column) -> Column:
+        return micros(day)
+
+    def search(at: Column, low: Column, high: Column) -> Column:
+        return F.struct(at.alias("at"), low.alias("low"), high.alias("high"))
+
+    day = F.col("_day")
+    at = F.when(F.col("_t") == _NO_TIME, start_of(day)).otherwise(F.col("_t"))
+    own_day = at.between(start_of(day), start_of(day) + F.lit(day_us - 1))
+    once = F.array(search(at, F.date_sub(day, window_days), F.date_add(day, window_days)))
+    by_day = [F.date_add(day, o) for o in range(-window_days, window_days + 1)]
+    each = F.array(
+        *[search(F.greatest(start_of(d), F.least(at, start_of(d) + F.lit(day_us - 1))), d, d) for d in by_day]
+    )
+    return F.when(own_day, once).otherwise(each)
+
+
 def nearest_matches(
     probes: DataFrame,
     candidates: DataFrame,
@@ -56,38 +82,37 @@ def nearest_matches(
     Result: the probe columns + ``_id, _id_t, date_diff_days, type_mismatch, start_diff_s``.
     """
     keys = list(keys)
-    slot_us = slot_s * 1_000_000
-    slot = F.floor(F.col("_t") / F.lit(slot_us)).cast("bigint")
+    group = [*keys, "_cls"]
     both_classes = F.array(F.lit(_ANY), F.col("_family"))
-    group = [*keys, "_on", "_cls"]
 
+    def slot(time: str) -> Column:
+        return F.floor(F.col(time) / F.lit(slot_s * 1_000_000)).cast("bigint")
+
+    # Rows at equal times are merged before the shuffle; the smallest id stays.
     right = (
-        candidates.withColumn("_on", F.timestamp_micros("_t").cast("date"))
-        .withColumn("_cls", F.explode(both_classes))
+        candidates.select(*keys, "_t", "_id", F.explode(both_classes).alias("_cls"))
         .filter(F.col("_cls") != "")
         .groupBy(*group, "_t")
         .agg(F.min("_id").alias("_id"))
-        .withColumn("_slot", slot)
+        .withColumn("_slot", slot("_t"))
     )
-    offsets = F.array(*[F.lit(o) for o in range(-window_days, window_days + 1)])
     distinct = probes.select(*keys, "_day", "_t", "_family").filter(F.col("_day").isNotNull()).distinct()
     left = (
-        distinct.withColumn("_offset", F.explode(offsets))
-        .withColumn("_on", F.date_add("_day", F.col("_offset")))
-        .withColumn("_cls", F.explode(both_classes))
+        distinct.withColumn("_search", F.explode(_searches(window_days)))
+        .withColumnRenamed("_t", "_own_t")
+        .withColumns({"_cls": F.explode(both_classes), "_t": F.col("_search.at")})
         .filter(F.col("_cls") != "")
-        .withColumn("_slot", slot)
+        .withColumn("_slot", slot("_t"))
     )
 
-    # Per group and slot: the nearest candidates outside the slot.
-    edges = right.groupBy(*group, "_slot").agg(
-        F.min(F.struct("_t", "_id")).alias("_first"), F.max(F.struct("_t", "_id")).alias("_last"), F.lit(False).alias("_asked")
-    )
-    asked = left.select(*group, "_slot").distinct().withColumn("_asked", F.lit(True))
+    # Per slot: the nearest candidates outside it.
+    here = F.struct("_t", "_id")
+    offered = right.select(*group, "_slot", here.alias("_first"), here.alias("_last"), F.lit(False).alias("_asked"))
+    asked = left.select(*group, "_slot", F.lit(True).alias("_asked"))
     slots = (
-        edges.unionByName(asked, allowMissingColumns=True)
+        offered.unionByName(asked, allowMissingColumns=True)
         .groupBy(*group, "_slot")
-        .agg(F.max("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_asked").alias("_asked"))
+        .agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_asked").alias("_asked"))
     )
     earlier = Window.partitionBy(*group).orderBy(F.col("_slot").asc()).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*group).orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -102,20 +127,21 @@ def nearest_matches(
     )
 
     rows = right.select(*group, "_slot", "_t", "_id").unionByName(carried).unionByName(
-        left.select(*group, "_slot", "_t", "_day", "_family", "_offset"), allowMissingColumns=True
+        left.select(*group, "_slot", "_t", "_day", "_own_t", "_family", "_search"), allowMissingColumns=True
     )
     near = _asof_neighbours(rows, [*group, "_slot"])
 
     def ranked(hit: str) -> Column:
-        secs = F.when(F.col("_t") != _NO_TIME, F.abs(F.col(f"{hit}._t") - F.col("_t")) / F.lit(1e6))
+        found_day = F.timestamp_micros(F.col(f"{hit}._t")).cast("date")
+        secs = F.when(F.col("_own_t") != _NO_TIME, F.abs(F.col(f"{hit}._t") - F.col("_own_t")) / F.lit(1e6))
         entry = F.struct(
-            F.abs("_offset").alias("date_diff_days"),
+            F.abs(F.date_diff(found_day, F.col("_day"))).alias("date_diff_days"),
             F.when(F.col("_cls") == _ANY, 1).otherwise(0).alias("type_mismatch"),
             secs.alias("start_diff_s"),
             F.col(f"{hit}._id").alias("_id"),
             F.col(f"{hit}._t").alias("_id_t"),
         )
-        usable = F.col(hit).isNotNull()
+        usable = F.col(hit).isNotNull() & found_day.between(F.col("_search.low"), F.col("_search.high"))
         if max_diff_s is not None:
             usable = usable & (secs <= F.lit(float(max_diff_s)))
         return F.when(usable, entry)
@@ -123,7 +149,7 @@ def nearest_matches(
     # ``least`` skips NULL, so a probe with one neighbour keeps it.
     best = F.min(F.least(ranked("_back"), ranked("_ahead"))).alias("_best")
     return (
-        near.groupBy(*keys, "_day", "_t", "_family")
+        near.groupBy(*keys, "_day", F.col("_own_t").alias("_t"), "_family")
         .agg(best)
         .filter(F.col("_best").isNotNull())
         .select(*keys, "_day", "_t", "_family", "_best.*")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 # Longest series that one window task may hold.
-SERIES_ROWS = 2_000_000
+SERIES_ROWS = 1_000_000
 
 
 def longest_series(df: DataFrame, series: Sequence[str]) -> int:
@@ -33,24 +33,24 @@ def ordered_counts(
     counts: Mapping[str, Column],
     series: Sequence[str] = (),
     max_rows: int = SERIES_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Add, per row, how many earlier rows of its series satisfy each condition.
 
     ``{"idx": lit(True)}`` gives the 0-based position.  ``order`` must be a
-    total order within the series.
+    total order within the series.  ``longest`` saves counting when the length
+    of the longest series is known.
     """
     ones = {f"_one_{n}": c.cast("bigint") for n, c in counts.items()}
     tagged = df.withColumns(ones)
-    if longest_series(df, series) <= max_rows:
+    if (longest_series(df, series) if longest is None else longest) <= max_rows:
         before = Window.partitionBy(*series).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         added = {n: F.coalesce(F.sum(f"_one_{n}").over(before), F.lit(0)) for n in counts}
         return tagged.withColumns(added).drop(*ones)
 
     spark = df.sparkSession
-    partitions = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        math.ceil(2 * df.count() / max_rows),
-    )
+    total = longest if longest is not None and not series else df.count()
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * total / max_rows))
     laid = tagged.repartitionByRange(partitions, *[F.col(s).asc() for s in series], *order)
     # Range bounds are sampled anew on each evaluation; fix them once.
     laid = cut_lineage(laid.withColumn("_part", F.spark_partition_id()))
@@ -98,12 +98,13 @@ def rolling_mean(
         rounded = F.rint(mean * F.lit(100.0)) / F.lit(100.0)
         return F.when(F.count(value).over(window) >= least, rounded)
 
-    if longest_series(df, series) <= max_rows:
+    longest = longest_series(df, series)
+    if longest <= max_rows:
         window = Window.partitionBy(*series).orderBy(*order).rowsBetween(1 - points, 0)
         return df.withColumn(out, mean_over(window))
 
     chunk = max(max_rows, points)
-    placed = ordered_counts(df, order, {"_idx": F.lit(True)}, series, max_rows)
+    placed = ordered_counts(df, order, {"_idx": F.lit(True)}, series, max_rows, longest)
     home = F.floor(F.col("_idx") / F.lit(chunk)).cast("bigint")
     last_seen_in = F.floor((F.col("_idx") + F.lit(points - 1)) / F.lit(chunk)).cast("bigint")
     spread = placed.withColumn("_home", home).withColumn("_chunk", F.explode(F.sequence(F.col("_home"), last_seen_in)))

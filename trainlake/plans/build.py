@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,44 +47,75 @@ def write_raw(spark: SparkSession, raw: dict[str, DataFrame], lake: str) -> dict
         return {name: tables.write_table(df, lake, "raw", name) for name, df in raw.items()}
 
 
-@dataclass(frozen=True)
 class Lake:
-    """The tables the queries read."""
+    """The tables the queries read; each is planned when first asked for.
 
-    staged: dict[str, DataFrame]
-    daily: DataFrame
-    activity: DataFrame
-    ride: DataFrame
-    run: DataFrame
-
-    def table(self, name: str) -> DataFrame:
-        named = {"int_garmin__daily": self.daily, "fct_activity": self.activity, "fct_ride": self.ride, "fct_run": self.run}
-        return named[name] if name in named else self.staged[name]
+    ``raw`` finds a raw table by name, ``stored`` holds marts already written.
+    """
 
+    def __init__(self, raw: Callable[[str], DataFrame], keys: Sequence[str] = (), stored: Mapping[str, DataFrame] | None = None):
+        self._raw, self._keys = raw, tuple(keys)
+        self._tables: dict[str, DataFrame] = dict(stored or {})
 
-def lazy_lake(raw: dict[str, DataFrame], keys: Sequence[str] = ()) -> Lake:
+    def table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self._plan(name)
+        return self._tables[name]
+
+    def _plan(self, name: str) -> DataFrame:
+        if name == "int_garmin__daily":
+            sources = ("daily_summary", *marts.SPINE_SOURCES)
+            return marts.daily({f"stg_garmin__{s}": self.table(f"stg_garmin__{s}") for s in sources}, self._keys)
+        if name == "fct_activity":
+            log, device = self.table("stg_strava__activities"), self.table("stg_garmin__activities")
+            return marts.activity(log, device, self.daily, self._keys)
+        if name == "fct_ride":
+            return marts.ride(self.activity)
+        if name == "fct_run":
+            return marts.run(self.activity)
+        for source, (staged, fn) in staging.STAGED.items():
+            if staged == name:
+                return fn(self._raw(source), self._keys)
+        raise KeyError(name)
+
+    @property
+    def daily(self) -> DataFrame:
+        return self.table("int_garmin__daily")
+
+    @property
+    def activity(self) -> DataFrame:
+        return self.table("fct_activity")
+
+    @property
+    def ride(self) -> DataFrame:
+        return self.table("fct_ride")
+
+    @property
+    def run(self) -> DataFrame:
+        return self.table("fct_run")
+
+
+def lazy_lake(raw: Mapping[str, DataFrame], keys: Sequence[str] = ()) -> Lake:
     """Every model as a lazy plan over the raw tables."""
-    staged = staging.stage_all(raw, keys)
-    days = marts.daily(staged, keys)
-    activities = marts.activity(staged["stg_strava__activities"], staged["stg_garmin__activities"], days, keys)
-    return Lake(staged, days, activities, marts.ride(activities), marts.run(activities))
+    return Lake(raw.__getitem__, keys)
 
 
 def build(spark: SparkSession, raw: dict[str, DataFrame], lake: str, keys: Sequence[str] = ()) -> Lake:
-    """Write raw tables and the three marts; staging and the day spine stay lazy views."""
-    stored = write_raw(spark, raw, lake)
-    views = lazy_lake(stored, keys)
+    """Write raw tables and the three marts; staging and the day spine stay lazy views.
+
+    The marts are laid out by date, so that date filters on them skip files.
+    """
+    views = lazy_lake(write_raw(spark, raw, lake), keys)
     order = ["activity_date", "activity_id"]
-    activity = tables.write_table(views.activity, lake, "marts", "fct_activity", order)
-    ride = tables.write_table(marts.ride(activity), lake, "marts", "fct_ride", order)
-    run = tables.write_table(marts.run(activity), lake, "marts", "fct_run", order)
-    return Lake(views.staged, views.daily, activity, ride, run)
+    stored = {"fct_activity": tables.write_table(views.activity, lake, "marts", "fct_activity", order)}
+    for name, mart in (("fct_ride", marts.ride), ("fct_run", marts.run)):
+        stored[name] = tables.write_table(mart(stored["fct_activity"]), lake, "marts", name, order)
+    return open_lake(spark, lake, keys, stored)
 
 
-def open_lake(spark: SparkSession, lake: str, keys: Sequence[str] = ()) -> Lake:
+def open_lake(spark: SparkSession, lake: str, keys: Sequence[str] = (), stored: Mapping[str, DataFrame] | None = None) -> Lake:
     """Open what ``build`` wrote."""
     prepare(spark)
-    raw = tables.read_tables(spark, lake, "raw", list(staging.STAGED))
-    staged = staging.stage_all(raw, keys)
-    marts_read = {n: tables.read_table(spark, lake, "marts", n) for n in ("fct_activity", "fct_ride", "fct_run")}
-    return Lake(staged, marts.daily(staged, keys), marts_read["fct_activity"], marts_read["fct_ride"], marts_read["fct_run"])
+    if stored is None:
+        stored = {n: tables.read_table(spark, lake, "marts", n) for n in ("fct_activity", "fct_ride", "fct_run")}
+    return Lake(lambda name: tables.read_table(spark, lake, "raw", name), keys, stored)

@@ -18,7 +18,7 @@ SPINE_SOURCES = ("sleep", "training_load", "training_status", "training_readines
 
 
 def _take(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
-    return df.select(*keys, *[F.col(c).alias(n) for c, n in C.pairs(text).items()])
+    return df.selectExpr(*keys, *[f"{c} AS {n}" for c, n in C.pairs(text).items()])
 
 
 def daily(staged: Mapping[str, DataFrame], keys: Sequence[str] = (), hot_rows: int | None = HOT_ROWS) -> DataFrame:

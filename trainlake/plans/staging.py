@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.casts import convert, epoch_ms, epoch_ms_frac, round_integral
+from ..functions.casts import convert, epoch_ms, epoch_ms_frac
 from ..operators.dedupe import latest_per_key, row_fingerprint
 from ..operators.filters import not_in_or_null
 from ..operators.pivot import any_row, conditional_pivot
@@ -28,12 +28,16 @@ def stage(raw: DataFrame, fields: Sequence[C.Field], keys: Sequence[str] = (), c
     missing = [f.raw for f in fields if f.raw not in types]
     if missing:
         raise ValueError(f"raw table lacks {missing}")
-    cast = [convert(F.col(f"`{f.raw}`"), types[f.raw], f.kind).alias(f.staged) for f in fields]
+    cast = [convert(f"`{f.raw}`", types[f.raw], f.kind, f.staged) for f in fields]
     return raw.select(*keys, *cast, *[c.alias(n) for n, c in (computed or {}).items()])
 
 
 def _int(raw: DataFrame, name: str) -> Column:
-    return round_integral(F.col(name), raw.schema[name].dataType, "int")
+    return convert(name, raw.schema[name].dataType, "int")
+
+
+def _clock(raw: DataFrame, name: str) -> Column:
+    return convert(f"`{name}`", raw.schema[name].dataType, "timestamp")
 
 
 def _latest_day(raw: DataFrame, day: Column, assessed: Column, keys: Sequence[str]) -> DataFrame:
@@ -96,17 +100,16 @@ def health_status(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         for metric, text in C.HEALTH_METRICS.items()
     }
     known = raw.filter(F.col("status") != "UNKNOWN").withColumn(DAY, F.col(DAY).cast("date"))
-    types = {f.name: f.dataType for f in raw.schema.fields}
     extra = [
         any_row(F.col("status") == "ONBOARDING").alias("is_onboarding"),
         F.max(_int(raw, "outliers_count")).alias("outliers_count"),
-        F.max(convert(F.col("create_timestamp_utc"), types["create_timestamp_utc"], "timestamp")).alias("created_at_utc"),
+        F.max(_clock(raw, "create_timestamp_utc")).alias("created_at_utc"),
     ]
     return conditional_pivot(known, [*keys, DAY], "metric_type", picks, extra)
 
 
 def training_readiness(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    assessed = convert(F.col("timestamp"), raw.schema["timestamp"].dataType, "timestamp")
+    assessed = _clock(raw, "timestamp")
     latest = _latest_day(raw, F.col(DAY).cast("date"), assessed, keys)
     return stage(latest.filter(F.col("level") != "NONE"), C.TRAINING_READINESS, keys)
 
@@ -128,7 +131,7 @@ def training_load(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def training_status(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    assessed = convert(F.col("timestamp"), raw.schema["timestamp"].dataType, "timestamp")
+    assessed = _clock(raw, "timestamp")
     return stage(_latest_day(raw, F.col(DAY).cast("date"), assessed, keys), C.TRAINING_STATUS, keys)
 
 
@@ -146,7 +149,7 @@ def hill_score(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def run_race_predictions(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    assessed = convert(F.col("timestamp"), raw.schema["timestamp"].dataType, "timestamp")
+    assessed = _clock(raw, "timestamp")
     latest = _latest_day(raw, F.col(DAY).cast("date"), assessed, keys)
     seconds = {"5k": "race_time5_k", "10k": "race_time10_k", "half": "race_time_half", "marathon": "race_time_marathon"}
     paces = {f"predicted_{race}_pace_min_per_km": M.predicted_pace(F.col(c), race) for race, c in seconds.items()}

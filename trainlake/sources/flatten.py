@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.casts import nan_to_null, round_integral
+from ..functions.casts import convert, nan_to_null
 from ..functions.names import snake_columns
 from ..session import case_sensitive
 from . import schemas as S
 
 
 def _whole(name: str) -> Column:
-    return round_integral(F.col(name), T.StringType(), "bigint")
+    return convert(name, T.StringType(), "bigint")
 
 
 def profile_key(df: DataFrame) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.casts import nan_to_null, parse_human_time, round_integral, to_boolean
+from ..functions.casts import convert, nan_to_null, parse_human_time
 from ..functions.names import snake_case
 from ..plans import contracts as C
 from ..session import case_sensitive
@@ -74,15 +74,8 @@ def read_activity_csv(spark: SparkSession, path: str, base_path: str | None = No
 
     kinds = {f.raw: f.kind for f in C.ACTIVITY_LOG if f.raw in df.columns}
     kinds |= {f"{n}_summary": k for n, k in list(kinds.items()) if f"{n}_summary" in df.columns}
-    typed = {}
-    for name, kind in kinds.items():
-        col = F.col(name)
-        if kind in ("int", "double"):
-            typed[name] = col.cast("double")
-        elif kind == "bigint":
-            typed[name] = round_integral(col, T.StringType(), "bigint")
-        elif kind == "boolean":
-            typed[name] = to_boolean(col, T.StringType())
+    loose = {"int": "double"}  # measures stay fractional until they are staged
+    typed = {n: convert(f"`{n}`", T.StringType(), loose.get(k, k)) for n, k in kinds.items() if k in ("int", "double", "bigint", "boolean")}
     df = nan_to_null(df.withColumns(typed))
     started = parse_human_time(F.col("activity_date_str"), strict)
     return df.withColumn("started_at", started).withColumn("activity_date", F.col("started_at").cast("date"))

@@ -44,9 +44,10 @@ class Moments:
         return Moments(tuple(names), self.centre[at], self.n, self.total[at], self.cross[np.ix_(at, at)])
 
 
-def column_means(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    row = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    return np.array([0.0 if row[c] is None else row[c] for c in columns])
+def size_and_means(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray]:
+    """Row count and column means in one pass (a mean over no rows counts as zero)."""
+    row = df.agg(F.count("*").alias("_n"), *[F.avg(c).alias(c) for c in columns]).first()
+    return row["_n"], np.array([0.0 if row[c] is None else row[c] for c in columns])
 
 
 def gram_frame(df: DataFrame, columns: Sequence[str], centre: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
@@ -70,7 +71,7 @@ def to_moments(row, columns: Sequence[str], centre: np.ndarray) -> Moments:
 
 def moments(df: DataFrame, columns: Sequence[str], centre: np.ndarray | None = None) -> Moments:
     """Moments of all rows: one pass for the means, one for the products."""
-    centre = column_means(df, columns) if centre is None else centre
+    centre = size_and_means(df, columns)[1] if centre is None else centre
     return to_moments(gram_frame(df, columns, centre).first(), columns, centre)
 
 

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import SERIES_ROWS, ordered_counts
-from .gram import Moments, column_means, grouped_moments
+from ..session import cut_lineage
+from .gram import Moments, grouped_moments, size_and_means
 
 # Penalties, folds and seed of the study.
 ALPHAS = np.logspace(-2, 4, 50)
@@ -61,7 +62,7 @@ def _step(position: Column, bounds: Sequence[int]) -> Column:
 
 def _permuted(df: DataFrame, order: Sequence[Column], n: int, folds: int, seed: int, max_rows: int):
     """Outer folds by numpy's permutation of the row numbers (bounded size, broadcast)."""
-    numbered = ordered_counts(df, order, {"_idx": F.lit(True)}, max_rows=max_rows)
+    numbered = ordered_counts(df, order, {"_idx": F.lit(True)}, max_rows=max_rows, longest=n)
     shuffled = np.arange(n)
     np.random.RandomState(seed).shuffle(shuffled)
     starts = fold_starts(n, folds)
@@ -79,10 +80,11 @@ def _permuted(df: DataFrame, order: Sequence[Column], n: int, folds: int, seed:
 def _hashed(df: DataFrame, order: Sequence[Column], ids: Sequence[str], n: int, folds: int, seed: int, max_rows: int):
     """Outer folds of exact size from a hash order; nothing grows on the driver."""
     mixed = [F.xxhash64(F.lit(seed), *ids).asc(), *[F.col(c).asc() for c in ids]]
-    placed = ordered_counts(df, mixed, {"_mix": F.lit(True)}, max_rows=max_rows)
+    placed = ordered_counts(df, mixed, {"_mix": F.lit(True)}, max_rows=max_rows, longest=n)
     placed = placed.withColumn("_fold", _step(F.col("_mix"), fold_starts(n, folds)[1:-1])).drop("_mix")
     counts = {"_idx": F.lit(True)} | {f"_seen{k}": F.col("_fold") == k for k in range(folds)}
-    numbered = ordered_counts(placed, order, counts, max_rows=max_rows)
+    # Read twice (boundaries, then cells): keep the numbering instead of sorting again.
+    numbered = cut_lineage(ordered_counts(placed, order, counts, max_rows=max_rows, longest=n))
     sizes = np.diff(fold_starts(n, folds))
     wanted = None
     for k in range(folds):
@@ -156,7 +158,7 @@ def fit_ridge(
     """Nested-CV score and the final fit; ``order`` names the time column and a unique id."""
     columns = [*predictors, target]
     df = df.select(*order, *[c for c in columns if c not in order])
-    n = df.count()
+    n, centre = size_and_means(df, columns)
     if n < folds * folds:
         raise ValueError(f"{n} rows are too few for {folds} nested folds")
     by = [F.col(c).asc_nulls_last() for c in order]
@@ -167,7 +169,7 @@ def fit_ridge(
     full = [int(p) for p in fold_starts(n, folds)[1:-1]]
     bounds = sorted({b for k in inner for b in inner[k]} | set(full))
     cells = rows.withColumn("_cell", _step(F.col("_idx"), bounds))
-    by_cell = grouped_moments(cells, columns, ["_fold", "_cell"], column_means(df, columns))
+    by_cell = grouped_moments(cells, columns, ["_fold", "_cell"], centre)
     starts = [0, *bounds]
 
     def gather(keep) -> Moments:
