@@ -22,9 +22,9 @@ from .spine import BROADCAST_ROWS, HOT_ROWS, left_join_spine
 
 _ANY = "*"
 _NO_TIME = -(1 << 62)
-# Length of a time slot.  One task holds one slot of one athlete and family: at most
-# as many rows as it has distinct times, since equal times are merged first.
-SLOT_S = 24 * 3600
+# Length of a time slot.  One task holds one slot of one athlete and family; equal
+# times are merged first, so that is at most 900,000 rows at millisecond resolution.
+SLOT_S = 15 * 60
 
 
 def _asof_neighbours(rows: DataFrame, group: Sequence[str]) -> DataFrame:
