@@ -126,6 +126,22 @@ def test_hot_day_gives_the_same_mart(spark, sf):
     assert sorted(plain.collect()) == sorted(split.collect())
 
 
+def test_day_spine_shuffles_each_source_once(spark, sf):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        staged = staging.stage_all(inputs.spark_raw(spark, sf, "garmin__training_readiness", "garmin__training_load"), inputs.ATHLETE)
+        log = staging.daily_summary(inputs.spark_raw(spark, sf, "garmin__daily_summary")["garmin__daily_summary"], inputs.ATHLETE)
+        joined = log.select("athlete_id", "calendar_date", "total_steps")
+        for table in staged.values():
+            joined = joined.join(table.drop("user_profile_pk", "device_id", "assessed_at_utc"), ["athlete_id", "calendar_date"], "left")
+        text = plan(joined)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # One per side; the derived spine rows already come grouped by athlete and day text, so they move once more.
+    assert text.count("Exchange hashpartitioning") <= 4
+
+
 def test_wire_names_follow_the_rule():
     assert schemas.wire_name("hr_time_in_zone_0") == "hrTimeInZone_0"
     assert schemas.wire_name("race_time5_k") == "raceTime5K"
