@@ -83,6 +83,7 @@ def test_spine_join_is_exact_under_hot_keys(spark, hot_rows, broadcast_rows):
     want = rows(left.join(unique, "k", "left").join(several, "k", "left"))
     got = left_join_spine(left, [unique, several], ["k"], hot_rows, broadcast_rows)
     assert rows(got) == want
+    assert "NestedLoop" not in plan(got)
     one = left_join_spine(left, [unique], ["k"], hot_rows, broadcast_rows)
     assert one.count() == left.count()
 

@@ -154,3 +154,15 @@ def test_moments_are_centred(spark):
     m = moments(frame(spark, x, y), ["x0", "y"])
     assert m.mean == pytest.approx([x[:, 0].mean(), y.mean()])
     assert m.scatter[0, 1] / 79 == pytest.approx(np.cov(x[:, 0], y)[0, 1])
+
+
+def test_row_that_decides_a_coefficient_alone(spark):
+    x, y = make(30)
+    x[:, 2] = 0.0
+    x[4, 2] = 1.0
+    fit = fit_ols(frame(spark, x, y), ["x0", "x1", "x2"], "y")
+    assert fit.n == 30 and np.isfinite(fit.beta).all()
+    x[4, 2] = 0.0
+    fit = fit_ols(frame(spark, x, y), ["x0", "x1", "x2"], "y")
+    assert fit.beta[3] == pytest.approx(0.0, abs=1e-9)
+    assert np.isnan(variance_inflation(fit)["x2"])

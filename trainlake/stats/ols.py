@@ -59,7 +59,9 @@ def _meat(df: DataFrame, x: Sequence[Column], y: Column, beta: np.ndarray, bread
     for i in range(p):
         leverage = leverage + x[i] * _dot(x, bread[i])
     rows = df.select(*[c.alias(f"_{i}") for i, c in enumerate(x)], (y - _dot(x, beta)).alias("_e"), leverage.alias("_h"))
-    weight = F.pow(F.col("_e") / (F.lit(1.0) - F.col("_h")), 2)
+    # A row that alone decides a coefficient has no leave-one-out residual.
+    room = F.lit(1.0) - F.col("_h")
+    weight = F.when(room != 0.0, F.pow(F.col("_e") / room, 2)).otherwise(F.lit(float("nan")))
     weighted = rows.withColumn("_w", weight)
     sums = [
         F.sum(F.col(f"_{i}") * F.col(f"_{j}") * F.col("_w")).alias(f"m_{i}_{j}") for i in range(p) for j in range(i, p)
