@@ -132,8 +132,8 @@ def test_header_names():
 
 def test_dataset_switch(monkeypatch):
     monkeypatch.setenv("USE_SYNTHETIC_DATA", "TRUE")
-    assert tables.dataset_path("/x").endswith("healthdata_synthetic")
-    assert tables.dataset_path("/x", demo=False).endswith("healthdata")
+    assert tables.dataset_path("/x").endswith("demo")
+    assert tables.dataset_path("/x", demo=False).endswith("personal")
 
 
 def full_csv(rows):

@@ -17,7 +17,7 @@ def dataset_path(base: str, demo: bool | None = None) -> str:
     """Folder of the personal or the demo dataset; the environment flag decides when not told."""
     if demo is None:
         demo = os.getenv("USE_SYNTHETIC_DATA", "").lower() == "true"
-    return os.path.join(base, "healthdata_synthetic" if demo else "healthdata")
+    return os.path.join(base, "demo" if demo else "personal")
 
 
 def table_path(lake: str, layer: str, name: str) -> str:
