@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import near
+from . import near, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +32,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Per word of a text, whether a window over it starts earlier elsewhere.
+OP1_SQL = r"""
+WITH words AS (
+    SELECT doc_id, string_split_regex(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') AS w
+    FROM documents
+), clean AS (
+    SELECT doc_id, CASE WHEN w IS NULL OR w = [''] THEN [] ELSE w END AS w FROM words
+), windows AS (
+    SELECT doc_id, start, array_to_string(list_slice(w, start, start + 19), ' ') AS t
+    FROM clean, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS start)
+), repeats AS (
+    SELECT doc_id, start FROM windows
+    QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, start) > 1
+), gone AS (
+    SELECT DISTINCT doc_id, start + k AS at FROM repeats, (SELECT unnest(range(20)) AS k)
+), lists AS (
+    SELECT doc_id, list(at) AS gone FROM gone GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+FROM clean LEFT JOIN lists USING (doc_id)
+"""
+
+
+@query("op1_substring_dedup", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs, 20).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op2_minhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, similarity 0.8."""
