@@ -175,19 +175,25 @@ def _compare(n_words: int, p: int, q: int):
 
 
 def _cross_links(compared: DataFrame, first: DataFrame, p: int, q: int) -> DataFrame:
-    """Links between classes of a common leader of which one misses the threshold with it."""
-    c = F.lit((q - p) / (q + p))
-    label = lambda name: first.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
-    missed = compared.filter("not linked")
-    # 2 * overlap > |Dy| + c(|L| - |y|); plus-elements come first in the order.
-    least = F.floor((F.size("plus") + F.size("minus") + c * (F.col("n_leader") - F.col("n"))) / 2 - 1e-9) + 1
-    length = F.greatest(F.size("plus") + F.size("minus") - least + 1, F.lit(0)).cast("int")
+    """Links between classes of one leader that lie in different components so far.
+
+    One of the two, x, is then outside the leader's component.
+    """
+    label = first.select(F.col("node").alias("cls"), F.col("component").alias("in_cls"))
+    of_leader = first.select(F.col("node").alias("leader"), F.col("component").alias("in_leader"))
+    placed = compared.join(label, "cls", "left").join(of_leader, "leader", "left")
+    placed = placed.withColumns({"in_cls": F.coalesce("in_cls", "cls"), "in_leader": F.coalesce("in_leader", "leader")})
+    outside = placed.filter("in_cls != in_leader")
+    # 2 * overlap > |Dy| + c(|L| - |y|), in whole numbers; plus-elements come first in the order.
+    apart = F.size("plus") + F.size("minus")
+    doubled = (q + p) * apart + (q - p) * (F.col("n_leader") - F.col("n"))
+    length = F.greatest(apart - F.floor(doubled / F.lit(2 * (q + p))), F.lit(0)).cast("int")
     every = F.concat("plus", "minus")
-    x = missed.select("leader", F.col("cls").alias("x"), F.explode(every).alias("e"))
-    y = compared.join(missed.select("leader").distinct(), "leader", "left_semi").select("leader", F.col("cls").alias("y"), F.explode(F.slice(every, F.lit(1), length)).alias("e"))
-    pairs = x.join(y, ["leader", "e"]).filter("x != y").select("leader", "x", "y").distinct()
-    pairs = pairs.join(label("x"), "x", "left").join(label("y"), "y", "left")
-    pairs = pairs.filter(F.coalesce("x_in", "x") != F.coalesce("y_in", "y"))
+    x = outside.select("leader", F.col("cls").alias("x"), F.col("in_cls").alias("in_x"), F.explode(every).alias("e"))
+    y = placed.join(outside.select("leader").distinct(), "leader", "left_semi")
+    y = y.select("leader", F.col("cls").alias("y"), F.col("in_cls").alias("in_y"), F.explode(F.slice(every, F.lit(1), length)).alias("e"))
+    both = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("leader", "e")]
+    pairs = x.alias("x").join(y.alias("y"), [*both, F.col("in_x") != F.col("in_y")]).select("x.leader", "x", "y").distinct()
     side = lambda name: compared.select("leader", F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), every.alias(f"d_{name}"))
     full = pairs.join(side("x"), ["leader", "x"]).join(side("y"), ["leader", "y"])
     apart = F.size("d_x") + F.size("d_y") - 2 * F.size(F.array_intersect("d_x", "d_y"))

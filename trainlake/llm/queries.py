@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import near, substring
+from . import near, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,9 +46,9 @@ WITH words AS (
     SELECT doc_id, start FROM windows
     QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, start) > 1
 ), gone AS (
-    SELECT DISTINCT doc_id, start + k AS at FROM repeats, (SELECT unnest(range(20)) AS k)
+    SELECT DISTINCT doc_id, start + k AS pos FROM repeats, (SELECT unnest(range(20)) AS k)
 ), lists AS (
-    SELECT doc_id, list(at) AS gone FROM gone GROUP BY doc_id
+    SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
        sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
@@ -67,3 +67,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, similarity 0.8."""
     return near.near_duplicates(table(spark, sf_dir, "documents"), n_words=2, percent=80)
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), threshold=0.3)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_spans")

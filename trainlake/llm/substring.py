@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import stored
 from .words import mix, pieces, runs
@@ -211,7 +212,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return later.unionByName(shared)
 
 
-@F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept_text:string>")
+@F.arrow_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]))
 def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
     """Words of each text without those in [start, end) of its spans."""
     n_words, n_removed, kept = [], [], []

@@ -77,13 +77,15 @@ class Words:
     """The words of some consecutive documents.
 
     ``hashes``: one 64-bit value per word; ``first``: index of each document's
-    first word, with the total at the end; ``start``/``end``: byte positions.
+    first word, with the total at the end; ``start``/``end``: byte positions;
+    ``origin``: byte position of each document.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         lo, hi = int(offsets[0]), int(offsets[-1])
         b, cuts = data[lo:hi], offsets - lo
         self.bytes = b
+        self.origin = cuts[:-1]
         n = len(b)
         space = _SPACE[b]
         word = ~space
