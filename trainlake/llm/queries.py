@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import near, substring, toxicity
+from . import mixing, near, packing, sharding, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,6 +70,45 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), n_words=2, percent=80)
 
 
+@query("op3_consistent_sharding")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards, by the law of equal row counts."""
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=24)
+
+
+# Poisson counts by the same hash; weights are the square roots of the sources' rows.
+OP4_SQL = """
+WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source
+), rates AS (
+    SELECT source, (SELECT sum(n) FROM counts) * sqrt(n) / (SELECT sum(sqrt(n)) FROM counts) / n AS rate FROM counts
+), mass AS (
+    SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
+    FROM rates, LATERAL (SELECT unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k)
+), cdf AS (
+    SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM mass
+), lists AS (SELECT source, list(c ORDER BY k) AS cs FROM cdf GROUP BY source
+), drawn AS (
+    SELECT d.*, len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('1:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0))::INTEGER AS copies
+    FROM documents d JOIN lists USING (source)
+)
+SELECT doc_id, text, lang, source, n_chars, copies, copy::INTEGER AS copy
+FROM drawn, LATERAL (SELECT unnest(range(1, copies + 1)) AS copy)
+"""
+
+
+@query("op4_poisson_mixing", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weighted by the square root of their rows, as many rows as before on average."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix_sources(docs, mixing.temperature_weights(docs, 0.5), seed=1)
+
+
+@query("op5_best_fit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096)
+
+
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, learned from the labels that are not held out."""
