@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..session import prepare
-from . import mixing, near, packing, sharding, substring, toxicity
+from . import html, mixing, near, packing, sharding, substring, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -119,4 +119,37 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_spans")
 
 
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+OP9_SQL = r"""
+WITH rules(action, host, path) AS (
+    VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), rest AS (
+    SELECT page_id, url, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r FROM pages
+), split AS (
+    SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM rest
+), hits AS (
+    SELECT s.page_id, u.host || u.path AS rule, u.action
+    FROM split s JOIN rules u ON (s.host = u.host OR s.host LIKE '%.' || u.host) AND starts_with(s.path, u.path)
+    QUALIFY row_number() OVER (PARTITION BY s.page_id ORDER BY length(u.host || u.path) DESC) = 1
+)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM split LEFT JOIN hits USING (page_id)
+"""
+
+
+@query("op9_url_filter", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five fixed rules over every page."""
+    judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urls.rules_table(spark, URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
