@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -177,23 +177,30 @@ def _compare(n_words: int, p: int, q: int):
 def _cross_links(compared: DataFrame, first: DataFrame, p: int, q: int) -> DataFrame:
     """Links between classes of one leader that lie in different components so far.
 
-    One of the two, x, is then outside the leader's component.
+    x, outside the leader's component, is held against each component by way
+    of its nearest leader there.  y is a class of that component, or one that
+    has no nearer leader either.
     """
     label = first.select(F.col("node").alias("cls"), F.col("component").alias("in_cls"))
     of_leader = first.select(F.col("node").alias("leader"), F.col("component").alias("in_leader"))
     placed = compared.join(label, "cls", "left").join(of_leader, "leader", "left")
     placed = placed.withColumns({"in_cls": F.coalesce("in_cls", "cls"), "in_leader": F.coalesce("in_leader", "leader")})
-    outside = placed.filter("in_cls != in_leader")
+    # A class has at most one leader per posting.
+    nearest = [((F.size("plus") + F.size("minus")) / (F.col("n") + F.col("n_leader"))).asc(), F.col("leader").asc()]
+    placed = placed.withColumn("there", F.row_number().over(Window.partitionBy("cls", "in_leader").orderBy(*nearest)) == 1)
+    placed = placed.withColumn("best", F.row_number().over(Window.partitionBy("cls").orderBy(*nearest)) == 1)
+    outside = placed.filter("in_cls != in_leader and there")
     # 2 * overlap > |Dy| + c(|L| - |y|), in whole numbers; plus-elements come first in the order.
     apart = F.size("plus") + F.size("minus")
     doubled = (q + p) * apart + (q - p) * (F.col("n_leader") - F.col("n"))
     length = F.greatest(apart - F.floor(doubled / F.lit(2 * (q + p))), F.lit(0)).cast("int")
     every = F.concat("plus", "minus")
     x = outside.select("leader", F.col("cls").alias("x"), F.col("in_cls").alias("in_x"), F.explode(every).alias("e"))
-    y = placed.join(outside.select("leader").distinct(), "leader", "left_semi")
+    y = placed.filter("in_cls = in_leader or best").join(outside.select("leader").distinct(), "leader", "left_semi")
     y = y.select("leader", F.col("cls").alias("y"), F.col("in_cls").alias("in_y"), F.explode(F.slice(every, F.lit(1), length)).alias("e"))
     both = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("leader", "e")]
-    pairs = x.alias("x").join(y.alias("y"), [*both, F.col("in_x") != F.col("in_y")]).select("x.leader", "x", "y").distinct()
+    met = x.alias("x").join(y.alias("y"), [*both, F.col("in_x") != F.col("in_y")])
+    pairs = met.select("x.leader", "x", "y").distinct()
     side = lambda name: compared.select("leader", F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), every.alias(f"d_{name}"))
     full = pairs.join(side("x"), ["leader", "x"]).join(side("y"), ["leader", "y"])
     apart = F.size("d_x") + F.size("d_y") - 2 * F.size(F.array_intersect("d_x", "d_y"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..session import prepare
-from . import html, mixing, near, packing, sharding, substring, toxicity, urls
+from . import embeddings, html, mixing, near, packing, sharding, substring, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,6 +111,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096)
 
 
+@query("op6_embedding_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine 0.95."""
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, learned from the labels that are not held out."""
