@@ -37,6 +37,8 @@ COORDINATES = 64
 MATCHES = 36
 # Leaders may be further away than the pairs they stand for.
 LEADER_MATCHES = 24
+# Nearest leaders by which a class is held against another component.
+LEADERS = 2
 # Buckets of the frequency sketch that is sent to all tasks (2 MB).
 SKETCH = 1 << 18
 
@@ -178,8 +180,8 @@ def _cross_links(compared: DataFrame, first: DataFrame, p: int, q: int) -> DataF
     """Links between classes of one leader that lie in different components so far.
 
     x, outside the leader's component, is held against each component by way
-    of its nearest leader there.  y is a class of that component, or one that
-    has no nearer leader either.
+    of its nearest leaders there.  y is a class of that component, or one
+    whose nearest leader of all it is.
     """
     label = first.select(F.col("node").alias("cls"), F.col("component").alias("in_cls"))
     of_leader = first.select(F.col("node").alias("leader"), F.col("component").alias("in_leader"))
@@ -187,17 +189,19 @@ def _cross_links(compared: DataFrame, first: DataFrame, p: int, q: int) -> DataF
     placed = placed.withColumns({"in_cls": F.coalesce("in_cls", "cls"), "in_leader": F.coalesce("in_leader", "leader")})
     # A class has at most one leader per posting.
     nearest = [((F.size("plus") + F.size("minus")) / (F.col("n") + F.col("n_leader"))).asc(), F.col("leader").asc()]
-    placed = placed.withColumn("there", F.row_number().over(Window.partitionBy("cls", "in_leader").orderBy(*nearest)) == 1)
+    placed = placed.withColumn("there", F.row_number().over(Window.partitionBy("cls", "in_leader").orderBy(*nearest)) <= LEADERS)
     placed = placed.withColumn("best", F.row_number().over(Window.partitionBy("cls").orderBy(*nearest)) == 1)
     outside = placed.filter("in_cls != in_leader and there")
-    # 2 * overlap > |Dy| + c(|L| - |y|), in whole numbers; plus-elements come first in the order.
+    # Elements only the class has come first in the order, in whole numbers:
+    # 2 * overlap >= |Dx| - c(|x| + |L|), and 2 * overlap > |Dy| + c(|L| - |y|).
     apart = F.size("plus") + F.size("minus")
-    doubled = (q + p) * apart + (q - p) * (F.col("n_leader") - F.col("n"))
-    length = F.greatest(apart - F.floor(doubled / F.lit(2 * (q + p))), F.lit(0)).cast("int")
+    least_x = -F.floor(((q - p) * (F.col("n") + F.col("n_leader")) - (q + p) * apart) / F.lit(2 * (q + p)))
+    least_y = F.floor(((q + p) * apart + (q - p) * (F.col("n_leader") - F.col("n"))) / F.lit(2 * (q + p))) + 1
+    upto = lambda least: F.greatest(apart - F.greatest(least, F.lit(1)) + 1, F.lit(0)).cast("int")
     every = F.concat("plus", "minus")
-    x = outside.select("leader", F.col("cls").alias("x"), F.col("in_cls").alias("in_x"), F.explode(every).alias("e"))
+    x = outside.select("leader", F.col("cls").alias("x"), F.col("in_cls").alias("in_x"), F.explode(F.slice(every, F.lit(1), upto(least_x))).alias("e"))
     y = placed.filter("in_cls = in_leader or best").join(outside.select("leader").distinct(), "leader", "left_semi")
-    y = y.select("leader", F.col("cls").alias("y"), F.col("in_cls").alias("in_y"), F.explode(F.slice(every, F.lit(1), length)).alias("e"))
+    y = y.select("leader", F.col("cls").alias("y"), F.col("in_cls").alias("in_y"), F.explode(F.slice(every, F.lit(1), upto(least_y))).alias("e"))
     both = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("leader", "e")]
     met = x.alias("x").join(y.alias("y"), [*both, F.col("in_x") != F.col("in_y")])
     pairs = met.select("x.leader", "x", "y").distinct()
