@@ -130,7 +130,10 @@ class Chain:
         return m
 
     def emission(self, feats: np.ndarray) -> np.ndarray:
-        return self.weights[feats].sum(axis=0, dtype=np.float64)
+        total = np.zeros(feats.shape[1])
+        for f in feats:
+            total += self.weights[f]
+        return total
 
     def forward_backward(self, emission: np.ndarray, first: np.ndarray):
         """Scaled forward and backward vectors, (2, n), and the matrices; documents start at ``first``."""
@@ -179,60 +182,63 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return beta
 
 
-def _token_labels(feats: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Toxic tokens: words of toxic documents whose form or beginning is strongly tied to toxicity."""
+def _token_odds(parts: list[np.ndarray], docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Per feature of a word itself and bucket: log-odds of toxic documents less one deviation."""
     n_toxic, n_clean = max(toxic.sum(), 1), max((~toxic).sum(), 1)
-    odds = np.full(feats.shape[1], -np.inf)
-    for f in feats[:EVIDENCE]:
-        pairs = np.unique(doc * BUCKETS + f)
-        held = toxic[pairs // BUCKETS]
-        t = np.bincount(pairs[held] % BUCKETS, minlength=BUCKETS)
-        c = np.bincount(pairs[~held] % BUCKETS, minlength=BUCKETS)
-        # Log-odds less one standard deviation.
-        score = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1)) - np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        score[t < max(3, 0.01 * n_toxic)] = -np.inf
-        np.maximum(odds, score[f], out=odds)
-    return (odds >= TOKEN_ODDS) & toxic[doc]
+    out = np.empty((EVIDENCE, BUCKETS), np.float32)
+    for k in range(EVIDENCE):
+        seen = np.zeros((2, BUCKETS))
+        for feats, doc in zip(parts, docs):
+            pairs = np.unique(doc * BUCKETS + feats[k])
+            for c in (0, 1):
+                seen[c] += np.bincount(pairs[toxic[pairs // BUCKETS] == bool(c)] % BUCKETS, minlength=BUCKETS)
+        c, t = seen
+        out[k] = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1)) - np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        out[k][t < max(3, 0.01 * n_toxic)] = -np.inf
+    return out
 
 
 def fit_chain(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray) -> Chain:
-    """Fit on texts with document labels; ``weight`` restores the classes' shares for the calibration."""
-    parts, counts = [], []
-    for _, _, words in pieces(pa.array(texts, pa.string())):
+    """Fit on texts with document labels; ``weight`` restores the classes' shares for the calibration.
+
+    Works through the texts in pieces, so only the features of all tokens are held.
+    """
+    parts, firsts, docs = [], [], []
+    for i, _, words in pieces(pa.array(texts, pa.string())):
         parts.append(features(words).astype(np.int32))
-        counts.append(np.diff(words.first))
-    if not parts:
-        parts, counts = [np.zeros((EVIDENCE + 3, 0), np.int32)], [np.zeros(0, np.int64)]
-    feats, counts = np.concatenate(parts, axis=1), np.concatenate(counts)
-    first = np.concatenate([[0], np.cumsum(counts)])
-    starts = first[:-1][counts > 0]
-    doc = np.repeat(np.arange(len(counts)), counts)
-    y = _token_labels(feats.astype(np.int64), doc, toxic)
+        firsts.append(words.first)
+        docs.append(words.doc_of() + i)
     chain = Chain(np.zeros(BUCKETS), -4.0, np.array([0.0, -4.0, -1.0, -1.0]), np.zeros(3))
-    n = feats.shape[1]
-    if n:
-        state = y.astype(np.int64)
-        inner = np.ones(n, bool)
-        inner[starts] = False
-        seen = np.bincount((2 * np.roll(state, 1) + state)[inner], minlength=4)
-        size, moved = np.full(BUCKETS, 1e-8), np.full(4, 1e-8)
-        for _ in range(EPOCHS):
-            a, b, m = chain.forward_backward(chain.emission(feats), starts)
-            joint = a * b
-            slope = y - joint[1] / joint.sum(axis=0)
-            grad = sum(np.bincount(f, slope, minlength=BUCKETS) for f in feats) - 1e-2 * chain.weights
-            size += grad**2
-            chain.weights += 0.5 * grad / np.sqrt(size)
-            left = np.roll(a, 1, axis=1)
-            pair = np.stack([left[0] * m[0] * b[0], left[0] * m[1] * b[1], left[1] * m[2] * b[0], left[1] * m[3] * b[1]])
-            step = seen - (pair / pair.sum(axis=0))[:, inner].sum(axis=1) - 1e-2 * chain.moves
-            moved += step**2
-            chain.moves = chain.moves + 0.5 * step / np.sqrt(moved)
-        chain.weights = chain.weights.astype(np.float32)
     if not toxic.any():
         chain.calibration = np.array([0.0, 0.0, -np.inf])
         return chain
-    chain.calibration = _logistic(_summary(chain.marginals(feats, starts), first), toxic.astype(float), weight)
+    odds = _token_odds(parts, docs, toxic)
+    # Words of toxic documents whose form or beginning is strongly tied to toxicity.
+    labels = [(np.max([odds[k][f] for k, f in enumerate(feats[:EVIDENCE])], axis=0) >= TOKEN_ODDS) & toxic[doc] for feats, doc in zip(parts, docs)]
+    starts = [first[:-1][np.diff(first) > 0] for first in firsts]
+    size, moved = np.full(BUCKETS, 1e-8), np.full(4, 1e-8)
+    for _ in range(EPOCHS):
+        grad, step = -1e-2 * chain.weights, -1e-2 * chain.moves
+        for feats, y, start in zip(parts, labels, starts):
+            if not len(y):
+                continue
+            a, b, m = chain.forward_backward(chain.emission(feats), start)
+            joint = a * b
+            slope = y - joint[1] / joint.sum(axis=0)
+            for f in feats:
+                grad += np.bincount(f, slope, minlength=BUCKETS)
+            inner = np.ones(len(y), bool)
+            inner[start] = False
+            state, left = y.astype(np.int64), np.roll(a, 1, axis=1)
+            pair = np.stack([left[0] * m[0] * b[0], left[0] * m[1] * b[1], left[1] * m[2] * b[0], left[1] * m[3] * b[1]])
+            step += np.bincount((2 * np.roll(state, 1) + state)[inner], minlength=4) - (pair / pair.sum(axis=0))[:, inner].sum(axis=1)
+        size += grad**2
+        moved += step**2
+        chain.weights += 0.5 * grad / np.sqrt(size)
+        chain.moves = chain.moves + 0.5 * step / np.sqrt(moved)
+    chain.weights = chain.weights.astype(np.float32)
+    told = [_summary(chain.marginals(feats, start), first) for feats, start, first in zip(parts, starts, firsts)]
+    chain.calibration = _logistic(np.concatenate(told), toxic.astype(float), weight)
     return chain
 
 
