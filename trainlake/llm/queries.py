@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..session import prepare
-from . import embeddings, html, mixing, near, packing, sharding, substring, toxicity, urls
+from . import embeddings, fingerprints, html, mixing, near, packing, sharding, substring, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -125,6 +125,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_spans")
 
 
+@query("op8_imatch_fingerprints")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text against its edited form and the next document."""
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 OP9_SQL = r"""

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import Words, mix, pieces, runs, _BYTE_BASE, _BYTE_CODE
+from .words import Words, bare, mix, pieces, spelled
 
 # Bounds of the training sample, in documents.
 SAMPLE_TOXIC = 1000
@@ -39,17 +39,6 @@ THRESHOLD = 0.3
 _STARTS = (3, 4, 5, 6, 7)
 # Features 0 to EVIDENCE - 1 describe the word itself.
 EVIDENCE = 1 + len(_STARTS)
-_LETTER = np.ones(256, bool)
-_LETTER[:0x80] = [chr(c).isalnum() for c in range(0x80)]
-
-
-def _lower(b: np.ndarray) -> np.ndarray:
-    """A-Z and the accented capitals of the Latin-1 block in lower case."""
-    b = b.copy()
-    b[(b >= ord("A")) & (b <= ord("Z"))] += 32
-    accented = np.flatnonzero((b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E)) + 1
-    b[accented] += 32
-    return b
 
 
 def features(words: Words) -> np.ndarray:
@@ -60,23 +49,16 @@ def features(words: Words) -> np.ndarray:
     n = len(words)
     if n == 0:
         return np.zeros((EVIDENCE + 3, 0), np.int64)
-    b = _lower(words.bytes)
-    at = np.arange(len(b))
-    letter = _LETTER[b]
-    last = np.maximum.accumulate(np.where(letter, at, -1))[words.end - 1] + 1
-    first = np.minimum.accumulate(np.where(letter, at, len(b))[::-1])[::-1][words.start]
-    bare = (first >= words.start) & (last <= words.end) & (first < last)
-    start, end = np.where(bare, first, words.start), np.where(bare, last, words.end)
-    codes = _BYTE_CODE[b]
-    whole = runs(codes, _BYTE_BASE, start, end)
+    codes, start, end = bare(words)
+    whole = spelled(codes, start, end)
     edge = np.zeros(n, bool)
     edge[words.first[:-1][words.first[:-1] < n]] = True
     before, after = np.roll(whole, 1), np.roll(whole, -1)
     before[edge] = 0
     after[np.append(np.flatnonzero(edge)[1:] - 1, n - 1)] = 0
     rows = [whole]
-    rows += [np.where(end - start >= k, runs(codes, _BYTE_BASE, start, np.minimum(start + k, end)), np.uint64(0)) for k in _STARTS]
-    rows += [runs(codes, _BYTE_BASE, np.maximum(end - 4, start), end), before, after]
+    rows += [np.where(end - start >= k, spelled(codes, start, np.minimum(start + k, end)), np.uint64(0)) for k in _STARTS]
+    rows += [spelled(codes, np.maximum(end - 4, start), end), before, after]
     return np.stack([mix(r ^ np.uint64(1000003 * k)) & np.uint64(BUCKETS - 1) for k, r in enumerate(rows)]).astype(np.int64)
 
 

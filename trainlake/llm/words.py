@@ -116,6 +116,43 @@ class Words:
         return mix(runs(self.hashes ^ _U(_odd(100 + seed) if seed else 0), _WORD_BASE, at, at + n))
 
 
+_LETTER = np.ones(256, bool)
+_LETTER[:0x80] = [chr(c).isalnum() for c in range(0x80)]
+
+
+def bare(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte codes in lower case, and the bounds of each word without the ASCII punctuation around it.
+
+    Lower case covers A-Z and the accented capitals of the Latin-1 block.  A
+    word of punctuation alone stays whole.
+    """
+    b = words.bytes.copy()
+    b[(b >= ord("A")) & (b <= ord("Z"))] += 32
+    b[np.flatnonzero((b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E)) + 1] += 32
+    at, letter = np.arange(len(b)), _LETTER[b]
+    last = np.maximum.accumulate(np.where(letter, at, -1))[words.end - 1] + 1
+    first = np.minimum.accumulate(np.where(letter, at, len(b))[::-1])[::-1][words.start]
+    inside = (first >= words.start) & (last <= words.end) & (first < last)
+    return _BYTE_CODE[b], np.where(inside, first, words.start), np.where(inside, last, words.end)
+
+
+def spelled(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of many slices."""
+    return runs(codes, _BYTE_BASE, starts, ends)
+
+
+def distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of each segment (sorts in place), and their offsets."""
+    for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        if e - s > 1:
+            values[s:e].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[offsets[:-1][np.diff(offsets) > 0]] = True
+    sums = np.concatenate([[0], np.cumsum(new)])
+    return values[new], sums[offsets]
+
+
 def pieces(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
     """(first document, one past the last, their words) over a batch."""
     data, offsets = utf8(texts)
@@ -146,11 +183,4 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     short = (counts > 0) & ~long
     if short.any():
         values[out[:-1][short]] = mix(runs(words.hashes, _WORD_BASE, first[:-1][short], first[1:][short]) ^ counts[short].astype(_U))
-    for s, e in zip(out[:-1].tolist(), out[1:].tolist()):
-        if e - s > 1:
-            values[s:e].sort()
-    new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
-    new[out[:-1][size > 0]] = True
-    sums = np.concatenate([[0], np.cumsum(new)])
-    return values[new], sums[out]
+    return distinct(values, out)
