@@ -17,6 +17,7 @@ from trainlake.stats import gram, ols, report, ridge
 from .inputs import DUCK_EV, spark_ev, table
 from .export_files import write_json_lines
 from .registry import query, times_as_text
+from .ridge_sql import ridge_ctes
 
 EV = f"WITH ev AS ({DUCK_EV})"
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -650,9 +651,95 @@ def gram_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gram.gram_entries(_lines(spark, sf_dir), ["l_quantity", "l_discount"]).withColumn("value", scalars.round_dp(F.col("value"), 2))
 
 
-@query("r4_ridge_nested_cv")
+# --- ridge with nested cross-validation ----------------------------------------------
+
+# Day, id, two predictors and two targets; prices follow quantity, so that scores are not all noise.
+_RIDGE_ROWS = """SELECT l_orderkey || ':' || l_linenumber AS id, l_shipdate AS day, {a} AS a, {b} AS b, {y} AS y FROM lineitem"""
+_MODELS = {"A": ("l_quantity",), "B": ("l_quantity", "l_discount")}
+_TARGETS = {"price": "l_extendedprice + 500 * l_quantity", "cost": "l_extendedprice * l_discount"}
+
+
+def _ridge_rows(model: str, target: str) -> str:
+    names = _MODELS[model]
+    return _RIDGE_ROWS.format(a=names[0], b=names[1] if len(names) > 1 else "0e0", y=_TARGETS[target])
+
+
+def _ridge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = [F.expr(sql).alias(n) for n, sql in _TARGETS.items()]
+    return table(spark, sf_dir, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", *targets)
+
+
+_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber")
+
+
+@query(
+    "r4_ridge_nested_cv",
+    f"""WITH {ridge_ctes(_ridge_rows("B", "price"))}
+        SELECT k::INTEGER AS fold, round(r2, 7) AS r2, round(alpha, 6) AS alpha FROM scored""",
+)
 def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score and chosen penalty per outer fold over all lines; folds by hash beyond the permutation bound."""
-    fit = ridge.fit_ridge(_lines(spark, sf_dir), ["l_quantity", "l_discount"], "l_extendedprice", ["l_orderkey", "l_linenumber"], permuted_rows=0)
-    rows = [(k, float(s), float(a)) for k, (s, a) in enumerate(zip(fit.scores, fit.fold_alphas))]
-    return spark.createDataFrame(rows, "fold int, r2 double, alpha double")
+    """Score and chosen penalty per outer fold over all lines; fold 5 is the final fit on all of them."""
+    fit = ridge.fit_ridge(_ridge_lines(spark, sf_dir), _MODELS["B"], "price", _ORDER)
+    rows = [(k, round(float(s), 7), round(float(a), 6)) for k, (s, a) in enumerate(zip(fit.scores, fit.fold_alphas))]
+    return spark.createDataFrame([*rows, (5, None, round(fit.best_alpha, 6))], "fold int, r2 double, alpha double")
+
+
+_OLS_R2 = """(SELECT (saa * sby * sby - 2 * sab * say * sby + sbb * say * say) / nullif(saa * sbb - sab * sab, 0) / syy FROM
+    (SELECT var_pop(a) AS saa, var_pop(b) AS sbb, covar_pop(a, b) AS sab, covar_pop(a, y) AS say, covar_pop(b, y) AS sby, var_pop(y) AS syy FROM given{t}))"""
+
+
+def _model_line(model: str, target: str, tag: str) -> str:
+    r2 = f"(SELECT regr_r2(y, a) FROM given{tag})" if len(_MODELS[model]) == 1 else _OLS_R2.format(t=tag)
+    return f"""SELECT '{model}' AS model, '{target}' AS target, (SELECT count(*) FROM given{tag}) AS n, round({r2}, 6) AS ols_r2,
+        round(avg(r2), 6) AS cv_r2, round(stddev_pop(r2), 6) AS cv_r2_sd, round(max(alpha) FILTER (WHERE k = 5), 4) AS best_alpha FROM scored{tag}"""
+
+
+def _fits(spark: SparkSession, sf_dir: str, target: str) -> dict[str, report.ModelFit]:
+    lines = _ridge_lines(spark, sf_dir)
+    return {m: report.fit_model(lines, names, target, m, order=_ORDER) for m, names in _MODELS.items()}
+
+
+@query(
+    "r5_nested_feature_sets",
+    "WITH " + ", ".join(ridge_ctes(_ridge_rows(m, "price"), f"_{m}") for m in _MODELS)
+    + " SELECT * EXCLUDE (target) FROM (" + " UNION ALL ".join(_model_line(m, "price", f"_{m}") for m in _MODELS) + ")",
+)
+def feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two nested predictor sets: least squares and cross-validated scores."""
+    rows = [
+        (m, f.n, round(f.ols.r2, 6), round(f.ridge.cv_r2, 6), round(f.ridge.cv_r2_sd, 6), round(f.ridge.best_alpha, 4))
+        for m, f in _fits(spark, sf_dir, "price").items()
+    ]
+    return spark.createDataFrame(rows, "model string, n long, ols_r2 double, cv_r2 double, cv_r2_sd double, best_alpha double")
+
+
+_COMPARED = {(m, t): f"_{m}_{t}" for m in _MODELS for t in _TARGETS}
+
+
+@query(
+    "r8_comparison_of_two_targets",
+    "WITH " + ", ".join(ridge_ctes(_ridge_rows(m, t), tag) for (m, t), tag in _COMPARED.items())
+    + ", lines AS (" + " UNION ALL ".join(_model_line(m, t, tag) for (m, t), tag in _COMPARED.items()) + """)
+      SELECT p.model, p.n AS ride_n, round(p.ols_r2, 3) AS ride_ols_r2, round(p.cv_r2, 3) AS ride_cv_r2,
+             c.n AS run_n, round(c.ols_r2, 3) AS run_ols_r2, round(c.cv_r2, 3) AS run_cv_r2
+      FROM lines p JOIN lines c ON p.model = c.model AND p.target = 'price' AND c.target = 'cost'""",
+)
+def two_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison table, with the two targets in place of the two sports."""
+    return report.comparison_table(spark, _fits(spark, sf_dir, "price"), _fits(spark, sf_dir, "cost"))
+
+
+@query(
+    "r6_vif_collinear",
+    """SELECT 'l_quantity' AS term, CAST('Infinity' AS DOUBLE) AS vif UNION ALL SELECT 'l_discount', CAST('Infinity' AS DOUBLE)
+       UNION ALL SELECT 'both', CAST('Infinity' AS DOUBLE)
+       UNION ALL SELECT 'l_tax', round(1 / (1 - (saa * sbt * sbt - 2 * sab * sat * sbt + sbb * sat * sat) / (saa * sbb - sab * sab) / stt), 9) FROM
+       (SELECT var_pop(l_quantity) AS saa, var_pop(l_discount) AS sbb, covar_pop(l_quantity, l_discount) AS sab, covar_pop(l_quantity, l_tax) AS sat,
+               covar_pop(l_discount, l_tax) AS sbt, var_pop(l_tax) AS stt FROM lineitem)""",
+)
+def vif_collinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predictor that is the sum of two others makes those three infinite and leaves the fourth alone."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("both", F.col("l_quantity") + 500 * F.col("l_discount"))
+    fit = ols.fit_ols(lines, ["l_quantity", "l_discount", "both", "l_tax"], "l_extendedprice")
+    rows = [(t, round(float(v), 9)) for t, v in ols.variance_inflation(fit).items()]
+    return spark.createDataFrame(rows, "term string, vif double")

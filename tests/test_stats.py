@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from trainlake.stats.features import design, engineer
 from trainlake.stats.gram import moments
 from trainlake.stats.ols import fit_ols, variance_inflation
 from trainlake.stats.report import fit_model, standardised
-from trainlake.stats.ridge import ALPHAS, fit_ridge, fold_starts
+from trainlake.stats.ridge import ALPHAS, FoldError, fit_ridge, outer_fold
 
 
 def make(n=80, p=3, seed=0):
@@ -53,7 +55,7 @@ def test_vif_equals_auxiliary_regressions(spark):
         assert v == pytest.approx((c @ c) / (e @ e), rel=1e-9)
 
 
-def direct_ridge(x, y, folds_of, folds=5):
+def direct_ridge(x, y, folds_of, day, folds=5):
     """Plain numpy version of the nested search, row by row."""
 
     def fit(z, t, a):
@@ -65,12 +67,12 @@ def direct_ridge(x, y, folds_of, folds=5):
         e = t - f(z)
         return 1 - e @ e / ((t - t.mean()) @ (t - t.mean()))
 
-    def search(z, t):
-        s = fold_starts(len(t), folds)
+    def search(z, t, when):
+        # A day belongs to the fifth in which its first row falls.
+        part = np.array([min((when < d).sum() * folds // len(when), folds - 1) for d in when])
         score = np.zeros(len(ALPHAS))
-        for lo, hi in zip(s, s[1:]):
-            out = np.r_[0:lo, hi : len(t)]
-            score += [r2(fit(z[out], t[out], a), z[lo:hi], t[lo:hi]) for a in ALPHAS]
+        for j in range(folds):
+            score += [r2(fit(z[part != j], t[part != j], a), z[part == j], t[part == j]) for a in ALPHAS]
         return ALPHAS[np.argmax(score)]
 
     scores = []
@@ -78,42 +80,50 @@ def direct_ridge(x, y, folds_of, folds=5):
         tr, te = folds_of != k, folds_of == k
         m, s = x[tr].mean(0), x[tr].std(0)
         z = (x[tr] - m) / s
-        a = search(z, y[tr])
+        a = search(z, y[tr], day[tr])
         scores.append(r2(fit(z, y[tr], a), (x[te] - m) / s, y[te]))
     z = (x - x.mean(0)) / x.std(0)
-    return np.array(scores), search(z, y)
-
-
-@pytest.mark.parametrize("max_rows", [10**6, 10])
-def test_ridge_equals_row_level_search(spark, max_rows):
-    x, y = make(83)
-    df = frame(spark, x, y)
-    got = fit_ridge(df, ["x0", "x1", "x2"], "y", ["id"], max_rows=max_rows)
-    order = np.arange(83)
-    np.random.RandomState(42).shuffle(order)
-    folds_of = np.empty(83, int)
-    s = fold_starts(83, 5)
-    for k in range(5):
-        folds_of[order[s[k] : s[k + 1]]] = k
-    scores, alpha = direct_ridge(x, y, folds_of)
-    assert np.allclose(got.scores, scores, atol=1e-9)
-    assert got.best_alpha == pytest.approx(alpha)
-
-
-@pytest.mark.parametrize("max_rows", [10**6, 10])
-def test_ridge_by_hash_equals_row_level_search(spark, max_rows):
-    x, y = make(83, seed=3)
-    df = frame(spark, x, y)
-    got = fit_ridge(df, ["x0", "x1", "x2"], "y", ["id"], permuted_rows=0, max_rows=max_rows)
-    keys = {r["id"]: r["h"] for r in df.select("id", F.xxhash64(F.lit(42), "id").alias("h")).collect()}
-    order = sorted(range(83), key=lambda i: keys[i])
-    folds_of = np.empty(83, int)
-    s = fold_starts(83, 5)
-    for k in range(5):
-        folds_of[order[s[k] : s[k + 1]]] = k
-    scores, alpha = direct_ridge(x, y, folds_of)
-    assert np.allclose(got.scores, scores, atol=1e-9)
-    assert got.best_alpha == pytest.approx(alpha)
+    return np.array(scores), search(z, y, day)
+
+
+def test_ridge_equals_row_level_search(spark):
+    """Rows, several a day, against a search that fits every fold on the rows themselves."""
+    for n, seed in ((83, 0), (400, 3)):
+        x, y = make(n, seed=seed)
+        df = frame(spark, x, y).withColumn("day", F.expr("date_add(DATE '2024-01-01', cast(id / 3 as int))"))
+        got = fit_ridge(df, ["x0", "x1", "x2"], "y", ["day", "id"])
+        held = {r["id"]: r["f"] for r in df.select("id", outer_fold(["id"]).alias("f")).collect()}
+        folds_of = np.array([held[i] for i in range(n)])
+        assert [hashed(i) for i in range(n)] == folds_of.tolist()
+        scores, alpha = direct_ridge(x, y, folds_of, day=np.arange(n) // 3)
+        assert np.allclose(got.scores, scores, atol=1e-9)
+        assert got.best_alpha == pytest.approx(alpha)
+
+
+def hashed(i):
+    return int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:8], 16) % 5
+
+
+def test_ridge_needs_a_row_per_fold(spark):
+    x, y = make(4)
+    with pytest.raises(FoldError):
+        fit_ridge(frame(spark, x, y), ["x0"], "y", ["id"])
+    # All rows on one day: no inner folds in time.
+    x, y = make(60)
+    with pytest.raises(FoldError):
+        fit_ridge(frame(spark, x, y).withColumn("day", F.lit(1)), ["x0"], "y", ["day", "id"])
+
+
+def test_vif_of_a_collinear_set(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = rng.standard_normal((3, 200))
+    x = np.stack([a, b, a + b, c], axis=1)
+    fit = fit_ols(frame(spark, x, a + c), ["x0", "x1", "x2", "x3"], "y")
+    vif = variance_inflation(fit)
+    others = np.column_stack([np.ones(200), a, b])
+    rest = c - others @ np.linalg.lstsq(others, c, rcond=None)[0]
+    assert vif["x0"] == vif["x1"] == vif["x2"] == np.inf
+    assert vif["x3"] == pytest.approx(((c - c.mean()) ** 2).sum() / (rest**2).sum())
 
 
 def test_tails():

@@ -34,9 +34,11 @@ def ingest(
         nested = flatten.NESTED_SOURCES.get(name)
         ddl = nested[0] if nested else schemas.flat_ddl(name)
         files = readers.read_json(spark, path, ddl, multi_line, base_path)
-        for k in keys:
-            if k not in files.columns:
-                files = files.selectExpr("*", f"CAST(NULL AS STRING) AS {k}")
+        missing = [k for k in keys if k not in files.columns]
+        if missing and files.inputFiles():
+            raise ValueError(f"{path} has no key {missing}; is base_path the folder above {missing[0]}=...?")
+        # Only the empty frame of a source without files is filled up.
+        files = files.selectExpr("*", *[f"CAST(NULL AS STRING) AS {k}" for k in missing])
         raw[name] = nested[1](files, keys) if nested else flatten.flat_table(files, name, keys)
     return raw
 

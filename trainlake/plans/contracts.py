@@ -323,7 +323,7 @@ RIDE_DROPS = SPORT_DROPS + " grade_adjusted_distance_m total_steps"
 RUN_DROPS = SPORT_DROPS + """
     activity_gear commute bike_weight_kg average_speed_ms max_speed_ms max_cadence average_watts
     weighted_average_power_w total_work_kj garmin_avg_power_w garmin_norm_power_w
-    average_temperature_c wind_bearing_deg uv_index
+    wind_bearing_deg uv_index
 """
 
 # Activity types of the sport marts.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -64,13 +65,36 @@ def csv_names(headers: Sequence[str]) -> list[str]:
     return names
 
 
-def read_activity_csv(spark: SparkSession, path: str, base_path: str | None = None, strict: bool = True) -> DataFrame:
-    """The activity log with typed measures, ``started_at`` and ``activity_date``."""
+def _header_lines(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """First line of every matching file -> the files that start with it."""
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    lines = spark.read.text(path).select(file.alias("file"), "value", F.col("_metadata.file_block_start").alias("at"))
+    # The first line of the block at 0; a block is read in order by one task.
+    firsts = lines.filter("at = 0").groupBy("file").agg(F.first("value").alias("header"))
+    grouped = firsts.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return {r["header"]: r["files"] for r in grouped.collect()}
+
+
+def _read_csv(spark: SparkSession, paths: str | Sequence[str], base_path: str | None) -> DataFrame:
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
     if base_path:
         reader = reader.option("basePath", base_path)
-    text = reader.csv(path)
-    df = text.toDF(*csv_names(original_headers(text.columns)))
+    text = reader.csv(paths if isinstance(paths, str) else list(paths))
+    return text.toDF(*csv_names(original_headers(text.columns)))
+
+
+def read_activity_csv(spark: SparkSession, path: str, base_path: str | None = None, strict: bool = True) -> DataFrame:
+    """The activity log with typed measures, ``started_at`` and ``activity_date``.
+
+    Files whose headers differ, in order or in columns, are each read under
+    their own header; a column that a file lacks is NULL.
+    """
+    headers = _header_lines(spark, path)
+    if len(headers) > 1:
+        read = [_read_csv(spark, files, base_path) for _, files in sorted(headers.items())]
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
+    else:
+        df = _read_csv(spark, path, base_path)
 
     kinds = {f.raw: f.kind for f in C.ACTIVITY_LOG if f.raw in df.columns}
     kinds |= {f"{n}_summary": k for n, k in list(kinds.items()) if f"{n}_summary" in df.columns}

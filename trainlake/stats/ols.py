@@ -108,16 +108,19 @@ def fit_ols(df: DataFrame, predictors: Sequence[str], target: str, stats: Moment
 
 
 def variance_inflation(fit: OlsFit) -> dict[str, float]:
-    """VIF per predictor: the diagonal of the inverse correlation matrix."""
+    """1 / (1 - R2) of each predictor on the others; infinite where the others determine it.
+
+    A predictor without variance has none.
+    """
     p = len(fit.names) - 1
     scatter = fit.moments.scatter[:p, :p]
-    sd = np.sqrt(np.diag(scatter))
-    usable = sd > 0
+    sd = np.sqrt(np.clip(np.diag(scatter), 0.0, None))
     out = dict.fromkeys(fit.names[1:], float("nan"))
-    if usable.any():
-        corr = scatter[np.ix_(usable, usable)] / np.outer(sd[usable], sd[usable])
-        names = [n for n, ok in zip(fit.names[1:], usable) if ok]
-        singular = np.linalg.matrix_rank(corr, hermitian=True) < len(names)
-        values = np.full(len(names), np.inf) if singular else np.diag(np.linalg.inv(corr))
-        out.update(dict(zip(names, values.tolist())))
+    usable = np.flatnonzero(sd > 0)
+    corr = scatter[np.ix_(usable, usable)] / np.outer(sd[usable], sd[usable])
+    for k, at in enumerate(usable):
+        others = np.delete(np.arange(len(usable)), k)
+        shared = corr[others, k]
+        explained = float(shared @ np.linalg.pinv(corr[np.ix_(others, others)], rcond=1e-10, hermitian=True) @ shared)
+        out[fit.names[1 + at]] = float("inf") if explained >= 1.0 - 1e-10 else 1.0 / (1.0 - explained)
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .features import MODELS, TARGETS, WEATHER_LEVELS, design, uses_weather, weather_columns
 from .gram import moments
 from .ols import INTERCEPT, OlsFit, fit_ols, variance_inflation
-from .ridge import RidgeFit, fit_ridge
+from .ridge import FoldError, RidgeFit, fit_ridge
 
 # Display names of the predictors.
 LABELS = {
@@ -36,12 +36,16 @@ LABELS = {
 class ModelFit:
     label: str
     ols: OlsFit
-    ridge: RidgeFit
+    ridge: RidgeFit | None  # None where the sample is too small for nested folds
 
     @property
     def n(self) -> int:
         return self.ols.n
 
+    @property
+    def cv_r2(self) -> float | None:
+        return self.ridge and self.ridge.cv_r2
+
 
 def fit_model(
     df: DataFrame, predictors: Sequence[str], target: str, label: str, order: Sequence[str] = ("activity_date", "activity_id"), **ridge_args
@@ -62,7 +66,11 @@ def _fit_rows(rows: DataFrame, predictors: Sequence[str], target: str, label: st
     present = [w for w in weather if stats.mean[stats.names.index(w)] > 0.0]
     ridge_names = [*predictors, *present[1:]]
     ols = fit_ols(rows, ols_names, target, stats)
-    return ModelFit(label, ols, fit_ridge(rows, ridge_names, target, order, **ridge_args))
+    try:
+        ridge = fit_ridge(rows, ridge_names, target, order, centre=stats.pick([*ridge_names, target]).mean, **ridge_args)
+    except FoldError:
+        ridge = None
+    return ModelFit(label, ols, ridge)
 
 
 def fit_study(features: DataFrame, target: str, models: Mapping[str, Sequence[str]] = MODELS, **args) -> dict[str, ModelFit]:
@@ -92,7 +100,7 @@ def coefficient_table(spark: SparkSession, sport: str, fits: Mapping[str, ModelF
 
 def fit_table(spark: SparkSession, sport: str, fits: Mapping[str, ModelFit]) -> DataFrame:
     rows = [
-        (sport, m, f.n, _r(f.ols.r2, 3), _r(f.ols.r2_adj, 3), _r(f.ridge.cv_r2, 3), _r(f.ridge.cv_r2_sd, 3), _r(f.ols.f_p, 4), _r(f.ridge.best_alpha, 4))
+        (sport, m, f.n, _r(f.ols.r2, 3), _r(f.ols.r2_adj, 3), _r(f.cv_r2, 3), _r(f.ridge and f.ridge.cv_r2_sd, 3), _r(f.ols.f_p, 4), _r(f.ridge and f.ridge.best_alpha, 4))
         for m, f in fits.items()
     ]
     return spark.createDataFrame(
@@ -102,7 +110,7 @@ def fit_table(spark: SparkSession, sport: str, fits: Mapping[str, ModelFit]) ->
 
 def comparison_table(spark: SparkSession, ride: Mapping[str, ModelFit], run: Mapping[str, ModelFit]) -> DataFrame:
     rows = [
-        (m, ride[m].n, _r(ride[m].ols.r2, 3), _r(ride[m].ridge.cv_r2, 3), run[m].n, _r(run[m].ols.r2, 3), _r(run[m].ridge.cv_r2, 3))
+        (m, ride[m].n, _r(ride[m].ols.r2, 3), _r(ride[m].cv_r2, 3), run[m].n, _r(run[m].ols.r2, 3), _r(run[m].cv_r2, 3))
         for m in ride
     ]
     return spark.createDataFrame(

@@ -1,10 +1,12 @@
 """Ridge regression with nested cross-validation from per-cell moments.
 
-Rows are numbered in time order.  Outer folds are a seeded shuffle; the inner
-folds of each outer training set are contiguous in time.  Every fold is a union
-of (outer fold, time interval) cells, so one grouped aggregate over at most
-``folds * (folds * folds)`` cells serves all outer fits, inner fits and
-penalties; the rest is p-by-p algebra on the driver.
+Outer folds come from a hash of the row's id.  The inner folds of each outer
+training set are contiguous in time and made of whole days: a day belongs to
+the fifth in which its first row falls.  Every fold is a union of (outer fold,
+time interval) cells, so one grouped aggregate over at most
+``folds * folds * (folds + 1)`` cells serves all outer fits, inner fits and
+penalties; the rest is p-by-p algebra on the driver.  No row is ordered: the
+cuts follow from the number of rows per day and outer fold.
 """
 
 from __future__ import annotations
@@ -17,16 +19,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import SERIES_ROWS, ordered_counts
-from ..session import cut_lineage
 from .gram import Moments, grouped_moments, size_and_means
 
 # Penalties, folds and seed of the study.
 ALPHAS = np.logspace(-2, 4, 50)
 FOLDS = 5
 SEED = 42
-# Up to this many rows the shuffle is numpy's seeded permutation; beyond, rows are shuffled by hash.
-PERMUTED_ROWS = 200_000
+
+
+class FoldError(ValueError):
+    """A fold without rows: the sample is too small for nested cross-validation."""
 
 
 @dataclass(frozen=True)
@@ -48,54 +50,35 @@ class RidgeFit:
         return float(self.scores.std())
 
 
-def fold_starts(n: int, folds: int) -> np.ndarray:
-    """First position of each fold plus the end; the first ``n % folds`` folds get one more row."""
-    sizes = np.full(folds, n // folds)
-    sizes[: n % folds] += 1
-    return np.concatenate([[0], np.cumsum(sizes)])
+def outer_fold(ids: Sequence[str], folds: int = FOLDS, seed: int = SEED) -> Column:
+    """Outer fold of a row from the MD5 of seed and id, the same in any engine."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ids])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % folds).cast("int")
 
 
-def _step(position: Column, bounds: Sequence[int]) -> Column:
-    """How many bounds are at or below the position."""
-    return reduce(lambda a, b: a + (position >= F.lit(int(b))).cast("int"), bounds, F.lit(0))
+def _day_counts(rows: DataFrame, time: str, folds: int) -> tuple[list, np.ndarray]:
+    """Days in order, NULL last, and rows per day and outer fold."""
+    per_fold = [F.count_if(F.col("_fold") == k).alias(f"_n{k}") for k in range(folds)]
+    # One row per day.
+    found = rows.groupBy(time).agg(*per_fold).orderBy(F.col(time).asc_nulls_last()).collect()
+    return [r[time] for r in found], np.array([[r[f"_n{k}"] for k in range(folds)] for r in found]).reshape(-1, folds)
 
 
-def _permuted(df: DataFrame, order: Sequence[Column], n: int, folds: int, seed: int, max_rows: int):
-    """Outer folds by numpy's permutation of the row numbers (bounded size, broadcast)."""
-    numbered = ordered_counts(df, order, {"_idx": F.lit(True)}, max_rows=max_rows, longest=n)
-    shuffled = np.arange(n)
-    np.random.RandomState(seed).shuffle(shuffled)
-    starts = fold_starts(n, folds)
-    fold_of = np.empty(n, dtype=np.int64)
-    for k in range(folds):
-        fold_of[shuffled[starts[k] : starts[k + 1]]] = k
-    inner = {}
-    for k in range(folds):
-        training = np.flatnonzero(fold_of != k)
-        inner[k] = [int(training[p]) for p in fold_starts(len(training), folds)[1:-1]]
-    lookup = df.sparkSession.createDataFrame([(i, int(f)) for i, f in enumerate(fold_of)], "_idx long, _fold int")
-    return numbered.join(F.broadcast(lookup), "_idx"), inner
-
-
-def _hashed(df: DataFrame, order: Sequence[Column], ids: Sequence[str], n: int, folds: int, seed: int, max_rows: int):
-    """Outer folds of exact size from a hash order; nothing grows on the driver."""
-    mixed = [F.xxhash64(F.lit(seed), *ids).asc(), *[F.col(c).asc() for c in ids]]
-    placed = ordered_counts(df, mixed, {"_mix": F.lit(True)}, max_rows=max_rows, longest=n)
-    placed = placed.withColumn("_fold", _step(F.col("_mix"), fold_starts(n, folds)[1:-1])).drop("_mix")
-    counts = {"_idx": F.lit(True)} | {f"_seen{k}": F.col("_fold") == k for k in range(folds)}
-    # Read twice (boundaries, then cells): keep the numbering instead of sorting again.
-    numbered = cut_lineage(ordered_counts(placed, order, counts, max_rows=max_rows, longest=n))
-    sizes = np.diff(fold_starts(n, folds))
-    wanted = None
-    for k in range(folds):
-        ranks = [int(p) for p in fold_starts(n - int(sizes[k]), folds)[1:-1]]
-        hit = (F.col("_fold") != k) & (F.col("_idx") - F.col(f"_seen{k}")).isin(ranks)
-        entry = F.when(hit, F.struct(F.lit(k).alias("k"), F.col("_idx").alias("at")))
-        wanted = [entry] if wanted is None else [*wanted, entry]
-    # folds * (folds - 1) boundary rows in total.
-    found = numbered.select(F.inline(F.filter(F.array(*wanted), lambda e: e.isNotNull()))).collect()
-    inner = {k: sorted(r["at"] for r in found if r["k"] == k) for k in range(folds)}
-    return numbered.drop(*[f"_seen{k}" for k in range(folds)]), inner
+def day_cuts(counts: np.ndarray, folds: int) -> list[int]:
+    """For training rows per day: index of the first day of each later fold (repeats where a fold is empty)."""
+    before = np.cumsum(counts) - counts
+    label = np.minimum(before * folds // max(int(counts.sum()), 1), folds - 1)
+    label = np.maximum.accumulate(label)
+    return [int(np.searchsorted(label, j)) for j in range(1, folds)]
+
+
+def _interval(time: str, days: Sequence, bounds: Sequence[int]) -> Column:
+    """How many of the bounding days are at or before the row's day; NULL comes last."""
+    out = F.lit(0)
+    for b in bounds:
+        reached = F.col(time).isNull() if days[b] is None else F.coalesce(F.col(time) >= F.lit(days[b]), F.lit(True))
+        out = out + reached.cast("int")
+    return out
 
 
 def _about(m: Moments, point: np.ndarray) -> np.ndarray:
@@ -152,31 +135,37 @@ def fit_ridge(
     alphas: np.ndarray = ALPHAS,
     folds: int = FOLDS,
     seed: int = SEED,
-    max_rows: int = SERIES_ROWS,
-    permuted_rows: int = PERMUTED_ROWS,
+    centre: np.ndarray | None = None,
 ) -> RidgeFit:
-    """Nested-CV score and the final fit; ``order`` names the time column and a unique id."""
+    """Nested-CV score and the final fit; ``order`` names the day column and the columns of a unique id.
+
+    The rule is the same at every size; a fold without rows raises ``FoldError``.
+    ``centre`` saves the pass for the column means when they are known.
+    """
+    time, ids = order[0], list(order[1:]) or list(order)
     columns = [*predictors, target]
-    df = df.select(*order, *[c for c in columns if c not in order])
-    n, centre = size_and_means(df, columns)
-    if n < folds * folds:
-        raise ValueError(f"{n} rows are too few for {folds} nested folds")
-    by = [F.col(c).asc_nulls_last() for c in order]
-    if n <= permuted_rows:
-        rows, inner = _permuted(df, by, n, folds, seed, max_rows)
-    else:
-        rows, inner = _hashed(df, by, order, n, folds, seed, max_rows)
-    full = [int(p) for p in fold_starts(n, folds)[1:-1]]
-    bounds = sorted({b for k in inner for b in inner[k]} | set(full))
-    cells = rows.withColumn("_cell", _step(F.col("_idx"), bounds))
+    rows = df.select(*order, *[c for c in columns if c not in order]).withColumn("_fold", outer_fold(ids, folds, seed))
+    if centre is None:
+        centre = size_and_means(rows, columns)[1]
+    days, per_day = _day_counts(rows, time, folds)
+    n = int(per_day.sum())
+    if n == 0 or (per_day.sum(axis=0) == 0).any():
+        raise FoldError(f"{n} rows leave an outer fold of {folds} empty")
+    inner = {k: day_cuts(per_day.sum(axis=1) - per_day[:, k], folds) for k in range(folds)}
+    full = day_cuts(per_day.sum(axis=1), folds)
+    bounds = sorted({b for cuts in [full, *inner.values()] for b in cuts if b < len(days)})
+    cells = rows.withColumn("_cell", _interval(time, days, bounds))
     by_cell = grouped_moments(cells, columns, ["_fold", "_cell"], centre)
     starts = [0, *bounds]
 
     def gather(keep) -> Moments:
-        return reduce(lambda a, b: a + b, [m for (fold, cell), m in by_cell.items() if keep(fold, starts[cell])])
+        parts = [m for (fold, cell), m in by_cell.items() if keep(fold, starts[cell])]
+        if not parts:
+            raise FoldError(f"{n} rows leave an inner fold of {folds} empty")
+        return reduce(lambda a, b: a + b, parts)
 
     def contiguous(cuts: Sequence[int], outside: int | None) -> list[Moments]:
-        edges = [0, *cuts, n]
+        edges = [0, *cuts, len(days)]
         return [
             gather(lambda fold, at, lo=lo, hi=hi: fold != outside and lo <= at < hi) for lo, hi in zip(edges, edges[1:])
         ]
