@@ -153,3 +153,36 @@ def activity_csv(spark: SparkSession, raw: DataFrame) -> str:
     path = scratch_path(spark, "activity-csv")
     lines.mapInPandas(with_header, "value string").write.text(path)
     return path
+
+
+def whole_documents(raw: DataFrame, table: str, files: int) -> str:
+    """The flat source as the export has it: many files, each one document that is an array over several lines."""
+    whole = raw.withColumn("user_profile_pk", F.rint("user_profile_pk"))
+    columns = ["athlete_id", *_profile(whole), *_wire(whole, S.FLAT_SOURCES[table])]
+    # Extra fields of a newer export: one flat, one nested.
+    record = F.to_json(F.struct(*[F.col(c) if isinstance(c, str) else c for c in columns], F.struct(F.lit(1).alias("a")).alias("extraNested")))
+
+    def document(batches):
+        records = [r for batch in batches for r in batch["value"]]
+        yield pd.DataFrame({"value": ["[" + ",\n ".join(records) + "\n]"]})
+
+    path = scratch_path(raw.sparkSession, "documents")
+    # A file's records come from one partition; there are as many as asked for.
+    spread = whole.select(record.alias("value")).repartition(files)
+    spread.mapInPandas(document, "value string").write.text(path)
+    return path
+
+
+def activity_csv_orders(spark: SparkSession, raw: DataFrame) -> str:
+    """The activity log in three kinds of files: two orders of the columns, and one without a column."""
+    fields = [f.raw for f in C.ACTIVITY_LOG if f.raw not in ("activity_date", "started_at")]
+    orders = [["_when", *fields, "athlete_id"], ["athlete_id", *reversed(fields), "_when"], ["_when", "athlete_id", *[f for f in fields if f != "uv_index"]]]
+    path = scratch_path(spark, "activity-orders")
+    shown = raw.select(
+        F.date_format("started_at", "MMM d, yyyy, h:mm:ss a").alias("_when"), *[F.col(n).cast("string").alias(n) for n in [*fields, "athlete_id"]]
+    ).withColumn("_kind", F.pmod(F.xxhash64("activity_id"), F.lit(3)))
+    for kind, names in enumerate(orders):
+        headers = ["activity_date" if n == "_when" else n for n in names]
+        part = shown.filter(F.col("_kind") == kind).select([F.col(n).alias(h.replace("_", " ").title()) for n, h in zip(names, headers)])
+        part.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{path}/kind-{kind}")
+    return f"{path}/*"

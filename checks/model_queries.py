@@ -97,6 +97,29 @@ def activity_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return times_as_text(staging.activity_log(raw, ATHLETE))
 
 
+@query("s1_s5_s7_whole_document_files", model_sql("stg_garmin__training_readiness"))
+def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many files of one array each, read as whole documents by ingest; nested fields go."""
+    source = "garmin__training_readiness"
+    path = files.whole_documents(spark_raw(spark, sf_dir, source)[source], source, 16)
+    records = readers.read_json(spark, path, f"{schemas.flat_ddl(source)}, athlete_id BIGINT", multi_line=True)
+    stored = build.write_raw(spark, {source: flatten.flat_table(records, source, ATHLETE)}, scratch_path(spark, "raw"))
+    return times_as_text(staging.STAGED[source][1](stored[source], ATHLETE))
+
+
+# The activities whose file has no such column show NULL; which file is decided by Spark's hash.
+@query("s2_activity_csv_header_orders", with_models(
+    """SELECT athlete_id, activity_id, activity_name, activity_type, distance_m, moving_time_s, elevation_gain_m, average_heart_rate_bpm,
+       CAST(date_trunc('second', started_at) AS VARCHAR) AS started_at FROM stg_strava__activities""", "stg_strava__activities"))
+def csv_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of three headers, each read under its own."""
+    path = files.activity_csv_orders(spark, spark_raw(spark, sf_dir, "strava__activities")["strava__activities"])
+    raw = readers.read_activity_csv(spark, path).withColumn("athlete_id", F.col("athlete_id").cast("bigint"))
+    staged = staging.activity_log(raw, ATHLETE)
+    columns = ("activity_id", "activity_name", "activity_type", "distance_m", "moving_time_s", "elevation_gain_m", "average_heart_rate_bpm", "started_at")
+    return times_as_text(staged.select(*ATHLETE, *columns))
+
+
 # --- marts -------------------------------------------------------------------
 
 
@@ -457,3 +480,17 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     rides = report.fit_study(features.engineer(_rides(spark, sf_dir)), "average_watts")
     runs = report.fit_study(features.engineer(_runs(spark, sf_dir)), "gap_speed")
     return report.comparison_table(spark, rides, runs)
+
+
+@query("r8_readiness_coefficients")
+def readiness_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readiness coefficient of every model of both sports."""
+    rides = report.fit_study(features.engineer(_rides(spark, sf_dir)), "average_watts")
+    runs = report.fit_study(features.engineer(_runs(spark, sf_dir)), "gap_speed")
+    return report.readiness_table(spark, {"ride": rides, "run": runs})
+
+
+@query("r2_r3_ride_coefficients")
+def ride_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients, robust errors, z and p of the three ride models."""
+    return report.coefficient_table(spark, "ride", report.fit_study(features.engineer(_rides(spark, sf_dir)), "average_watts"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from trainlake.plans import contracts as C
 
+from .expected import columns
 from .inputs import DUCK_EV, RAW_SQL
 
 _SQL_TYPE = {
@@ -242,33 +243,8 @@ def model_sql(name: str) -> str:
     return with_models(as_text(name), name)
 
 
-_TIMES = {"timestamp", "date"}
-
-
-def time_columns(model: str) -> list[str]:
-    """Names of the day and time columns of a model, alphabetical."""
-    contracts = {
-        "stg_strava__activities": C.ACTIVITY_LOG, "stg_garmin__activities": C.DEVICE_ACTIVITIES,
-        "stg_garmin__daily_summary": C.DAILY_SUMMARY, "stg_garmin__sleep": C.SLEEP,
-        "stg_garmin__training_readiness": C.TRAINING_READINESS, "stg_garmin__training_status": C.TRAINING_STATUS,
-        "stg_garmin__vo2max": C.VO2MAX, "stg_garmin__run_race_predictions": C.RACE_PREDICTIONS,
-    }
-    extra = {
-        "stg_garmin__activities": ["started_at_utc", "start_time_utc", "start_time_local"],
-        "stg_garmin__daily_summary": ["resting_hr_measured_at"],
-        "stg_garmin__health_status": ["calendar_date", "created_at_utc"],
-        "stg_garmin__training_load": ["calendar_date", "assessed_at_utc"],
-        "stg_garmin__endurance_score": ["calendar_date", "assessed_at_utc"],
-        "stg_garmin__hill_score": ["calendar_date", "assessed_at_utc"],
-        "int_garmin__daily": ["calendar_date", "sleep_start_utc", "sleep_end_utc", "readiness_assessed_at_local"],
-        "fct_activity": ["activity_date", "started_at"],
-        "fct_ride": ["activity_date", "started_at"],
-        "fct_run": ["activity_date", "started_at"],
-    }
-    own = [f.staged for f in contracts.get(model, ()) if f.kind in _TIMES]
-    return sorted({*own, *extra.get(model, [])})
-
-
 def as_text(model: str) -> str:
-    texts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in time_columns(model))
-    return f"SELECT * REPLACE ({texts}) FROM {model}" if texts else f"SELECT * FROM {model}"
+    """The columns a model must have, named one by one; days and times as text."""
+    times = ("date", "timestamp_ntz", "timestamp")
+    shown = [f"CAST({c} AS VARCHAR) AS {c}" if t in times else c for c, t in columns(model)]
+    return f"SELECT {', '.join(shown)} FROM {model}"

@@ -616,6 +616,22 @@ def ols_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "term string, coef double, std_err double")
 
 
+@query(
+    "r2_ols_line_one_predictor",
+    """WITH m AS (SELECT avg(l_quantity) AS ma, avg(l_extendedprice) AS my, CAST(count(*) AS DOUBLE) AS n FROM lineitem),
+       c AS (SELECT l_quantity - ma AS a, l_extendedprice - my AS y FROM lineitem, m),
+       g AS (SELECT sum(a * a) AS aa, sum(a * y) AS ay, sum(y * y) AS yy FROM c),
+       e AS (SELECT a, y - a * ay / aa AS r, 1 / n + a * a / aa AS h FROM c, m, g),
+       v AS (SELECT sum(a * a * power(r / (1 - h), 2)) AS meat FROM e)
+       SELECT round(1 - (1 - ay * ay / aa / yy) * (n - 1) / (n - 2), 10) AS r2_adj, round((ay / aa) / (sqrt(meat) / aa), 6) AS z,
+              round(power((ay / aa) / (sqrt(meat) / aa), 2), 6) AS f_value FROM m, g, v""",
+)
+def ols_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjusted R2, z of the slope, and the Wald F, which is its square."""
+    fit = ols.fit_ols(_lines(spark, sf_dir), ["l_quantity"], "l_extendedprice")
+    return spark.createDataFrame([(round(fit.r2_adj, 10), round(float(fit.z[1]), 6), round(fit.f_value, 6))], "r2_adj double, z double, f_value double")
+
+
 @query(
     "r6_vif",
     """SELECT unnest(['l_quantity', 'l_discount']) AS term, round(1 / (1 - power(corr(l_quantity, l_discount), 2)), 9) AS vif FROM lineitem""",
