@@ -147,3 +147,20 @@ def test_wire_names_follow_the_rule():
     assert schemas.wire_name("race_time5_k") == "raceTime5K"
     assert schemas.wire_name("vo2_max_value") == "vo2MaxValue"
     assert schemas.wire_name("sleep_start_timestamp_gmt") == "sleepStartTimestampGMT"
+
+
+def test_days_reach_the_files(spark, sf):
+    """A date range on the spine is pushed to all six raw tables, and one readiness value reads few columns."""
+    import re
+
+    from checks.model_queries import _lake
+
+    lake = _lake(spark, sf)
+    days = lake.daily.filter("calendar_date >= DATE '2024-01-04' AND calendar_date <= DATE '2024-01-05'")
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"PushedFilters: \[(.*)", plan)
+    assert len(scans) == 6 and all("_day" in s for s in scans)
+    one = lake.table("stg_garmin__training_readiness").select("athlete_id", "calendar_date", "readiness_score")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    [schema] = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert len(schema.split(",")) < 8

@@ -44,9 +44,18 @@ def ingest(
 
 
 def write_raw(spark: SparkSession, raw: dict[str, DataFrame], lake: str) -> dict[str, DataFrame]:
-    """Create or replace the raw tables; returns them as read back."""
+    """Create or replace the raw tables; returns them as read back.
+
+    Tables of day grain keep their day as a date and are laid out by it, so
+    that a question about some days reads only their files.
+    """
+    stored = {}
     with case_sensitive(spark):
-        return {name: tables.write_table(df, lake, "raw", name) for name, df in raw.items()}
+        for name, df in raw.items():
+            kept = staging.keep_day(df, name)
+            by = (staging.TYPED_DAY, staging.ROW_HASH) if staging.TYPED_DAY in kept.columns else ()
+            stored[name] = tables.write_table(kept, lake, "raw", name, by)
+    return stored
 
 
 class Lake:

@@ -40,14 +40,53 @@ def _clock(raw: DataFrame, name: str) -> Column:
     return convert(f"`{name}`", raw.schema[name].dataType, "timestamp")
 
 
+# Columns that ``keep_day`` adds to a raw table.
+TYPED_DAY, ROW_HASH = "_day", "_row_hash"
+
+
+def _text_day(raw: DataFrame) -> Column:
+    return F.col(DAY).cast("date")
+
+
+def _epoch_text_day(raw: DataFrame) -> Column:
+    return epoch_ms(F.col("calendar_date_ms" if "calendar_date_ms" in raw.columns else DAY)).cast("date")
+
+
+# Raw tables of day grain -> their typed day.
+DAY_OF = {
+    "garmin__daily_summary": _text_day,
+    "garmin__sleep": _text_day,
+    "garmin__health_status": _text_day,
+    "garmin__training_readiness": _text_day,
+    "garmin__training_load": _epoch_text_day,
+    "garmin__training_status": _text_day,
+    "garmin__endurance_score": _epoch_text_day,
+    "garmin__hill_score": _epoch_text_day,
+    "garmin__run_race_predictions": _text_day,
+}
+
+
+def keep_day(raw: DataFrame, source: str) -> DataFrame:
+    """Add the typed day and a fingerprint of the row, so that staged days can be pruned in the files
+    and ties broken without reading every column."""
+    if source not in DAY_OF or TYPED_DAY in raw.columns:
+        return raw
+    return raw.withColumns({TYPED_DAY: DAY_OF[source](raw), ROW_HASH: row_fingerprint(raw.columns)})
+
+
+def _typed(raw: DataFrame, day: Column) -> DataFrame:
+    """The raw table with its day as a date, the stored one where there is one."""
+    return raw.withColumn(DAY, F.col(TYPED_DAY) if TYPED_DAY in raw.columns else day)
+
+
 def _latest_day(raw: DataFrame, day: Column, assessed: Column, keys: Sequence[str]) -> DataFrame:
     """One row per day by assessment time.
 
     The day is typed before the window, so the later joins on it reuse the
     window's partitioning.
     """
-    tie = row_fingerprint([f.name for f in raw.schema.fields])
-    typed = raw.withColumns({"_tie": tie, "_assessed": assessed}).withColumn(DAY, day)
+    tie = F.col(ROW_HASH) if ROW_HASH in raw.columns else row_fingerprint(raw.columns)
+    typed = _typed(raw.withColumns({"_tie": tie, "_assessed": assessed}), day)
     return latest_per_key(typed, [*keys, DAY], "_assessed", ["_tie"])
 
 
@@ -75,7 +114,7 @@ def device_activities(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def daily_summary(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     measured = epoch_ms_frac(F.col("resting_heart_rate_timestamp_ms"))
-    return stage(raw, C.DAILY_SUMMARY, keys, {"resting_hr_measured_at": measured})
+    return stage(_typed(raw, _text_day(raw)), C.DAILY_SUMMARY, keys, {"resting_hr_measured_at": measured})
 
 
 def sleep(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -83,7 +122,7 @@ def sleep(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     total = M.total_sleep_s(
         _int(raw, "deep_sleep_seconds"), _int(raw, "light_sleep_seconds"), _int(raw, "rem_sleep_seconds")
     )
-    return stage(worn, C.SLEEP, keys, {"total_sleep_s": total})
+    return stage(_typed(worn, _text_day(raw)), C.SLEEP, keys, {"total_sleep_s": total})
 
 
 def health_status(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -99,7 +138,7 @@ def health_status(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         metric: {alias: sources[field] for field, alias in C.pairs(text).items()}
         for metric, text in C.HEALTH_METRICS.items()
     }
-    known = raw.filter(F.col("status") != "UNKNOWN").withColumn(DAY, F.col(DAY).cast("date"))
+    known = _typed(raw.filter(F.col("status") != "UNKNOWN"), _text_day(raw))
     extra = [
         any_row(F.col("status") == "ONBOARDING").alias("is_onboarding"),
         F.max(_int(raw, "outliers_count")).alias("outliers_count"),
@@ -110,15 +149,14 @@ def health_status(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def training_readiness(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     assessed = _clock(raw, "timestamp")
-    latest = _latest_day(raw, F.col(DAY).cast("date"), assessed, keys)
+    latest = _latest_day(raw, _text_day(raw), assessed, keys)
     return stage(latest.filter(F.col("level") != "NONE"), C.TRAINING_READINESS, keys)
 
 
 def _epoch_day(raw: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Latest per day for sources whose day and time are epoch milliseconds."""
-    day_ms = "calendar_date_ms" if "calendar_date_ms" in raw.columns else DAY
     time_ms = "timestamp_ms" if "timestamp_ms" in raw.columns else "timestamp"
-    return _latest_day(raw, epoch_ms(F.col(day_ms)).cast("date"), epoch_ms(F.col(time_ms)), keys)
+    return _latest_day(raw, _epoch_text_day(raw), epoch_ms(F.col(time_ms)), keys)
 
 
 def _epoch_stage(latest: DataFrame, fields: Sequence[C.Field], keys: Sequence[str]) -> DataFrame:
@@ -132,7 +170,7 @@ def training_load(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def training_status(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     assessed = _clock(raw, "timestamp")
-    return stage(_latest_day(raw, F.col(DAY).cast("date"), assessed, keys), C.TRAINING_STATUS, keys)
+    return stage(_latest_day(raw, _text_day(raw), assessed, keys), C.TRAINING_STATUS, keys)
 
 
 def vo2max(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -150,7 +188,7 @@ def hill_score(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def run_race_predictions(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     assessed = _clock(raw, "timestamp")
-    latest = _latest_day(raw, F.col(DAY).cast("date"), assessed, keys)
+    latest = _latest_day(raw, _text_day(raw), assessed, keys)
     seconds = {"5k": "race_time5_k", "10k": "race_time10_k", "half": "race_time_half", "marathon": "race_time_marathon"}
     paces = {f"predicted_{race}_pace_min_per_km": M.predicted_pace(F.col(c), race) for race, c in seconds.items()}
     return stage(latest, C.RACE_PREDICTIONS, keys, paces)
