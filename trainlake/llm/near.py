@@ -57,7 +57,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _describe(n_words: int):
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, sig binary"
+    schema = "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,11 +65,12 @@ def _describe(n_words: int):
                 values, offsets = shingle_sets(words, n_words)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(s)))]) for s in (7, 77)]
                 d1, d2 = [(s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums]
-                rows = [s.tobytes() for s in signatures(values, offsets)]
+                sigs = signatures(values, offsets)
+                rows = [[s.tobytes() for s in kind] for kind in (sigs, sigs.astype(np.uint8))]
                 ids = batch["doc_id"].slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.diff(offsets), pa.int64()), pa.array(d1), pa.array(d2), pa.array(rows, pa.binary())],
-                    names=["doc_id", "n_shingles", "d1", "d2", "sig"],
+                    [ids, pa.array(np.diff(offsets), pa.int64()), pa.array(d1), pa.array(d2), *[pa.array(r, pa.binary()) for r in rows]],
+                    names=["doc_id", "n_shingles", "d1", "d2", "sig", "bytes"],
                 )
 
     return run, schema
@@ -123,13 +124,15 @@ def _leader_pairs(classes: DataFrame) -> DataFrame:
     postings = _postings(classes)
     lists = postings.groupBy("key").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).filter("leader != last")
     pairs = postings.join(lists.select("key", "leader"), "key").filter("cls != leader").select("leader", "cls").distinct()
-    sigs = classes.select("cls", "sig")
-    both = pairs.join(sigs, "cls").join(sigs.select(F.col("cls").alias("leader"), F.col("sig").alias("leader_sig")), "leader")
+    # One byte per coordinate is enough here: equal values stay equal, few others become so.
+    sigs = classes.select("cls", "bytes")
+    both = pairs.join(sigs, "cls").join(sigs.select(F.col("cls").alias("leader"), F.col("bytes").alias("leader_bytes")), "leader")
 
     def near(batches):
         for batch in batches:
             if batch.num_rows:
-                same = (_keys(batch["sig"]) == _keys(batch["leader_sig"])).sum(axis=1) >= LEADER_MATCHES
+                own, other = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("bytes", "leader_bytes"))
+                same = (own == other).sum(axis=1) >= LEADER_MATCHES
                 yield batch.select(["leader", "cls"]).filter(pa.array(same))
 
     return both.mapInArrow(near, "leader long, cls long")
@@ -229,12 +232,14 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     run, schema = _describe(n_words)
     described = stored(docs.mapInArrow(run, schema), "signatures")
     some = described.filter("n_shingles > 0")
-    classes = stored(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"), F.min_by("sig", "doc_id").alias("sig")), "classes")
+    classes = stored(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"), F.min_by("sig", "doc_id").alias("sig"), F.min_by("bytes", "doc_id").alias("bytes")), "classes")
 
     # A class is named by its smallest document, whose text stands for it.
     pairs = stored(_leader_pairs(classes), "pairs")
     run, schema = _compare(n_words, percent, 100)
-    texts = docs.join(pairs.select(F.col("cls").alias("doc_id")).union(pairs.select("leader")).distinct(), "doc_id", "left_semi")
+    wanted = pairs.select(F.col("cls").alias("doc_id")).union(pairs.select("leader")).distinct()
+    # The ids grow with the corpus, so they are not sent to every task even where they are few.
+    texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi")
     texts = stored(texts, "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("cls"), "text"), "cls")
     both = both.join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("leader_text")), "leader")
