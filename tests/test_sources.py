@@ -209,7 +209,7 @@ def test_from_export_files_to_answers(spark, folder):
     assert str(queries.newest_activity_day(lake.activity.limit(0)).first()[0]) == queries.FALLBACK_DAY
 
     found = series.metric_series(lake, "ride_power", "average_wkg", start_date="2024-01-01")
-    assert found.summary() == {"summary": "Chart: Avg W/kg (2024-01-01 to 2024-01-01) - 2 data points from 2024-01-01 to 2024-01-01.", "data_points": 2}
+    assert found.summary() == {"summary": "Avg W/kg (2024-01-01 to 2024-01-01): 2 points, 2024-01-01 to 2024-01-01", "data_points": 2}
     with pytest.raises(series.SeriesError, match="No data"):
         series.metric_series(lake, "activity", "distance_km", "Yoga").summary()
     with pytest.raises(series.SeriesError, match="Unknown metric"):

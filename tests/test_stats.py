@@ -135,6 +135,16 @@ def test_tails():
     assert D.f_upper_tail(1.7, 2, 30) == pytest.approx((1 + 2 * 1.7 / 30) ** -15, abs=1e-12)
 
 
+def test_tails_of_many_degrees_of_freedom():
+    # Two degrees of freedom above: an exponential, whatever lies below.
+    assert D.chi2_upper_tail(7.0, 2) == pytest.approx(np.exp(-3.5), rel=1e-12)
+    assert D.chi2_upper_tail(0.4, 2) == pytest.approx(np.exp(-0.2), rel=1e-12)
+    # Four degrees of freedom: (1 + x/2) exp(-x/2).
+    assert D.chi2_upper_tail(30.0, 4) == pytest.approx(16 * np.exp(-15), rel=1e-12)
+    assert D.f_upper_tail(1.7, 2, 1e12) == pytest.approx(np.exp(-1.7), rel=1e-6)
+    assert D.f_upper_tail(3.0, 5, 0.99e7) == pytest.approx(D.f_upper_tail(3.0, 5, 1.01e7), rel=1e-5)
+
+
 def test_study_uses_weather_levels(spark):
     rng = np.random.default_rng(1)
     rows = []

@@ -131,7 +131,7 @@ def repair_date_argument(value: str | date | None, name: str = "date") -> date |
             return datetime.strptime(value, fmt).date()
         except ValueError:
             pass
-    raise ValueError(f"Invalid date format for {name}: {value!r}. Use ISO format (YYYY-MM-DD).")
+    raise ValueError(f"{name} is no date: {value!r} (expected like 2026-01-31)")
 
 
 def repair_date_column(col: Column) -> Column:

@@ -153,7 +153,7 @@ class Series:
         if self.start_date or self.end_date:
             title += f" ({self.start_date or first} to {self.end_date or last})"
         plural = "" if n == 1 else "s"
-        return {"summary": f"Chart: {title} - {n} data point{plural} from {first} to {last}.", "data_points": n}
+        return {"summary": f"{title}: {n} point{plural}, {first} to {last}", "data_points": n}
 
 
 def metric_series(

@@ -59,7 +59,7 @@ def fields_of(struct: str, fields: Mapping[str, str]) -> list[Column]:
     return [F.col(f"{struct}.{field}").alias(name) for name, field in fields.items()]
 
 
-def flat_records(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def flat_records(df: DataFrame) -> DataFrame:
     """Flat records with inferred columns: snake_case names, nested columns dropped, NaN as NULL."""
     return nan_to_null(drop_nested(snake_columns(df)))
 
