@@ -274,6 +274,8 @@ def _scorer(chain):
                     else:
                         found[d].append({"start": s - zero, "end": e - zero, "k": k})
             spans += [[{"start": f["start"], "end": f["end"]} for f in fs] for fs in found]
+        # What the pieces took is given back; the worker lives on for other stages.
+        pa.default_memory_pool().release_unused()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.StructArray.from_arrays([pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(spans, kind)], names=["score", "spans"])
 

@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``.  All functions
 work on the UTF-8 bytes of many documents at once, so no Python code runs per
-word.  Batches are cut into pieces of a few megabytes (at least one document),
+word.  Batches are cut into pieces of half a megabyte (at least one document),
 which bounds the memory of the byte-wide arrays.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1_000_000
+PIECE_BYTES = 500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -35,7 +35,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**n modulo 2**64; kept and extended as needed."""
     have = _POWERS.get(base)
     if have is None or len(have) <= n:
-        steps = np.full(max(n + 1, 1_200_000), base & (2**64 - 1), dtype=_U)
+        steps = np.full(max(n + 1, 600_000), base & (2**64 - 1), dtype=_U)
         steps[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(steps)
     return have
