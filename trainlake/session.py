@@ -20,6 +20,8 @@ RUNTIME_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows handed to a Python worker at a time; texts can be long.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
