@@ -90,3 +90,27 @@ def test_components_of_a_chain(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def shared_leader(seed, n):
+    """Near copies in pairs, all made of a few hundred shingles or of common passages."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(16)]
+    passages = [[f"p{j}q{k}" for k in range(12)] for j in range(40)]
+    docs = []
+    for k in range(n):
+        if k % 2:
+            t = [rng.choice(vocabulary) for _ in range(60)]
+        else:
+            t = [w for j in rng.sample(range(40), 6) for w in passages[j]]
+        copy = list(t)
+        copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        docs += [t, copy]
+    rng.shuffle(docs)
+    return [(k, " ".join(t)) for k, t in enumerate(docs)]
+
+
+def test_recurring_shingles_equal_brute_force(spark):
+    docs = shared_leader(5, 1000)
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2)
+    assert result(got) == brute(docs, 2)

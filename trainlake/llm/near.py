@@ -6,9 +6,10 @@ its (coordinate, value) pairs.  A pair of classes that agrees on at least
 ``COORDINATES - MATCHES + 1`` of them in any common order, so only that prefix
 is posted, rarest values first (frequencies of all documents, kept in a sketch
 of fixed size).  Long posting lists are not paired with themselves: each class
-meets the smallest class of its list, its leader, and the rest is skipped.
-Leader pairs whose signatures agree on ``LEADER_MATCHES`` are compared on
-their full sets.
+meets the smallest class of its list, its leader.  Leader pairs whose
+signatures agree on ``LEADER_MATCHES`` are compared on their full sets.  The
+others of a list, with the classes that may be near them, are paired where
+they are few, and else posted again under one more shared key.
 
 What the skipping leaves out is found by a second join.  Let x miss the
 threshold with leader L, y be linked with x, and D be the symmetric difference
@@ -27,6 +28,7 @@ the operator was checked with, components equal those of all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,10 @@ COORDINATES = 64
 MATCHES = 36
 # Leaders may be further away than the pairs they stand for.
 LEADER_MATCHES = 24
+# Keys of a class that are posted.
+PREFIX = COORDINATES - MATCHES + 1
+# Lists up to this length are paired whole where their leader does not settle them.
+SHORT_LIST = 16
 # Nearest leaders by which a class is held against another component.
 LEADERS = 2
 # Buckets of the frequency sketch that is sent to all tasks (2 MB).
@@ -108,39 +114,102 @@ def _frequencies(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    frequencies = classes.sparkSession.sparkContext.broadcast(_frequencies(classes))
-    prefix = COORDINATES - MATCHES + 1
+def _ordered(sig: pa.Array, frequencies: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` rarest keys of each signature, rarest first; the order is the same for all classes."""
+    keys = _keys(sig)
+    order = np.argsort(frequencies[_bucket(keys)], axis=1, kind="stable")[:, :n]
+    return np.take_along_axis(keys, order, 1)
+
+
+def _postings(classes: DataFrame, frequencies) -> DataFrame:
+    """(key, cls, place) of the rarest keys; ``place`` is the key's rank in the class."""
 
     def post(batches):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            keys = _keys(batch["sig"])
-            order = np.argsort(frequencies.value[_bucket(keys)], axis=1, kind="stable")[:, :prefix]
-            ids = np.repeat(batch["cls"].to_numpy(zero_copy_only=False), prefix)
-            yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(keys, order, 1).ravel().view(np.int64)), pa.array(ids, pa.int64())], names=["key", "cls"])
+            keys = _ordered(batch["sig"], frequencies.value, PREFIX)
+            ids = np.repeat(batch["cls"].to_numpy(zero_copy_only=False), PREFIX)
+            places = np.tile(np.arange(PREFIX, dtype=np.int32), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids, pa.int64()), pa.array(places)], names=["key", "cls", "place"])
 
-    return classes.select("cls", "sig").mapInArrow(post, "key long, cls long")
+    return classes.select("cls", "sig").mapInArrow(post, "key long, cls long, place int")
 
 
-def _leader_pairs(classes: DataFrame) -> DataFrame:
-    """(leader, cls) of classes that share a prefix posting and enough coordinates."""
-    postings = _postings(classes)
-    lists = postings.groupBy("key").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).filter("leader != last")
-    pairs = postings.join(lists.select("key", "leader"), "key").filter("cls != leader").select("leader", "cls").distinct()
+def _split(postings: DataFrame, classes: DataFrame, frequencies, level: int) -> DataFrame:
+    """Postings of ``level`` keys each, with every later key that can be the next one a pair shares.
+
+    Of at least ``MATCHES`` shared keys the one of rank r (from 0) has at most
+    place ``PREFIX - 1 + r`` in both classes.
+    """
+
+    def split(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 50):
+                batch = whole.slice(at, 50)
+                ordered = mix(_ordered(batch["sig"], frequencies.value, PREFIX + level))
+                row = np.repeat(np.arange(batch.num_rows), batch["keys"].value_lengths().to_numpy(zero_copy_only=False))
+                keys = batch["keys"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                places = batch["places"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                more = PREFIX - 1 + level - places
+                of = np.repeat(np.arange(len(keys)), more)
+                place = places[of] + 1 + np.arange(len(of)) - np.repeat(np.cumsum(more) - more, more)
+                key = mix(keys[of] ^ ordered[row[of], place]).view(np.int64)
+                ids = batch["cls"].to_numpy(zero_copy_only=False)[row[of]]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids, pa.int64()), pa.array(place.astype(np.int32))], names=["key", "cls", "place"])
+
+    listed = postings.groupBy("cls").agg(F.collect_list("key").alias("keys"), F.collect_list("place").alias("places"))
+    return listed.join(classes.select("cls", "sig"), "cls").mapInArrow(split, "key long, cls long, place int")
+
+
+def _matched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Adds to (leader, cls) how many coordinates agree."""
     # One byte per coordinate is enough here: equal values stay equal, few others become so.
     sigs = classes.select("cls", "bytes")
     both = pairs.join(sigs, "cls").join(sigs.select(F.col("cls").alias("leader"), F.col("bytes").alias("leader_bytes")), "leader")
 
-    def near(batches):
+    def match(batches):
         for batch in batches:
             if batch.num_rows:
                 own, other = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("bytes", "leader_bytes"))
-                same = (own == other).sum(axis=1) >= LEADER_MATCHES
-                yield batch.select(["leader", "cls"]).filter(pa.array(same))
+                same = pa.array((own == other).sum(axis=1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch["leader"], batch["cls"], same], names=["leader", "cls", "same"])
 
-    return both.mapInArrow(near, "leader long, cls long")
+    return both.mapInArrow(match, "leader long, cls long, same int")
+
+
+def _leader_pairs(classes: DataFrame) -> DataFrame:
+    """(leader, cls) such that two classes that agree on ``MATCHES`` coordinates are a pair or have a common leader.
+
+    Classes of a list that the leader does not keep, and those that may be
+    near one of them, go on: short lists are paired whole, long ones are split
+    by a further key.  Lists of ``LEADER_MATCHES`` keys are kept whole by
+    their leader, so the levels end.
+    """
+    frequencies = classes.sparkSession.sparkContext.broadcast(_frequencies(classes))
+    postings = _postings(classes, frequencies)
+    found = []
+    for level in range(1, COORDINATES):
+        lists = postings.groupBy("key").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).filter("leader != last")
+        members = stored(postings.join(lists.select("key", "leader"), "key").filter("cls != leader"), "members")
+        matched = stored(_matched(members.select("leader", "cls").distinct(), classes), "matched")
+        found.append(matched.filter(F.col("same") >= LEADER_MATCHES).select("leader", "cls"))
+        placed = members.join(matched, ["leader", "cls"])
+        # Agreements of a class with its leader and of a class near it differ by the disagreements of a pair at most.
+        far = placed.filter(F.col("same") < LEADER_MATCHES).groupBy("key").agg((F.max("same") + COORDINATES - MATCHES).alias("upto"))
+        rest = placed.join(far, "key").filter("same <= upto").select("key", "cls", "place", "same")
+        sizes = rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        rest = stored(rest.join(sizes, "key"), "rest")
+        short = rest.filter(F.col("n") <= SHORT_LIST)
+        a, b = (short.select("key", F.col("cls").alias(c), F.col("same").alias(f"same_{c}")) for c in ("leader", "cls"))
+        met = a.join(b, "key").filter("leader < cls").filter(F.least("same_leader", "same_cls") < LEADER_MATCHES)
+        near = _matched(met.select("leader", "cls").distinct(), classes)
+        found.append(stored(near.filter(F.col("same") >= MATCHES).select("leader", "cls"), "paired"))
+        long = rest.filter(F.col("n") > SHORT_LIST)
+        if long.isEmpty():
+            break
+        postings = stored(_split(long, classes, frequencies, level), "postings")
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _compare(n_words: int, p: int, q: int):
