@@ -114,3 +114,21 @@ def test_recurring_shingles_equal_brute_force(spark):
     docs = shared_leader(5, 1000)
     got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2)
     assert result(got) == brute(docs, 2)
+
+
+def loose(seed, edits, n=150, words=200):
+    """Copies of one text, which is not among them, about as far from each other as links reach."""
+    rng = random.Random(seed)
+    texts = []
+    for c in range(n):
+        t = [f"s{seed}b{k}" for k in range(words)]
+        for at in rng.sample(range(words), rng.choice(edits)):
+            t[at] = f"s{seed}c{c}n{at}"
+        texts.append(" ".join(t))
+    return texts
+
+
+def test_loose_families_equal_brute_force(spark):
+    docs = list(enumerate(loose(2, [7]) + loose(3, [7, 8]) + loose(4, [7]) + loose(7, [10, 11], words=300)))
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2)
+    assert result(got) == brute(docs, 2)

@@ -19,10 +19,10 @@ follows 2|Dx&Dy| > |Dy| + c(|L|-|y|) >= 0: x and y share elements of their
 differences.  These are posted in a second, sparse join, whose overlap gives
 the exact similarity without reading a text again.
 
-Limits: links are found with the probability that signatures give; and a class
-is held against a component by its ``LEADERS`` nearest leaders there, so a link
-whose two ends have only farther leaders in common is missed.  On the tables
-the operator was checked with, components equal those of all pairs.
+The second join runs twice: by the nearest leaders, which merges most
+components, and then by all leaders for classes that are still apart.
+
+Limit: links are found with the probability that signatures give.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ LEADER_MATCHES = 24
 PREFIX = COORDINATES - MATCHES + 1
 # Lists up to this length are paired whole where their leader does not settle them.
 SHORT_LIST = 16
-# Nearest leaders by which a class is held against another component.
+# Nearest leaders by which a class is first held against another component.
 LEADERS = 2
 # Buckets of the frequency sketch that is sent to all tasks (2 MB).
 SKETCH = 1 << 18
@@ -253,22 +253,24 @@ def _compare(n_words: int, p: int, q: int):
     return run, schema
 
 
-def _cross_links(compared: DataFrame, first: DataFrame, p: int, q: int) -> DataFrame:
+def _cross_links(compared: DataFrame, first: DataFrame, p: int, q: int, nearest_only: bool) -> DataFrame:
     """Links between classes of one leader that lie in different components so far.
 
-    x, outside the leader's component, is held against each component by way
-    of its nearest leaders there.  y is a class of that component, or one
-    whose nearest leader of all it is.
+    x is a class outside the leader's component, y any other of the leader.
+    ``nearest_only`` finds most of the links cheaply: x takes part under its
+    nearest leaders in each component, and y in the leader's component or under
+    its nearest leader of all.
     """
     label = first.select(F.col("node").alias("cls"), F.col("component").alias("in_cls"))
     of_leader = first.select(F.col("node").alias("leader"), F.col("component").alias("in_leader"))
     placed = compared.join(label, "cls", "left").join(of_leader, "leader", "left")
     placed = placed.withColumns({"in_cls": F.coalesce("in_cls", "cls"), "in_leader": F.coalesce("in_leader", "leader")})
-    # A class has at most one leader per posting.
-    nearest = [((F.size("plus") + F.size("minus")) / (F.col("n") + F.col("n_leader"))).asc(), F.col("leader").asc()]
-    placed = placed.withColumn("there", F.row_number().over(Window.partitionBy("cls", "in_leader").orderBy(*nearest)) <= LEADERS)
-    placed = placed.withColumn("best", F.row_number().over(Window.partitionBy("cls").orderBy(*nearest)) == 1)
-    outside = placed.filter("in_cls != in_leader and there")
+    outside, others = placed.filter("in_cls != in_leader"), placed
+    if nearest_only:
+        nearest = [((F.size("plus") + F.size("minus")) / (F.col("n") + F.col("n_leader"))).asc(), F.col("leader").asc()]
+        placed = placed.withColumn("there", F.row_number().over(Window.partitionBy("cls", "in_leader").orderBy(*nearest)) <= LEADERS)
+        placed = placed.withColumn("best", F.row_number().over(Window.partitionBy("cls").orderBy(*nearest)) == 1)
+        outside, others = placed.filter("in_cls != in_leader and there"), placed.filter("in_cls = in_leader or best")
     # Elements only the class has come first in the order, in whole numbers:
     # 2 * overlap >= |Dx| - c(|x| + |L|), and 2 * overlap > |Dy| + c(|L| - |y|).
     apart = F.size("plus") + F.size("minus")
@@ -277,7 +279,7 @@ def _cross_links(compared: DataFrame, first: DataFrame, p: int, q: int) -> DataF
     upto = lambda least: F.greatest(apart - F.greatest(least, F.lit(1)) + 1, F.lit(0)).cast("int")
     every = F.concat("plus", "minus")
     x = outside.select("leader", F.col("cls").alias("x"), F.col("in_cls").alias("in_x"), F.explode(F.slice(every, F.lit(1), upto(least_x))).alias("e"))
-    y = placed.filter("in_cls = in_leader or best").join(outside.select("leader").distinct(), "leader", "left_semi")
+    y = others.join(outside.select("leader").distinct(), "leader", "left_semi")
     y = y.select("leader", F.col("cls").alias("y"), F.col("in_cls").alias("in_y"), F.explode(F.slice(every, F.lit(1), upto(least_y))).alias("e"))
     both = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("leader", "e")]
     met = x.alias("x").join(y.alias("y"), [*both, F.col("in_x") != F.col("in_y")])
@@ -320,9 +322,10 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     compared = stored(both.mapInArrow(run, schema), "compared")
 
     links = compared.filter("linked").select(F.col("leader").alias("a"), F.col("cls").alias("b"))
-    first = components(links)
-    cross = _cross_links(compared, first, percent, 100)
-    joined = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(cross))
+    joined = components(links)
+    for nearest_only in (True, False):
+        cross = _cross_links(compared, joined, percent, 100, nearest_only)
+        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(cross))
 
     named = classes.select("d1", "d2", "cls").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.select("d1", "d2", F.coalesce("component", "cls").alias("component_id"))
