@@ -1,9 +1,21 @@
 """What can be proved about a byte-level BPE tokenizer file without any text.
 
 ``whole_tokens``: the vocabulary strings that the library encodes alone as one
-token.  ``unproved``: a pattern for the characters on which a second
-implementation isn't known to agree with the library; texts that hold one go
-to the library.  Both only depend on the file.
+token.
+
+``ranks``: bytes and ids that a merge by rank may use in place of the library's
+merge by listed pairs.  Both join the adjacent pair of the lowest rank, but the
+first joins any pair that spells a token.  Let its first join of a pair that
+isn't listed give the token t.  Until then both did the same inside t, and
+nothing crossed t's ends, so the library, given t alone, would end with that
+pair instead of t.  So both agree on all texts if the library joins every token,
+given alone, to itself, and if tokens are listed in the order of their ids;
+both are checked for the whole vocabulary.
+
+``unproved``: a pattern for the characters whose class the library might see
+otherwise than the pattern used here; texts that hold one go to the library.
+
+All three only depend on the file.
 """
 
 from __future__ import annotations
@@ -16,6 +28,7 @@ from itertools import islice
 
 import pyarrow as pa
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 # Fixed value: how this kind of tokenizer cuts text into pre-tokens.
@@ -80,6 +93,21 @@ def whole_tokens(tokenizer: Tokenizer) -> dict[str, int]:
     return {s: i for (s, i), e in zip(found, encoded) if e.ids == [i]}
 
 
+def ranks(path: str, tokenizer: Tokenizer) -> dict[bytes, int]:
+    """Bytes and id of every token, proved to merge by rank as the library merges; else ValueError."""
+    with open(path, encoding="utf-8") as f:
+        merges = json.load(f)["model"]["merges"]
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    made = [vocabulary["".join(pair if isinstance(pair, list) else pair.split(" "))] for pair in merges]
+    chars = {b: c for c, b in byte_chars().items()}
+    tokens = token_bytes(tokenizer)
+    in_order = all(a < b for a, b in zip(made, made[1:])) and len(tokens) == len(made) + 256 and all(tokens.get(bytes([b]), len(tokens)) < made[0] for b in range(256))
+    alone = all([t.id for t in tokenizer.model.tokenize("".join(chars[b] for b in spelled))] == [i] for spelled, i in tokens.items())
+    if not (in_order and alone):
+        raise ValueError(f"merges of {path} can't be proved to follow the order of ids")
+    return tokens
+
+
 def unproved(agrees: Callable[[str], bool]) -> re.Pattern[str]:
     """Pattern for one character outside the blocks for which ``agrees`` holds.
 
@@ -113,15 +141,17 @@ def same_pre_tokens(tokenizer: Tokenizer) -> Callable[[str], bool]:
 
 
 class Encoder:
-    """Token ids of texts: whole tokens are looked up, other pre-tokens merged by the library, each distinct one once.
+    """Token ids of texts: whole tokens are looked up, other pre-tokens merged by rank, each distinct one once.
 
-    ``whole`` and ``rest`` are what ``whole_tokens`` and ``unproved`` found.
-    Special strings inside a text are single tokens, the library's default,
+    ``whole``, ``ranked`` and ``rest`` are what ``whole_tokens``, ``ranks`` and
+    ``unproved`` found.  Special strings inside a text are single tokens, the library's default,
     or plain text if ``plain``.
     """
 
-    def __init__(self, path: str, whole: dict[str, int], rest: re.Pattern[str], plain: bool = False):
+    def __init__(self, path: str, whole: dict[str, int], ranked: dict[bytes, int], rest: re.Pattern[str], plain: bool = False):
         self.library = load(path)
+        merging = tiktoken.Encoding("proved", pat_str=PRE_TOKEN, mergeable_ranks=ranked, special_tokens={})
+        self.merge_one = merging._core_bpe.encode_single_piece
         self.library.encode_special_tokens = plain
         self.cut = regex.compile(PRE_TOKEN)
         self.whole = {piece: array("I", [i]).tobytes() for piece, i in whole.items()}
@@ -136,9 +166,8 @@ class Encoder:
         if len(self.known) + len(rest) > len(self.whole) + REMEMBERED:
             self.known = dict(self.whole)
             rest = set().union(*pieces).difference(self.known)
-        order = list(rest)
-        for piece, encoded in zip(order, self.library.encode_batch_fast(order, add_special_tokens=False)):
-            self.known[piece] = array("I", encoded.ids).tobytes()
+        for piece in rest:
+            self.known[piece] = array("I", self.merge_one(piece.encode())).tobytes()
 
     def _long(self, text: str) -> bytes:
         out, cuts = [], (m[0] for m in self.cut.finditer(text))
@@ -176,3 +205,10 @@ def text_groups(texts: pa.Array) -> Iterator[list[str]]:
         size += len(text)
     if held:
         yield held
+
+
+def proof(path: str, plain: bool = False) -> tuple[dict[str, int], dict[bytes, int], re.Pattern[str]]:
+    """What an ``Encoder`` of the file needs."""
+    library = load(path)
+    library.encode_special_tokens = plain
+    return whole_tokens(library), ranks(path, library), unproved(same_pre_tokens(library))

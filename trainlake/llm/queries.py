@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..session import prepare
-from . import embeddings, fingerprints, html, mixing, near, packing, sharding, substring, tokens, toxicity, urls
+from . import alignment, embeddings, fingerprints, html, mixing, near, packing, sharding, spelling, substring, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,10 +164,62 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+# The CRC-32 table by its rule, near words by what is left of them without one character.
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+    SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+    FROM range(256) r(i)
+), runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), each AS (
+    SELECT run, doc_id || ':' || run AS s, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run
+), bytes AS (
+    SELECT run, n, list_transform(range(0, strlen(s)), lambda k: ('0x' || substr(hex(s), (2 * k + 1)::INTEGER, 2))::BIGINT) AS b FROM each
+), hashed AS (
+    SELECT run, n, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc
+), spelled AS (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run) + 2)::INTEGER) ELSE run END AS word, n FROM hashed
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM spelled WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), gaps AS (
+    SELECT word, i, substr(word, 1, i::INTEGER) || substr(word, (i + 2)::INTEGER) AS rest FROM words, LATERAL (SELECT unnest(range(length(word))) AS i)
+), shorter AS (
+    SELECT DISTINCT g.word AS a, w.word AS b FROM gaps g JOIN words w ON g.rest = w.word
+), near AS (
+    SELECT x.word AS a, y.word AS b FROM gaps x JOIN gaps y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+    UNION ALL SELECT a, b FROM shorter UNION ALL SELECT b, a FROM shorter
+), best AS (
+    SELECT near.a AS word, count(*) AS n_near, arg_min(w.word, (-w.n, w.word)) AS best, max(w.n) AS best_n
+    FROM near JOIN words w ON w.word = near.b GROUP BY near.a
+), forms AS (
+    SELECT word, best AS form, best_n AS form_n FROM best JOIN words USING (word) WHERE best_n >= 10 * n
+), chains AS (
+    SELECT word, word AS reached FROM words
+    UNION ALL SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.reached
+), roots AS (
+    SELECT word, reached AS root FROM chains WHERE reached NOT IN (SELECT word FROM forms)
+)
+SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n
+FROM words JOIN roots USING (word) LEFT JOIN best USING (word) LEFT JOIN forms USING (word)
+"""
+
+
+@query("op11_spelling_variants", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 7 characters or more, forms ten times as frequent."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), least_chars=7, least_count=2, every=31, ratio=10)
+
+
 @query("op12_token_counts")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text by the byte-level vocabulary; more than 512 are over the limit."""
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
 
 
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte-level vocabulary against the piece model."""
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -32,11 +32,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
     library as a whole; an empty table gives an empty result.  Other columns
     of ``docs`` are ignored.
     """
-    library = bytebpe.load(tokenizer)
-    whole, rest = bytebpe.whole_tokens(library), bytebpe.unproved(bytebpe.same_pre_tokens(library))
+    proved = bytebpe.proof(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bytebpe.Encoder(tokenizer, whole, rest)
+        encoder = bytebpe.Encoder(tokenizer, *proved)
         for batch in batches:
             n = [len(ids) // 4 for group in bytebpe.text_groups(batch["text"]) for ids in encoder.group(group)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
