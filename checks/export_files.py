@@ -6,6 +6,8 @@ is ever gathered.  Files go to the shared folder of the session.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,12 +157,35 @@ def activity_csv(spark: SparkSession, raw: DataFrame) -> str:
     return path
 
 
-def whole_documents(raw: DataFrame, table: str, files: int) -> str:
+def _newer_fields(number: Column) -> list[Column]:
+    """Fields of a newer export: whole, fractional, text full of JSON marks, of two kinds, always and sometimes nested."""
+    even = number % 2 == 0
+    return [
+        (number % 1000).alias("extraWhole"), F.parse_json((number / 4).cast("string")).alias("extraShare"),
+        F.concat(F.lit('}],[{"x": "\\'), number.cast("string")).alias("extraNote"), even.alias("extraFlag"),
+        F.parse_json(F.when(even, (number % 7).cast("string")).otherwise(F.lit('"seven"'))).alias("extraMixed"),
+        F.struct(number.alias("a"), F.array(F.lit("}")).alias("b")).alias("extraNested"),
+        F.parse_json(F.when(even, F.lit("[1, {}]")).otherwise(F.lit("3"))).alias("extraSometimes"),
+    ]
+
+
+def newer_documents(raw: DataFrame, table: str, files: int) -> str:
+    """The flat source as whole documents of a newer export."""
+    return whole_documents(raw, table, files, _newer_fields(F.floor(F.col("device_id") / 1000)))
+
+
+def newer_activities(raw: DataFrame) -> str:
+    """Device recordings of a newer export, in envelopes, one document per line."""
+    item = F.struct(*_wire(raw, S.DEVICE_ACTIVITY_FIELDS), *_newer_fields(F.col("activity_id")))
+    return _case_sensitive_write(raw, ["athlete_id", F.array(item).alias(S.ACTIVITY_ENVELOPE)], "newer")
+
+
+def whole_documents(raw: DataFrame, table: str, files: int, extra: Sequence[Column] = ()) -> str:
     """The flat source as the export has it: many files, each one document that is an array over several lines."""
     whole = raw.withColumn("user_profile_pk", F.rint("user_profile_pk"))
     columns = ["athlete_id", *_profile(whole), *_wire(whole, S.FLAT_SOURCES[table])]
     # Extra fields of a newer export: one flat, one nested.
-    record = F.to_json(F.struct(*[F.col(c) if isinstance(c, str) else c for c in columns], F.struct(F.lit(1).alias("a")).alias("extraNested")))
+    record = F.to_json(F.struct(*[F.col(c) if isinstance(c, str) else c for c in columns], *(extra or [F.struct(F.lit(1).alias("a")).alias("extraNested")])))
 
     def document(batches):
         records = [r for batch in batches for r in batch["value"]]

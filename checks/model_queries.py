@@ -107,6 +107,44 @@ def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return times_as_text(staging.STAGED[source][1](stored[source], ATHLETE))
 
 
+@query("s1_split_documents", model_sql("stg_garmin__training_readiness"))
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one array each, cut at the array's commas by byte ranges; texts hold brackets, quotes and backslashes."""
+    source = "garmin__training_readiness"
+    path = files.newer_documents(spark_raw(spark, sf_dir, source)[source], source, 4)
+    raw = build.read_source(spark, source, path, ATHLETE, all_fields=False, split_over=0, key_types="athlete_id BIGINT")
+    stored = build.write_raw(spark, {source: raw}, scratch_path(spark, "raw"))
+    return times_as_text(staging.STAGED[source][1](stored[source], ATHLETE))
+
+
+def _newer_sql(number: str) -> str:
+    """Fields that only a newer export has, under the names and types they are landed with."""
+    return f"""CAST({number} % 1000 AS BIGINT) AS extra_whole, {number} / 4 AS extra_share, '}}],[{{"x": "\\' || {number} AS extra_note, {number} % 2 = 0 AS extra_flag,
+        CASE WHEN {number} % 2 = 0 THEN CAST({number} % 7 AS VARCHAR) ELSE 'seven' END AS extra_mixed"""
+
+
+@query("s5_s7_every_flat_field", with_models(f"SELECT athlete_id, device_id, level, {_newer_sql('(device_id // 1000)')} FROM garmin__training_readiness", "garmin__training_readiness"))
+def every_flat_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat fields that are not declared are found and landed typed, nested ones are dropped."""
+    source = "garmin__training_readiness"
+    path = files.newer_documents(spark_raw(spark, sf_dir, source)[source], source, 16)
+    raw = build.read_source(spark, source, path, ATHLETE, key_types="athlete_id BIGINT")
+    stored = build.write_raw(spark, {source: raw}, scratch_path(spark, "raw"))[source]
+    landed = [c for c in stored.columns if c.startswith("extra_")]
+    return stored.select(*ATHLETE, "device_id", "level", *landed)
+
+
+@query("s6_s7_every_activity_field", with_models(f"SELECT athlete_id, activity_id, activity_type, {_newer_sql('activity_id')} FROM garmin__activities", "garmin__activities"))
+def every_activity_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same inside the envelopes of the device recordings."""
+    source = "garmin__activities"
+    path = files.newer_activities(spark_raw(spark, sf_dir, source)[source])
+    raw = build.read_source(spark, source, path, ATHLETE, multi_line=False, key_types="athlete_id BIGINT")
+    stored = build.write_raw(spark, {source: raw}, scratch_path(spark, "raw"))[source]
+    landed = [c for c in stored.columns if c.startswith("extra_")]
+    return stored.select(*ATHLETE, "activity_id", "activity_type", *landed)
+
+
 # The activities whose file has no such column show NULL; which file is decided by Spark's hash.
 @query("s2_activity_csv_header_orders", with_models(
     """SELECT athlete_id, activity_id, activity_name, activity_type, distance_m, moving_time_s, elevation_gain_m, average_heart_rate_bpm,
@@ -134,6 +172,13 @@ def _lazy(spark: SparkSession, sf_dir: str) -> build.Lake:
 
 @query("p15_j1_day_spine_mart", model_sql("int_garmin__daily"))
 def day_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day's sources beside each other in one grouped aggregate."""
+    return times_as_text(marts.days(spark_raw(spark, sf_dir, *SPINE_RAW).__getitem__, ATHLETE))
+
+
+@query("p15_j1_day_spine_from_staged_tables", model_sql("int_garmin__daily"))
+def day_spine_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table, the staged sources joined one by one."""
     return times_as_text(marts.daily(staging.stage_all(spark_raw(spark, sf_dir, *SPINE_RAW), ATHLETE), ATHLETE))
 
 

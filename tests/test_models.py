@@ -164,3 +164,105 @@ def test_days_reach_the_files(spark, sf):
     plan = one._jdf.queryExecution().executedPlan().toString()
     [schema] = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     assert len(schema.split(",")) < 8
+
+
+SPINE = ("daily_summary", "sleep", "training_load", "training_status", "training_readiness", "health_status")
+
+
+def exchanges(df):
+    """Exchanges of the plan, with joins that don't broadcast."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return plan(df.select("*")).count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def jobs_while(spark, work):
+    """What ``work`` returns and how many jobs ran meanwhile."""
+    sc = spark.sparkContext
+    group = f"planning-{id(work)}"
+    sc.setJobGroup(group, "plan only")
+    try:
+        return work(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_fused_days_equal_the_joined_ones(spark, sf):
+    raw = inputs.spark_raw(spark, sf, *[f"garmin__{s}" for s in SPINE])
+    joined = marts.daily(staging.stage_all(raw, inputs.ATHLETE), inputs.ATHLETE)
+    fused = marts.days(raw.__getitem__, inputs.ATHLETE)
+    assert fused.dtypes == joined.dtypes
+    assert fused.exceptAll(joined).count() == joined.exceptAll(fused).count() == 0
+
+
+def test_fused_days_cases(spark):
+    """Days repeated, missing or without any summary, equal times, a status that leaves the day out, all keys NULL."""
+    day = lambda d: None if d is None else f"2024-01-0{d}"
+    summary = raw_frame(spark, C.DAILY_SUMMARY, [{"calendar_date": day(d), "total_steps": float(n)} for n, d in enumerate((1, 1, 2, 3, None, None))], "resting_heart_rate_timestamp_ms double")
+    sleep = raw_frame(spark, C.SLEEP, [{"calendar_date": day(d), "deep_sleep_seconds": 5.0 * k} for k, d in enumerate((1, 3, 3, 4, None))])
+    load = raw_frame(
+        spark, C.TRAINING_LOAD,
+        [{"calendar_date": 1704067200000 + 86400000 * (d - 1), "timestamp": t, "acwr_status": s, "acwr_percent": p}
+         for d, t, s, p in ((1, 5, "LOW", 1.0), (1, 9, "HIGH", 2.0), (2, 9, "NONE", 3.0), (2, 5, "LOW", 4.0), (3, None, "LOW", 5.0), (3, 1, None, 6.0))],
+        "calendar_date bigint, timestamp bigint",
+    )
+    status = raw_frame(spark, C.TRAINING_STATUS, [{"calendar_date": day(3), "timestamp": "2024-01-03T06:00:00.0", "training_status": s} for s in ("A", "B")])
+    ready = raw_frame(spark, C.TRAINING_READINESS, [{"calendar_date": day(2), "timestamp": t, "level": "LOW", "score": p} for t, p in ((None, 1.0), ("2024-01-02T06:00:00.0", 2.0))])
+    health = spark.createDataFrame(
+        [(day(1), "HRV", 50.0, "OK"), (day(2), "HRV", 51.0, "UNKNOWN"), (None, "HR", 40.0, "ONBOARDING")],
+        "calendar_date string, metric_type string, value double, status string",
+    )
+    for c, t in (("baseline_upper_limit", "double"), ("baseline_lower_limit", "double"), ("percentage", "double"), ("outliers_count", "double"), ("create_timestamp_utc", "string")):
+        health = health.withColumn(c, F.lit(None).cast(t))
+    raw = dict(zip((f"garmin__{s}" for s in SPINE), (summary, sleep, load, status, ready, health)))
+    joined = marts.daily(staging.stage_all(raw))
+    fused = marts.days(raw.__getitem__)
+    assert sorted(map(str, fused.collect())) == sorted(map(str, joined.collect()))
+    rows = {(str(r["calendar_date"]), r["total_steps"]): r for r in fused.collect()}
+    assert len(fused.collect()) == 7 and rows["2024-01-01", 0]["acwr_pct"] == 2 and rows["2024-01-02", 2]["acwr_pct"] is None
+    assert rows["2024-01-02", 2]["readiness_score"] == 2 and rows["2024-01-02", 2]["health_status_is_onboarding"] is None
+    assert rows["2024-01-01", 1]["health_status_is_onboarding"] is False and rows["None", 4]["hrv_ms"] is None
+
+
+def test_marts_plan_without_jobs_and_few_exchanges(spark, sf):
+    from checks.model_queries import _lake_path
+    from trainlake.sources import tables
+
+    path = _lake_path(spark, sf)
+    raw = {n: tables.read_table(spark, path, "raw", n) for n in ("strava__activities", "garmin__activities", *[f"garmin__{s}" for s in SPINE])}
+    (days, acts), jobs = jobs_while(spark, lambda: _planned(raw))
+    assert jobs == 0
+    # Summaries, nights, and the four other sources in one.
+    assert exchanges(days) == 3
+    # The log once for its day context, whose other side lies right already; the best match takes five.
+    assert exchanges(acts) == 3 + 1 + 5
+
+
+def _planned(raw):
+    days = marts.days(raw.__getitem__, inputs.ATHLETE)
+    log, device = staging.activity_log(raw["strava__activities"], inputs.ATHLETE), staging.device_activities(raw["garmin__activities"], inputs.ATHLETE)
+    return days, marts.activity(log, device, days, inputs.ATHLETE)
+
+
+def test_sport_and_tier_reach_the_files(spark, sf):
+    import re
+
+    from checks.model_queries import _lake
+    from trainlake.plans import queries
+
+    lake = _lake(spark, sf)
+    answer = queries.query_activities(lake.activity, "riDe", "2024-01-02", None, "low")
+    before = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        [pushed] = re.findall(r"PushedFilters: \[(.*)", plan(answer.summary))
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", before)
+    assert "EqualTo(_sport,ride)" in pushed and "EqualTo(_tier,LOW)" in pushed and "GreaterThanOrEqual(activity_date" in pushed
+    plain = lake.activity.drop("_sport", "_tier")
+    assert queries.query_activities(plain, "riDe", "2024-01-02", None, "low").summary.first() == answer.summary.first()
+    assert not {"_sport", "_tier"} & {*lake.ride.columns, *lake.run.columns}

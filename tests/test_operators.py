@@ -260,3 +260,21 @@ def test_match_plan_has_no_pairwise_join(spark):
     )
     text = plan(got)
     assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan(got.select("*")).count("Exchange hashpartitioning") <= 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_match_prefers_the_smallest_id_and_payload_of_equal_times(spark):
+    left = [left_row(1, "Ride", "2024-01-01 10:00:00"), left_row(2, "Ride", "2024-01-01 10:00:00"), (3, None, "Run", None, None), (4, None, "Run", None, None)]
+    when = at("2024-01-01 10:05:00")
+    right = [(12, 1, "cycling", when, 9.0), (11, 1, "cycling", when, 8.0), (11, 1, "cycling", when, 7.0), (10, 1, "golf", when, 1.0), (11, 1, "cycling", when, None)]
+    got = match(spark, left, right)
+    # A missing payload is the smallest.
+    assert got[1] == got[2] == (11, 0, 0, 300.0, None)
+    assert got[3] == got[4] == (None,) * 5
+    assert match(spark, left, right[:3])[1] == (11, 0, 0, 300.0, 7.0)
+    assert match(spark, left, right[3:4])[1] == (10, 0, 1, 300.0, 1.0)

@@ -1,13 +1,15 @@
 import json
 import os
+import random
 import tempfile
 import warnings
 
 import pytest
+from pyspark.sql import functions as F
 
 from trainlake.plans import build, queries, series, staging
 from trainlake.session import case_sensitive
-from trainlake.sources import flatten, readers, schemas, tables
+from trainlake.sources import discover, documents, flatten, readers, schemas, tables
 
 
 @pytest.fixture
@@ -105,6 +107,88 @@ def test_envelope_and_nested_columns(spark, folder):
     assert sorted(flat.columns) == ["activity_id", "avg_hr", "hr_time_in_zone_3", "start_time_local"]
 
 
+def some_value(rng, depth=0):
+    kind = rng.randrange(8)
+    if kind == 0 and depth < 3:
+        return {f"k{i}": some_value(rng, depth + 1) for i in range(rng.randrange(4))}
+    if kind == 1 and depth < 3:
+        return [some_value(rng, depth + 1) for _ in range(rng.randrange(4))]
+    odd = ['a"b', "}{][", "\\", '\\\\"', "é}", '\\"}', "\n\t", ",[,", "", None, 1.5, True, -7]
+    return rng.choice(odd) if kind < 5 else "s" * rng.randrange(40)
+
+
+@pytest.mark.parametrize("range_bytes", ["250", "2000", "128m"])
+def test_documents_split_into_elements(spark, folder, range_bytes):
+    rng = random.Random(7)
+    written = []
+    for i, n in enumerate((0, 200, 1, 150, None, 90, 3)):
+        data = {"id": "lone", "v": some_value(rng), "t": [{}]} if n is None else [{"id": f"{i}-{j}", "v": some_value(rng), "t": [some_value(rng)]} for j in range(n)]
+        text = json.dumps(data, indent=i % 3 or None, ensure_ascii=i % 2 == 0)
+        put(folder, f"day={i}/x.json", "\ufeff \r\n" + text + "\n " if i in (3, 4) else text)
+        written += [(i, r) for r in ([data] if n is None else data)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", range_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        got = documents.elements(spark, f"{folder}/day=*", base_path=folder).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted((r["day"], json.dumps(json.loads(r["value"]), sort_keys=True)) for r in got) == sorted((d, json.dumps(r, sort_keys=True)) for d, r in written)
+
+
+def test_large_documents_are_read_like_small_ones(spark, folder):
+    rows = [{"x": i, "t": '}],[{"' * (i % 3), "n": {"a": [i, {"b": "]"}]}} for i in range(300)]
+    # An object read as text keeps its white space only where the file is read whole.
+    put(folder, "a.json", json.dumps(rows, separators=(",", ":")))
+    put(folder, "b.json", {"x": -1, "t": None})
+    put(folder, "c.json", [])
+    ddl = "x INT, t STRING, n STRUCT<a: ARRAY<STRING>>"
+    whole = readers.read_json(spark, f"{folder}/*.json", ddl)
+    for limit in (0, 50, 10**9):
+        split = readers.read_json(spark, f"{folder}/*.json", ddl, split_over=limit)
+        assert split.columns == whole.columns and split.exceptAll(whole).isEmpty() and whole.exceptAll(split).isEmpty()
+
+
+@pytest.mark.parametrize("text", ['[{"x": 1}, {"x": ', '[{"x": 1}', '[{"x": 1}, {"x": "a}]', '[{"x": 1}] {"x": 2}', '[{"x": 1}, nonsense]', '{"x": 1', '[{"x": 1}]}', '{"x": 1}}'])
+def test_broken_documents_fail_when_split(spark, folder, text):
+    put(folder, "bad.json", text)
+    with pytest.raises(Exception, match="MALFORMED|ends too"):
+        readers.read_json(spark, f"{folder}/bad.json", "x INT", split_over=0).collect()
+
+
+def test_one_large_array_is_read_by_several_tasks(spark, folder):
+    put(folder, "large.json", json.dumps([{"x": i, "t": "}" * 50} for i in range(20_000)]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        got = documents.elements(spark, f"{folder}/large.json")
+        tasks = got.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in tasks) == 20_000 and len(tasks) > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_discovered_fields(spark, folder):
+    put(folder, "a.json", [
+        {"x": 1, "aB": 2.5, "c": "x", "n": {"z": 1}, "l": [1], "mixed": 1, "late": 1, "void": None, "flag": True},
+        {"x": 35.0, "aB": 1, "c": None, "mixed": "t", "late": [1], "big": 2**62},
+    ])
+    put(folder, "b.json", {"x": 7, "ab": 3})
+    want = {"aB": "double", "ab": "bigint", "big": "bigint", "c": "string", "flag": "boolean", "l": "nested", "late": "nested", "mixed": "string", "n": "nested",
+            "void": "string", "x": "double"}
+    assert discover.fields(spark, f"{folder}/*.json") == want
+    assert discover.fields(spark, f"{folder}/*.json", split_over=0) == want
+    put(folder, "lines/a.json", '{"e": [{"p": 1}, {"q": {}}]}\n{"e": []}\n{"other": 1}\n')
+    assert discover.fields(spark, f"{folder}/lines", multi_line=False, envelope="e") == {"p": "bigint", "q": "nested"}
+    assert discover.fields(spark, f"{folder}/lines", multi_line=False) == {"e": "nested", "other": "bigint"}
+
+
+def test_extra_columns_get_free_names():
+    found = {"score": "double", "Score": "bigint", "newField": "string", "new_field": "double", "list": "nested"}
+    assert discover.extra_fields(found, ["score"], ["score"]) == [("Score", "score_2", "bigint"), ("newField", "new_field", "string"), ("new_field", "new_field_2", "double")]
+
+
 HEADER = "Activity ID,Activity Date,Activity Name,Activity Type,Activity Description,Elapsed Time,Distance,Max Heart Rate,Relative Effort,Commute,Elapsed Time,Moving Time,Distance,Max Heart Rate,Relative Effort,Commute,Average Heart Rate"
 
 
@@ -124,6 +208,45 @@ def test_activity_csv(spark, folder):
     assert got[1]["average_heart_rate"] is None
 
 
+@pytest.mark.parametrize("range_bytes", ["50", "300", "128m"])
+def test_large_csv_is_read_in_ranges(spark, folder, range_bytes):
+    import csv
+    import io
+
+    rng = random.Random(3)
+    odd = ["", 'say "hi"', "two\nlines", "a,b", "\n\n", 'tail"\n', "plain", "\r\n inside", "é" * 20, '"']
+    written = []
+    for day, order in (("1", ["A", "B", "C"]), ("2", ["C", "A", "B"]), ("3", ["A", "B"])):
+        text = io.StringIO()
+        out = csv.writer(text, quoting=csv.QUOTE_ALL, lineterminator="\r\n" if day == "2" else "\n")
+        out.writerow(order)
+        for k in range(60):
+            row = {"A": f"{day}-{k}", "B": rng.choice(odd), "C": rng.choice(odd)}
+            out.writerow([row[c] for c in order])
+            # Spark's CSV parser takes empty text for NULL.
+            written.append((int(day), row["A"], row["B"] or None, (row["C"] or None) if "C" in order else None))
+        path = f"{folder}/day={day}/a.csv"
+        os.makedirs(os.path.dirname(path))
+        with open(path, "w", newline="") as f:
+            f.write(("\ufeff" if day == "3" else "") + text.getvalue() + ("\n" if day == "1" else ""))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", range_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        got = readers._read_csv(spark, f"{folder}/day=*", folder)
+        found = [(r["day"], r["a"], r["b"], r["c"]) for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted(found, key=repr) == sorted(written, key=repr)
+
+
+def test_broken_csv_fails(spark, folder):
+    path = put(folder, "a.csv", 'A,B\n1,"open\n2,x\n')
+    with pytest.raises(Exception, match="ends inside quotes"):
+        readers._read_csv(spark, path, None).collect()
+
+
 def test_header_names():
     spark_names = ["A", "Distance1", "B2", "Distance3", "Col4"]
     assert readers.original_headers(spark_names) == ["A", "Distance", "B2", "Distance", "Col4"]
@@ -216,3 +339,27 @@ def test_from_export_files_to_answers(spark, folder):
         series.metric_series(lake, "health", "nope")
     with pytest.raises(series.SeriesError, match="Unknown chart_type"):
         series.metric_series(lake, "nope", "hrv_ms")
+
+
+def test_a_failed_build_leaves_the_table(spark, folder):
+    lake = f"{folder}/lake"
+    tables.write_table(spark.range(5), lake, "raw", "t")
+    running = tables.read_table(spark, lake, "raw", "t")
+    broken = spark.range(0, 100, 1, 4).withColumn("id", F.when(F.col("id") < 90, F.col("id")).otherwise(F.raise_error(F.lit("half-way")).cast("long")))
+    with pytest.raises(Exception, match="half-way"):
+        tables.write_table(broken, lake, "raw", "t")
+    assert tables.read_table(spark, lake, "raw", "t").count() == 5
+    assert sum(d.startswith("v-") for d in os.listdir(f"{lake}/raw/t")) == 1
+    # A reader that has begun keeps its files over one replacement.
+    assert tables.write_table(spark.range(7), lake, "raw", "t").count() == 7
+    assert running.count() == 5 and tables.read_table(spark, lake, "raw", "t").count() == 7
+    tables.write_table(tables.read_table(spark, lake, "raw", "t").filter("id < 3"), lake, "raw", "t")
+    assert tables.read_table(spark, lake, "raw", "t").count() == 3
+    assert sum(d.startswith("v-") for d in os.listdir(f"{lake}/raw/t")) == 2
+
+
+def test_plain_folders_are_still_tables(spark, folder):
+    spark.range(4).write.parquet(f"{folder}/lake/raw/t")
+    assert tables.read_table(spark, f"{folder}/lake", "raw", "t").count() == 4
+    tables.write_table(spark.range(9), f"{folder}/lake", "raw", "t")
+    assert tables.read_tables(spark, f"{folder}/lake", "raw", ["t", "none"])["t"].count() == 9

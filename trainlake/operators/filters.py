@@ -32,6 +32,15 @@ def tier_is(col: Column, tier: str | None) -> Column | None:
     return (F.upper(col) == tier.upper()) if tier else None
 
 
+# Stored columns that hold the sport in lower and the tier in upper case.
+FOLDED_SPORT, FOLDED_TIER = "_sport", "_tier"
+
+
+def with_folded(df: DataFrame, sport: str = "activity_type", tier: str = "readiness_level") -> DataFrame:
+    """Add the folded columns, so that a stored table's files answer for a sport or tier in any spelling."""
+    return df.withColumns({FOLDED_SPORT: F.lower(sport), FOLDED_TIER: F.upper(tier)})
+
+
 def on_or_after(col: Column, day: date | str | None) -> Column | None:
     return (col >= F.lit(str(day)).cast("date")) if day else None
 
@@ -46,9 +55,18 @@ def activity_conditions(
     end_date: date | str | None = None,
     readiness_tier: str | None = None,
     alias: str = "",
+    folded: bool = False,
 ) -> list[Column | None]:
-    """The optional activity filters, as Columns, on an optionally aliased table."""
+    """The optional activity filters, as Columns, on an optionally aliased table.
+
+    ``folded`` compares the stored folded columns, which reaches the files.
+    """
     dot = f"{alias}." if alias else ""
+    if folded:
+        no_sport = sport_is(F.lit(""), sport_type) is None
+        sport = None if no_sport else F.col(f"{dot}{FOLDED_SPORT}") == sport_type.lower()
+        tier = F.col(f"{dot}{FOLDED_TIER}") == readiness_tier.upper() if readiness_tier else None
+        return [sport, on_or_after(F.col(f"{dot}activity_date"), start_date), on_or_before(F.col(f"{dot}activity_date"), end_date), tier]
     return [
         sport_is(F.col(f"{dot}activity_type"), sport_type),
         on_or_after(F.col(f"{dot}activity_date"), start_date),

@@ -4,9 +4,15 @@ The rank is: smaller day gap, then matching type family, then smaller time
 difference, then smaller id.  On either side of a start time the nearest right
 row also has the smallest day gap, so each left row only needs one step back and
 one step ahead in time order, once among all rows and once among its family.
-The time line is cut into slots; a slot also receives the last row before it and
-the first row after it, so a task never holds more than a slot, even when one
-athlete or one day has most of the data.
+
+The time line of a key is cut into slots, and one sorted pass over a slot, there
+and back, carries the last recording of all and of each family along, payload
+included.  Only the slots' edges are exchanged beside the rows: a slot also
+receives the nearest recordings outside it.  A task never holds more than a
+slot, even when one athlete or one day has most of the data.
+
+Five exchanges in all: the edges by slot, the edges by key, the rows by slot,
+the matches by what was asked, and the left rows that asked it.
 """
 
 from __future__ import annotations
@@ -15,33 +21,18 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.casts import micros
 from ..functions.scalars import member_of
-from .spine import BROADCAST_ROWS, HOT_ROWS, left_join_spine
+from .spine import BROADCAST_ROWS, left_join_spine
 
 _ANY = "*"
 _NO_TIME = -(1 << 62)
-# Length of a time slot.  One task holds one slot of one athlete and family; equal
-# times are merged first, so that is at most 900,000 rows at millisecond resolution.
+# Length of a time slot: the rows of a quarter of an hour of one key are sorted together.
 SLOT_S = 15 * 60
 
 
-def _asof_neighbours(rows: DataFrame, group: Sequence[str]) -> DataFrame:
-    """For each probe (``_id`` NULL) the nearest candidate at or before and at or after ``_t``."""
-    found = F.when(F.col("_id").isNotNull(), F.struct("_t", "_id"))
-    # Candidates come before probes at equal time, in both directions.
-    probe_last = F.col("_id").isNull()
-    back = Window.partitionBy(*group).orderBy(F.col("_t").asc(), probe_last).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*group).orderBy(F.col("_t").desc(), probe_last).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns(
-        {
-            "_back": F.last(found, ignorenulls=True).over(back),
-            "_ahead": F.last(found, ignorenulls=True).over(ahead),
-        }
-    ).filter(F.col("_id").isNull())
-
-
 def _searches(window_days: int) -> Column:
     """Where to look for a probe: (time, first day, last day) to accept.
 
@@ -67,92 +58,108 @@ def _searches(window_days: int) -> Column:
     return F.when(own_day, once).otherwise(each)
 
 
+def _of(family: str, hit: Column) -> Column:
+    """``hit`` when it belongs to the family; any hit for ``_ANY``."""
+    return hit if family == _ANY else F.when(F.col("_hit._family") == family, hit)
+
+
+def _edges(candidates: DataFrame, asked: DataFrame, group: Sequence[str], families: Sequence[str]) -> DataFrame:
+    """For each slot with probes the nearest candidates outside it, of all and of each family."""
+    there = F.col("_hit").isNotNull()
+    here, turned = F.when(there, F.struct("_t", "_hit")), F.when(there, F.struct((-F.col("_t")).alias("_t"), F.col("_hit")))
+    offered = candidates.select(*group, "_slot", "_t", "_hit", F.lit(False).alias("_asked"))
+    wanted = asked.select(*group, "_slot", F.lit(True).alias("_asked"))
+    # The smallest time, or the largest; at equal times the smallest id.
+    first = {f"_first_{i}": F.min(_of(f, here)) for i, f in enumerate(families)}
+    last = {f"_last_{i}": F.min(_of(f, turned)) for i, f in enumerate(families)}
+    ends = [c.alias(n) for n, c in {**first, **last}.items()]
+    slots = offered.unionByName(wanted, allowMissingColumns=True).groupBy(*group, "_slot").agg(*ends, F.max("_asked").alias("_asked"))
+    earlier = Window.partitionBy(*group).orderBy(F.col("_slot").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*group).orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = slots.withColumns(
+        {n: F.last(n, ignorenulls=True).over(earlier) for n in last} | {n: F.last(n, ignorenulls=True).over(later) for n in first}
+    ).filter("_asked")
+    before = [F.struct((-F.col(f"{n}._t")).alias("_t"), F.col(f"{n}._hit").alias("_hit")) for n in last]
+    edge = F.explode(F.array_distinct(F.array(*before, *[F.struct(F.col(f"{n}._t").alias("_t"), F.col(f"{n}._hit").alias("_hit")) for n in first])))
+    return carried.select(*group, "_slot", edge.alias("_edge")).select(*group, "_slot", "_edge.*").filter(F.col("_hit").isNotNull())
+
+
 def nearest_matches(
     probes: DataFrame,
     candidates: DataFrame,
+    families: Sequence[str],
     keys: Sequence[str] = (),
     window_days: int = 1,
     max_diff_s: float | None = None,
     slot_s: int = SLOT_S,
+    payload: Sequence[str] = (),
 ) -> DataFrame:
     """Best candidate per distinct probe.
 
     ``probes`` has keys + ``_day, _t, _family``; ``candidates`` has keys +
-    ``_t, _family, _id`` with ``_t`` in microseconds on the same clock.
-    Result: the probe columns + ``_id, _id_t, date_diff_days, type_mismatch, start_diff_s``.
+    ``_t, _family, _id`` and the payload columns, with ``_t`` in microseconds
+    on the same clock.  Result: the probe columns + ``_id, date_diff_days,
+    type_mismatch, start_diff_s`` and the payload.  Candidates equal in time
+    and id are told apart by their payload, the smallest first.
     """
-    keys = list(keys)
-    group = [*keys, "_cls"]
-    both_classes = F.array(F.lit(_ANY), F.col("_family"))
+    group = list(keys)
+    names = [_ANY, *families]
 
     def slot(time: str) -> Column:
         return F.floor(F.col(time) / F.lit(slot_s * 1_000_000)).cast("bigint")
 
-    # Rows at equal times are merged before the shuffle; the smallest id stays.
-    right = (
-        candidates.select(*keys, "_t", "_id", F.explode(both_classes).alias("_cls"))
-        .filter(F.col("_cls") != "")
-        .groupBy(*group, "_t")
-        .agg(F.min("_id").alias("_id"))
+    right = candidates.select(*group, slot("_t").alias("_slot"), "_t", F.struct("_id", *payload, "_family").alias("_hit"))
+    asked = (
+        probes.select(*group, "_day", F.col("_t"), "_family")
+        .filter(F.col("_day").isNotNull())
+        .withColumn("_search", F.explode(_searches(window_days)))
+        .select(*group, "_day", F.col("_t").alias("_own_t"), F.col("_family").alias("_asked_family"), "_search", F.col("_search.at").alias("_t"))
         .withColumn("_slot", slot("_t"))
     )
-    distinct = probes.select(*keys, "_day", "_t", "_family").filter(F.col("_day").isNotNull()).distinct()
-    left = (
-        distinct.withColumn("_search", F.explode(_searches(window_days)))
-        .withColumnRenamed("_t", "_own_t")
-        .withColumns({"_cls": F.explode(both_classes), "_t": F.col("_search.at")})
-        .filter(F.col("_cls") != "")
-        .withColumn("_slot", slot("_t"))
-    )
-
-    # Per slot: the nearest candidates outside it.
-    here = F.struct("_t", "_id")
-    offered = right.select(*group, "_slot", here.alias("_first"), here.alias("_last"), F.lit(False).alias("_asked"))
-    asked = left.select(*group, "_slot", F.lit(True).alias("_asked"))
-    slots = (
-        offered.unionByName(asked, allowMissingColumns=True)
-        .groupBy(*group, "_slot")
-        .agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_asked").alias("_asked"))
-    )
-    earlier = Window.partitionBy(*group).orderBy(F.col("_slot").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*group).orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        slots.withColumns(
-            {"_before": F.last("_last", ignorenulls=True).over(earlier), "_after": F.last("_first", ignorenulls=True).over(later)}
-        )
-        .filter("_asked")
-        .withColumn("_edge", F.explode(F.array("_before", "_after")))
-        .filter(F.col("_edge").isNotNull())
-        .select(*group, "_slot", F.col("_edge._t").alias("_t"), F.col("_edge._id").alias("_id"))
-    )
-
-    rows = right.select(*group, "_slot", "_t", "_id").unionByName(carried).unionByName(
-        left.select(*group, "_slot", "_t", "_day", "_own_t", "_family", "_search"), allowMissingColumns=True
-    )
-    near = _asof_neighbours(rows, [*group, "_slot"])
-
-    def ranked(hit: str) -> Column:
+    rows = right.unionByName(_edges(right, asked, group, names)).unionByName(asked, allowMissingColumns=True)
+
+    # Candidates come before probes at equal time, in both directions, and the smallest id comes last.
+    is_probe = F.col("_hit").isNull()
+    back = Window.partitionBy(*group, "_slot").orderBy(F.col("_t").asc(), is_probe, F.col("_hit").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*group, "_slot").orderBy(F.col("_t").desc(), is_probe, F.col("_hit").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.when(~is_probe, F.struct("_t", "_hit"))
+    near = rows.withColumns(
+        {f"_{way}_{i}": F.last(_of(f, found), ignorenulls=True).over(window) for way, window in (("back", back), ("ahead", ahead)) for i, f in enumerate(names)}
+    ).filter(is_probe)
+
+    def own(way: str) -> Column:
+        """The nearest hit of the probe's own family."""
+        hit = F.lit(None)
+        for i, f in enumerate(families, 1):
+            hit = F.when(F.col("_asked_family") == f, F.col(f"_{way}_{i}")).otherwise(hit)
+        return hit
+
+    near = near.withColumns({"_back_own": own("back"), "_ahead_own": own("ahead")}) if families else near
+
+    def ranked(hit: str, mismatch: int) -> Column:
         found_day = F.timestamp_micros(F.col(f"{hit}._t")).cast("date")
         secs = F.when(F.col("_own_t") != _NO_TIME, F.abs(F.col(f"{hit}._t") - F.col("_own_t")) / F.lit(1e6))
         entry = F.struct(
             F.abs(F.date_diff(found_day, F.col("_day"))).alias("date_diff_days"),
-            F.when(F.col("_cls") == _ANY, 1).otherwise(0).alias("type_mismatch"),
+            F.lit(mismatch).alias("type_mismatch"),
             secs.alias("start_diff_s"),
-            F.col(f"{hit}._id").alias("_id"),
-            F.col(f"{hit}._t").alias("_id_t"),
+            *[F.col(f"{hit}._hit.{c}").alias(c) for c in ("_id", *payload)],
         )
         usable = F.col(hit).isNotNull() & found_day.between(F.col("_search.low"), F.col("_search.high"))
         if max_diff_s is not None:
             usable = usable & (secs <= F.lit(float(max_diff_s)))
         return F.when(usable, entry)
 
-    # ``least`` skips NULL, so a probe with one neighbour keeps it.
-    best = F.min(F.least(ranked("_back"), ranked("_ahead"))).alias("_best")
+    ways = [ranked(f"_{way}_0", 1) for way in ("back", "ahead")]
+    if families:
+        ways += [ranked(f"_{way}_own", 0) for way in ("back", "ahead")]
+    # ``least`` and ``min`` skip NULL, so a probe with one neighbour keeps it.
     return (
-        near.groupBy(*keys, "_day", F.col("_own_t").alias("_t"), "_family")
-        .agg(best)
+        near.select(*group, "_day", F.col("_own_t").alias("_t"), F.col("_asked_family").alias("_family"), F.least(*ways).alias("_best"))
         .filter(F.col("_best").isNotNull())
-        .select(*keys, "_day", "_t", "_family", "_best.*")
+        .groupBy(*group, "_day", "_t", "_family")
+        .agg(F.min("_best").alias("_best"))
+        .select(*group, "_day", "_t", "_family", "_best.*")
     )
 
 
@@ -160,12 +167,17 @@ PROBE = ("_day", "_t", "_family")
 
 
 def with_probe(left: DataFrame, day: str, time: str, kind: str, families: Mapping[str, tuple[Sequence[str], Sequence[str]]]) -> DataFrame:
-    """Add the probe columns that identify what a left row asks for."""
+    """Add the probe columns that identify what a left row asks for.
+
+    A row without a day asks for nothing; its time is a hash of the row, so
+    that such rows spread over the tasks of the join back.
+    """
     family = member_of(F.col(kind), {n: m[0] for n, m in families.items()})
+    nowhere = F.xxhash64(*[F.col(f"`{f.name}`") for f in left.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
     return left.withColumns(
         {
             "_day": F.col(day).cast("date"),
-            "_t": F.coalesce(micros(F.col(time)), F.lit(_NO_TIME)),
+            "_t": F.when(F.col(day).isNull(), nowhere).otherwise(F.coalesce(micros(F.col(time)), F.lit(_NO_TIME))),
             "_family": F.coalesce(family, F.lit("")),
         }
     )
@@ -192,18 +204,11 @@ def match_table(
     offered = right.filter(F.col(right_time).isNotNull()).withColumns(
         {"_t": micros(F.col(right_time)), "_family": family, "_id": F.col(right_id)}
     )
-    matches = nearest_matches(asking, offered, keys, window_days, max_diff_s, slot_s)
-    if payload:
-        # One row per (id, time), also when an export was delivered twice.  Rows
-        # sharing an id are distinct times of a few days, so no key can run away.
-        packed = F.struct(*[F.col(c).alias(a) for c, a in payload.items()]).alias("_payload")
-        detail = (
-            offered.select(*keys, "_id", F.col("_t").alias("_id_t"), packed)
-            .groupBy(*keys, "_id", "_id_t")
-            .agg(F.min("_payload").alias("_payload"))
-        )
-        matches = matches.join(detail, [*keys, "_id", "_id_t"], "left").select("*", "_payload.*").drop("_payload")
-    return matches.drop("_id_t").withColumnRenamed("_id", match_id)
+    named = dict(payload or {})
+    taken = {alias: f"_payload_{i}" for i, alias in enumerate(named.values())}
+    offered = offered.select(*keys, "_t", "_family", "_id", *[F.col(c).alias(taken[a]) for c, a in named.items()])
+    matches = nearest_matches(asking, offered, list(families), keys, window_days, max_diff_s, slot_s, list(taken.values()))
+    return matches.withColumnsRenamed({"_id": match_id} | {name: alias for alias, name in taken.items()})
 
 
 def best_match(
@@ -215,7 +220,7 @@ def best_match(
     left_type: str,
     families: Mapping[str, tuple[Sequence[str], Sequence[str]]],
     keys: Sequence[str] = (),
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     **match_args,
 ) -> DataFrame:
@@ -224,6 +229,8 @@ def best_match(
     ``families`` maps a name to (left types, right types); rows of one family
     are compatible.  ``payload`` maps right columns to result names.  Adds
     ``match_id, date_diff_days, type_mismatch, start_diff_s`` and the payload.
+    Nothing runs while the plan is built, unless ``hot_rows`` asks to count the
+    rows that ask for the same and to join those with more apart.
     """
     asking = with_probe(left, left_day, left_time, left_type, families)
     matches = match_table(asking, right, families=families, keys=keys, **match_args)

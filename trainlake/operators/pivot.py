@@ -19,12 +19,12 @@ def conditional_pivot(
 
     A single grouped aggregate: partial maxima are formed before the shuffle.
     """
-    aggregates = [
-        F.max(F.when(F.col(on) == value, expr)).alias(alias)
-        for value, fields in picks.items()
-        for alias, expr in fields.items()
-    ]
-    return df.groupBy(*keys).agg(*extra, *aggregates)
+    return df.groupBy(*keys).agg(*extra, *pivot_aggregates(F.col(on), picks))
+
+
+def pivot_aggregates(on: Column, picks: Mapping[str, Mapping[str, Column]]) -> list[Column]:
+    """The aggregates of a conditional pivot, each under its alias."""
+    return [F.max(F.when(on == value, expr)).alias(alias) for value, fields in picks.items() for alias, expr in fields.items()]
 
 
 def any_row(condition: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions.scalars import guarded, to_km, to_kph
 from ..operators.match import PROBE, match_table, with_probe
-from ..operators.spine import HOT_ROWS, left_join_spine
+from ..operators.spine import left_join_spine
 from . import contracts as C
+from . import staging
 
 DAY = "calendar_date"
 SPINE_SOURCES = ("sleep", "training_load", "training_status", "training_readiness", "health_status")
@@ -21,8 +22,28 @@ def _take(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     return df.selectExpr(*keys, *[f"{c} AS {n}" for c, n in C.pairs(text).items()])
 
 
-def daily(staged: Mapping[str, DataFrame], keys: Sequence[str] = (), hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """One row per daily summary with the day's other sources beside it."""
+def days(raw: Callable[[str], DataFrame], keys: Sequence[str] = ()) -> DataFrame:
+    """One row per daily summary with the day's other sources beside it, from the raw tables.
+
+    The sources that give one row per day are brought beside each other in one
+    grouped aggregate; the summaries and the nights, which may repeat a day,
+    are joined to it.  Each source is shuffled once, nothing runs while the
+    plan is built, and no group is held in memory: a day with very many
+    summaries streams past its one row of the other sources.
+    """
+    on = [*keys, DAY]
+    spine = _take(staging.daily_summary(raw("garmin__daily_summary"), keys), C.DAY_SPINE["daily_summary"], on)
+    nights = _take(staging.sleep(raw("garmin__sleep"), keys), C.DAY_SPINE["sleep"], on)
+    sides = staging.day_sides(raw, {s: C.pairs(C.DAY_SPINE[s]) for s in SPINE_SOURCES if s != "sleep"}, keys)
+    return spine.join(nights, on, "left").join(sides, on, "left")
+
+
+def daily(staged: Mapping[str, DataFrame], keys: Sequence[str] = (), hot_rows: int | None = None) -> DataFrame:
+    """The same from staged tables, joined one by one.
+
+    With ``hot_rows`` the days are counted while the plan is built, and those
+    with more rows are joined apart.
+    """
     on = [*keys, DAY]
     spine = _take(staged["stg_garmin__daily_summary"], C.DAY_SPINE["daily_summary"], on)
     sides = [_take(staged[f"stg_garmin__{s}"], C.DAY_SPINE[s], on) for s in SPINE_SOURCES]
@@ -35,11 +56,13 @@ def activity(
     days: DataFrame,
     keys: Sequence[str] = (),
     max_diff_s: float | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per logged activity: its best device recording and its day's context.
 
-    No limit applies to the time between the two starts unless ``max_diff_s`` is given.
+    No limit applies to the time between the two starts unless ``max_diff_s``
+    is given.  With ``hot_rows`` the join keys are counted while the plan is
+    built, and those with more rows are joined apart.
     """
     keys = list(keys)
     base = log.select(*keys, *C.pairs(C.ACTIVITY_COLUMNS))
@@ -57,7 +80,7 @@ def activity(
         max_diff_s=max_diff_s,
     )
     context = days.select(*keys, F.col(DAY).alias("activity_date"), *C.pairs(C.DAY_CONTEXT_COLUMNS))
-    # Hot keys are counted on the log itself, which is only a narrow scan.
+    # If counted, hot keys are counted on the log itself, which is only a narrow scan.
     joined = left_join_spine(asking, [context], [*keys, "activity_date"], hot_rows)
     joined = left_join_spine(joined, [matches], [*keys, *PROBE], hot_rows, measure=asking)
     return joined.withColumns(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import repair_date_argument
 from ..functions.scalars import iso_day, round_dp, to_hours, to_minutes, to_percent
-from ..operators.filters import activity_conditions, on_or_after, on_or_before, where_all
+from ..operators.filters import FOLDED_SPORT, activity_conditions, on_or_after, on_or_before, where_all
 from ..operators.summary import latest_day, present_metrics, summarise
 from ..operators.topn import ascending, newest
 
@@ -150,7 +150,8 @@ def query_activities(
 
     Days at equal date are ordered by activity id.  ``extra`` adds key columns to the rows.
     """
-    kept = where_all(activities, activity_conditions(sport_type, start_date, end_date, readiness_tier))
+    folded = FOLDED_SPORT in activities.columns
+    kept = where_all(activities, activity_conditions(sport_type, start_date, end_date, readiness_tier, folded=folded))
     summary = summarise(kept, "n_activities", activity_means())
     top = newest(kept, "activity_date", limit, [*extra, "activity_id"])
     return Answer(summary, _projected(top, {**{k: _c(k) for k in extra}, **activity_row()}), "n_activities", "activities")

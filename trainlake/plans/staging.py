@@ -7,16 +7,17 @@ keys the tables are those of a single athlete.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.casts import convert, epoch_ms, epoch_ms_frac
+from ..operators.cogroup import Grouped, Latest, beside
 from ..operators.dedupe import latest_per_key, row_fingerprint
 from ..operators.filters import not_in_or_null
-from ..operators.pivot import any_row, conditional_pivot
+from ..operators.pivot import any_row, conditional_pivot, pivot_aggregates
 from . import contracts as C
 
 DAY = "calendar_date"
@@ -79,14 +80,19 @@ def _typed(raw: DataFrame, day: Column) -> DataFrame:
     return raw.withColumn(DAY, F.col(TYPED_DAY) if TYPED_DAY in raw.columns else day)
 
 
+def _assessed_day(raw: DataFrame, day: Column, assessed: Column) -> DataFrame:
+    """The raw table with its typed day, its assessment time and a tie-break."""
+    tie = F.col(ROW_HASH) if ROW_HASH in raw.columns else row_fingerprint(raw.columns)
+    return _typed(raw.withColumns({"_tie": tie, "_assessed": assessed}), day)
+
+
 def _latest_day(raw: DataFrame, day: Column, assessed: Column, keys: Sequence[str]) -> DataFrame:
     """One row per day by assessment time.
 
     The day is typed before the window, so the later joins on it reuse the
     window's partitioning.
     """
-    tie = F.col(ROW_HASH) if ROW_HASH in raw.columns else row_fingerprint(raw.columns)
-    typed = _typed(raw.withColumns({"_tie": tie, "_assessed": assessed}), day)
+    typed = _assessed_day(raw, day, assessed)
     return latest_per_key(typed, [*keys, DAY], "_assessed", ["_tie"])
 
 
@@ -125,26 +131,27 @@ def sleep(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return stage(_typed(worn, _text_day(raw)), C.SLEEP, keys, {"total_sleep_s": total})
 
 
-def health_status(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Long metric rows -> one row per day."""
+def _health_picks(field: Callable[[str], Column]) -> dict[str, dict[str, Column]]:
+    """Metric -> staged name -> expression; ``field`` finds a column of the metric row."""
     sources = {
-        "value": F.col("value").cast("double"),
-        "hi": F.col("baseline_upper_limit").cast("double"),
-        "lo": F.col("baseline_lower_limit").cast("double"),
-        "status": F.col("status"),
-        "percentage": F.col("percentage").cast("double"),
-    }
-    picks = {
-        metric: {alias: sources[field] for field, alias in C.pairs(text).items()}
-        for metric, text in C.HEALTH_METRICS.items()
+        "value": field("value").cast("double"),
+        "hi": field("baseline_upper_limit").cast("double"),
+        "lo": field("baseline_lower_limit").cast("double"),
+        "status": field("status"),
+        "percentage": field("percentage").cast("double"),
     }
+    return {metric: {alias: sources[name] for name, alias in C.pairs(text).items()} for metric, text in C.HEALTH_METRICS.items()}
+
+
+def health_status(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Long metric rows -> one row per day."""
     known = _typed(raw.filter(F.col("status") != "UNKNOWN"), _text_day(raw))
     extra = [
         any_row(F.col("status") == "ONBOARDING").alias("is_onboarding"),
         F.max(_int(raw, "outliers_count")).alias("outliers_count"),
         F.max(_clock(raw, "create_timestamp_utc")).alias("created_at_utc"),
     ]
-    return conditional_pivot(known, [*keys, DAY], "metric_type", picks, extra)
+    return conditional_pivot(known, [*keys, DAY], "metric_type", _health_picks(F.col), extra)
 
 
 def training_readiness(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -194,6 +201,53 @@ def run_race_predictions(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return stage(latest, C.RACE_PREDICTIONS, keys, paces)
 
 
+# Sources of one assessment a day: contract, and the status whose latest row leaves the day out.
+DAY_ASSESSMENTS = {
+    "training_load": (C.TRAINING_LOAD, ("acwr_status", "NONE")),
+    "training_status": (C.TRAINING_STATUS, None),
+    "training_readiness": (C.TRAINING_READINESS, ("level", "NONE")),
+}
+
+
+def day_sides(raw: Callable[[str], DataFrame], taken: Mapping[str, Mapping[str, str]], keys: Sequence[str] = ()) -> DataFrame:
+    """One row per day with the chosen columns of the day's assessments and health metrics.
+
+    ``taken`` gives for ``health_status`` and each of ``DAY_ASSESSMENTS`` the
+    staged columns and their names in the result.  The same rules as the
+    staged tables, whose rows it equals, in one grouped aggregate.
+    """
+    parts: dict[str, Latest | Grouped] = {}
+    out: list[Column] = []
+    for source, (fields, leaves) in DAY_ASSESSMENTS.items():
+        if source not in taken:
+            continue
+        table = raw(f"garmin__{source}")
+        types = {f.name: f.dataType for f in table.schema.fields}
+        chosen = [f for f in fields if f.staged in taken[source]]
+        columns = dict.fromkeys([*[f.raw for f in chosen], *([leaves[0]] if leaves else [])])
+        if source == "training_load":
+            time_ms = "timestamp_ms" if "timestamp_ms" in types else "timestamp"
+            typed = _assessed_day(table, _epoch_text_day(table), epoch_ms(F.col(time_ms)))
+        else:
+            typed = _assessed_day(table, _text_day(table), _clock(table, "timestamp"))
+        parts[source] = Latest(typed, F.col("_assessed"), F.col("_tie"), list(columns))
+        staged = {f.staged: convert(f"{source}.`{f.raw}`", types[f.raw], f.kind) for f in chosen}
+        if leaves:
+            staged = {n: F.when(F.col(source)[leaves[0]] != leaves[1], value) for n, value in staged.items()}
+        out += [staged[n].alias(name) for n, name in taken[source].items()]
+    if "health_status" in taken:
+        table = raw("garmin__health_status")
+        known = _typed(table.filter(F.col("status") != "UNKNOWN"), _text_day(table))
+
+        def aggregates(field: Callable[[str], Column]) -> list[Column]:
+            return [any_row(field("status") == "ONBOARDING").alias("is_onboarding"), *pivot_aggregates(field("metric_type"), _health_picks(field))]
+
+        columns = ["metric_type", "value", "baseline_upper_limit", "baseline_lower_limit", "status", "percentage"]
+        parts["health_status"] = Grouped(known, columns, aggregates)
+        out += [F.col("health_status")[staged].alias(name) for staged, name in taken["health_status"].items()]
+    return beside(parts, [*keys, DAY]).select(*keys, DAY, *out)
+
+
 # Raw table name -> (staged table name, function).
 STAGED = {
     "strava__activities": ("stg_strava__activities", activity_log),

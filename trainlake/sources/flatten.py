@@ -64,15 +64,20 @@ def flat_records(df: DataFrame) -> DataFrame:
     return nan_to_null(drop_nested(snake_columns(df)))
 
 
-def flat_table(df: DataFrame, table: str, keep: Sequence[str] = ()) -> DataFrame:
-    """One of the flat sources under its declared columns."""
+def flat_table(df: DataFrame, table: str, keep: Sequence[str] = (), extra: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
+    """One of the flat sources under its declared columns, and the ``extra`` (field, column, type) ones."""
     columns = [*[F.col(k) for k in keep], profile_key(df).alias("user_profile_pk"), *scalars(S.FLAT_SOURCES[table])]
-    return nan_to_null(_case_sensitive_select(df, columns))
+    return nan_to_null(_case_sensitive_select(df, [*columns, *_extra(extra)]))
 
 
-def device_activities(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    records = drop_nested(unwrap(df, "summarizedActivitiesExport", keep))
-    return nan_to_null(records.select(*keep, *scalars(S.DEVICE_ACTIVITY_FIELDS)))
+def device_activities(df: DataFrame, keep: Sequence[str] = (), extra: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
+    with case_sensitive(df.sparkSession):
+        records = drop_nested(unwrap(df, S.ACTIVITY_ENVELOPE, keep))
+    return nan_to_null(_case_sensitive_select(records, [*[F.col(k) for k in keep], *scalars(S.DEVICE_ACTIVITY_FIELDS), *_extra(extra)]))
+
+
+def _extra(fields: Sequence[tuple[str, str, str]]) -> list[Column]:
+    return [F.col(f"`{name}`").alias(column) for name, column, _ in fields]
 
 
 def health_status(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -167,8 +167,10 @@ DAILY_DDL = (
     f" respiration STRUCT<{_struct(RESPIRATION_FIELDS, ('latestRespirationTimeGMT',))}>,"
     f" hydration STRUCT<{_struct(HYDRATION_FIELDS)}>"
 )
+# The list that holds the device recordings of a record.
+ACTIVITY_ENVELOPE = "summarizedActivitiesExport"
 ACTIVITIES_DDL = (
-    "summarizedActivitiesExport ARRAY<STRUCT<"
+    f"{ACTIVITY_ENVELOPE} ARRAY<STRUCT<"
     + ", ".join(f"`{wire_name(n)}`: {'STRING' if t == 'bigint' else t.upper()}" for n, t in DEVICE_ACTIVITY_FIELDS)
     + ">>"
 )
