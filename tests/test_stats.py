@@ -10,6 +10,7 @@ from trainlake.stats.gram import moments
 from trainlake.stats.ols import fit_ols, variance_inflation
 from trainlake.stats.report import fit_model, standardised
 from trainlake.stats.ridge import ALPHAS, FoldError, fit_ridge, outer_fold
+from trainlake.stats.triangle import triangle
 
 
 def make(n=80, p=3, seed=0):
@@ -43,6 +44,32 @@ def test_ols_equals_direct_algebra(spark):
     assert 0 <= fit.f_p < 1e-6
 
 
+def test_nearly_collinear_slopes_keep_their_digits(spark):
+    """Sums of products lose such slopes altogether."""
+    rng = np.random.default_rng(8)
+    x0 = rng.normal(size=400) + 50
+    x = np.column_stack([x0, x0 + 1e-7 * rng.normal(size=400), 1000 * rng.normal(size=400)])
+    y = x @ [2.0, -1.5, 0.01] + 1e-6 * rng.normal(size=400)
+    fit = fit_ols(frame(spark, x, y), ["x0", "x1", "x2"], "y")
+    centred = x - x.mean(axis=0)
+    slopes, *_ = np.linalg.lstsq(centred / np.linalg.norm(centred, axis=0), y - y.mean(), rcond=None)
+    slopes /= np.linalg.norm(centred, axis=0)
+    assert np.allclose(fit.beta[1:], slopes, rtol=1e-8)
+    gram = np.linalg.pinv(centred.T @ centred) @ centred.T @ (y - y.mean())
+    assert not np.allclose(gram, slopes, rtol=1e-3)
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 200])
+def test_triangle_of_any_layout(spark, partitions):
+    x, y = make(n=300)
+    df = frame(spark, x, y).repartition(partitions).union(frame(spark, x[:0], y[:0]))
+    t = triangle(df, ["x0", "x1", "x2", "y"])
+    rows = np.column_stack([np.ones(300), np.column_stack([x, y]) - t.centre])
+    assert np.allclose(t.r.T @ t.r, rows.T @ rows) and t.n == 300 and (np.diag(t.r) >= 0).all()
+    some = t.pick(["y", "x1"])
+    assert np.allclose(some.mean, [y.mean(), x[:, 1].mean()]) and np.allclose(some.scatter, np.cov(y, x[:, 1]) * 299)
+
+
 def test_vif_equals_auxiliary_regressions(spark):
     x, y = make()
     x[:, 2] = x[:, 0] * 0.3 + x[:, 2]

@@ -1,4 +1,8 @@
-"""Least squares with robust (HC3) errors from two distributed passes."""
+"""Least squares with robust (HC3) errors from two distributed passes.
+
+Slopes, leverages and errors come from the design's triangular factor, never
+from its sums of products, so nearly collinear predictors keep their digits.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .distributions import Z_975, f_upper_tail, normal_two_sided
-from .gram import Moments, moments
+from .triangle import Triangle, directions, triangle
 
 INTERCEPT = "Intercept"
 
@@ -26,7 +30,7 @@ class OlsFit:
     r2_adj: float
     f_value: float
     f_p: float
-    moments: Moments
+    moments: Triangle
 
     @property
     def std_err(self) -> np.ndarray:
@@ -52,50 +56,51 @@ def _dot(columns: Sequence[Column], weights: Sequence[float]) -> Column:
     return total
 
 
-def _meat(df: DataFrame, x: Sequence[Column], y: Column, beta: np.ndarray, bread: np.ndarray) -> np.ndarray:
-    """Sum of x x' (e / (1 - h))^2 over all rows, h being the leverage."""
-    p = len(x)
+def _meat(df: DataFrame, x: Sequence[Column], y: Column, beta: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sum of u u' (e / (1 - h))^2 over all rows, u = W'x being the row in orthogonal directions and h = u'u its leverage."""
+    k = w.shape[1]
+    turned = df.select(*[_dot(x, w[:, i]).alias(f"_{i}") for i in range(k)], (y - _dot(x, beta)).alias("_e"))
     leverage = F.lit(0.0)
-    for i in range(p):
-        leverage = leverage + x[i] * _dot(x, bread[i])
-    rows = df.select(*[c.alias(f"_{i}") for i, c in enumerate(x)], (y - _dot(x, beta)).alias("_e"), leverage.alias("_h"))
+    for i in range(k):
+        leverage = leverage + F.col(f"_{i}") * F.col(f"_{i}")
     # A row that alone decides a coefficient has no leave-one-out residual.
     room = F.lit(1.0) - F.col("_h")
     weight = F.when(room != 0.0, F.pow(F.col("_e") / room, 2)).otherwise(F.lit(float("nan")))
-    weighted = rows.withColumn("_w", weight)
+    weighted = turned.withColumn("_h", leverage).withColumn("_w", weight)
     sums = [
-        F.sum(F.col(f"_{i}") * F.col(f"_{j}") * F.col("_w")).alias(f"m_{i}_{j}") for i in range(p) for j in range(i, p)
+        F.sum(F.col(f"_{i}") * F.col(f"_{j}") * F.col("_w")).alias(f"m_{i}_{j}") for i in range(k) for j in range(i, k)
     ]
     row = weighted.agg(*sums).first()
-    meat = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
+    meat = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
             meat[i, j] = meat[j, i] = row[f"m_{i}_{j}"]
     return meat
 
 
-def fit_ols(df: DataFrame, predictors: Sequence[str], target: str, stats: Moments | None = None) -> OlsFit:
+def fit_ols(df: DataFrame, predictors: Sequence[str], target: str, stats: Triangle | None = None) -> OlsFit:
     """Fit ``target ~ 1 + predictors`` on complete rows of doubles."""
-    stats = stats or moments(df, [*predictors, target])
-    stats = stats.pick([*predictors, target])
+    stats = (stats or triangle(df, [*predictors, target])).pick([*predictors, target])
     p, n = len(predictors), stats.n
-    mean, scatter = stats.mean, stats.scatter
-    sxx, sxy, syy = scatter[:p, :p], scatter[:p, p], scatter[p, p]
-    inverse = np.linalg.pinv(sxx, hermitian=True)
-    slopes = inverse @ sxy
+    mean = stats.mean
+    # Below the row of the intercept everything is centred at the means.
+    x_part, y_part = stats.r[1:, 1:-1], stats.r[1:, -1]
+    w, u = directions(x_part)
+    rank = w.shape[1]
+    slopes = w @ (u.T @ y_part)
     beta = np.concatenate([[mean[p] - mean[:p] @ slopes], slopes])
-    rank = int(np.linalg.matrix_rank(sxx, hermitian=True))
-    r2 = float(1.0 - (syy - slopes @ sxy) / syy) if syy > 0 else float("nan")
+    syy, left = float(y_part @ y_part), y_part - x_part @ slopes
+    r2 = float(1.0 - left @ left / syy) if syy > 0 else float("nan")
     dof = n - rank - 1
     r2_adj = 1.0 - (1.0 - r2) * (n - 1) / dof if dof > 0 else float("nan")
 
     # In centred coordinates the intercept and the slopes separate.
-    bread = np.zeros((p + 1, p + 1))
-    bread[0, 0] = 1.0 / n
-    bread[1:, 1:] = inverse
+    turn = np.zeros((p + 1, 1 + rank))
+    turn[0, 0] = 1.0 / np.sqrt(n)
+    turn[1:, 1:] = w
     x = [F.lit(1.0), *[F.col(c) - F.lit(float(m)) for c, m in zip(predictors, mean[:p])]]
     centred = np.concatenate([[mean[p]], slopes])
-    sandwich = bread @ _meat(df, x, F.col(target), centred, bread) @ bread
+    sandwich = turn @ _meat(df, x, F.col(target), centred, turn) @ turn.T
     back = np.eye(p + 1)
     back[0, 1:] = -mean[:p]
     covariance = back @ sandwich @ back.T

@@ -11,9 +11,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from .features import MODELS, TARGETS, WEATHER_LEVELS, design, uses_weather, weather_columns
-from .gram import moments
 from .ols import INTERCEPT, OlsFit, fit_ols, variance_inflation
 from .ridge import FoldError, RidgeFit, fit_ridge
+from .triangle import triangle
 
 # Display names of the predictors.
 LABELS = {
@@ -61,7 +61,7 @@ def fit_model(
 
 def _fit_rows(rows: DataFrame, predictors: Sequence[str], target: str, label: str, order: Sequence[str], ridge_args: dict) -> ModelFit:
     weather = weather_columns(WEATHER_LEVELS) if uses_weather(predictors) else ()
-    stats = moments(rows, [*predictors, *weather, target])
+    stats = triangle(rows, [*predictors, *weather, target])
     ols_names = [*predictors, *weather[1:]]
     present = [w for w in weather if stats.mean[stats.names.index(w)] > 0.0]
     ridge_names = [*predictors, *present[1:]]
