@@ -3,6 +3,11 @@
 import random
 import re
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from trainlake.llm import near
 from trainlake.llm.components import components
 from trainlake.llm.near import near_duplicates
 from trainlake.llm.queries import QUERIES
@@ -132,3 +137,54 @@ def test_loose_families_equal_brute_force(spark):
     docs = list(enumerate(loose(2, [7]) + loose(3, [7, 8]) + loose(4, [7]) + loose(7, [10, 11], words=300)))
     got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2)
     assert result(got) == brute(docs, 2)
+
+
+def test_chunks_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(near, "LIST_CLASSES", 7)
+    monkeypatch.setattr(near, "GROUP_SHINGLES", 900)
+    docs = list(enumerate(loose(2, [7], n=60) + loose(3, [7, 8], n=40))) + [(1000 + k, t) for k, t in shared_leader(6, 100)]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2)
+    assert result(got) == brute(docs, 2)
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    docs = [(1, "a b c"), (3, "a b c"), (3, "x y z"), (4, "x y z"), (3, None), (8, "u v"), (9, "a b"), (9, "p q"), (9, "r s"), (7, "r s")]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2).filter("n_shingles > 0")
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == set(brute([d for d in docs if d[1]], 2).items())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=9), min_size=1, max_size=14), st.booleans())
+def test_linking_pairs_connect_all_links(sets, two):
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    sides = [k % 2 for k in range(len(sets))] if two else None
+    linked = lambda x, y: (not two or sides[x] != sides[y]) and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])
+    got = near.linking_pairs(arrays, 80, 100, sides)
+    assert all(linked(x, y) for x, y in got)
+
+    def parts(edges):
+        label = list(range(len(sets)))
+        for x, y in edges:
+            old, new = label[x], label[y]
+            label = [new if v == old else v for v in label]
+        return [label.index(v) for v in label]
+
+    every = [(x, y) for x in range(len(sets)) for y in range(x) if linked(x, y)]
+    assert parts(got) == parts(every) and len(got) == len(sets) - len(set(parts(every)))
+
+
+def test_connected_sets():
+    near_to = np.zeros((7, 7), bool)
+    for x, y in ((0, 3), (3, 5), (1, 6)):
+        near_to[x, y] = near_to[y, x] = True
+    assert [s.tolist() for s in near.connected(near_to)] == [[0, 3, 5], [1, 6]]
+
+
+def test_copies_make_few_rows(spark):
+    """A thousand near copies of one text are handed on once each, not in pairs."""
+    docs = spark.createDataFrame(list(enumerate(loose(9, [1, 2, 3], n=1000, words=80))), "doc_id long, text string")
+    run, schema = near._describe(2)
+    classes = docs.mapInArrow(run, schema).withColumnRenamed("doc_id", "cls")
+    candidates = near._candidates(classes.cache())
+    assert candidates.count() < 20_000
+    assert set(result(near_duplicates(docs, 2)).values()) == {0}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import forget, stored
 
 
 def _step(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark")
     before = edges.agg(F.count("*").alias("n"), mark).first()
     while before["n"]:
-        edges = stored(_step(edges), "links")
+        last, edges = edges, stored(_step(edges), "links")
+        forget(last)
         after = edges.agg(F.count("*").alias("n"), mark).first()
         if after == before:
             break

@@ -5,51 +5,47 @@ its (coordinate, value) pairs.  A pair of classes that agrees on at least
 ``MATCHES`` of ``COORDINATES`` agrees on one of the first
 ``COORDINATES - MATCHES + 1`` of them in any common order, so only that prefix
 is posted, rarest values first (frequencies of all documents, kept in a sketch
-of fixed size).  Long posting lists are not paired with themselves: each class
-meets the smallest class of its list, its leader.  Leader pairs whose
-signatures agree on ``LEADER_MATCHES`` are compared on their full sets.  The
-others of a list, with the classes that may be near them, are paired where
-they are few, and else posted again under one more shared key.
-
-What the skipping leaves out is found by a second join.  Let x miss the
-threshold with leader L, y be linked with x, and D be the symmetric difference
-with L.  For threshold p/q with c = (q-p)/(q+p): sets are linked iff
-|x^y| <= c(|x|+|y|).  From |x^y| = |Dx|+|Dy|-2|Dx&Dy| and |Dx| > c(|x|+|L|)
-follows 2|Dx&Dy| > |Dy| + c(|L|-|y|) >= 0: x and y share elements of their
-differences.  These are posted in a second, sparse join, whose overlap gives
-the exact similarity without reading a text again.
-
-The second join runs twice: by the nearest leaders, which merges most
-components, and then by all leaders for classes that are still apart.
+of fixed size); lists of one class are skipped.
+
+Collisions are counted where the list is: a task holds a list as a matrix of
+signatures, counts the agreements of all its pairs and hands on no pairs, but
+for each set of classes that pairs above the threshold connect one row per
+class, with the smallest.  What these rows connect over all lists is a
+candidate group.
+
+Every pair above the threshold lies in one group, so a text is read once more
+only, with its group: there the full sets are compared exactly through an
+inverted index, skipping pairs that are linked already, and again only links
+that connect something are handed on.
+
+Lists and groups larger than a chunk are dealt to chunks, and any two chunks
+meet in a task of their own; nothing is left out, and no task holds more than
+two chunks.
 
 Limit: links are found with the probability that signatures give.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import stored
+from .storage import forget, stored
 from .words import mix, pieces, shingle_sets
 
 COORDINATES = 64
 # At similarity 0.8 the matches have mean 51.2 and deviation 3.2.
 MATCHES = 36
-# Leaders may be further away than the pairs they stand for.
-LEADER_MATCHES = 24
 # Keys of a class that are posted.
 PREFIX = COORDINATES - MATCHES + 1
-# Lists up to this length are paired whole where their leader does not settle them.
-SHORT_LIST = 16
-# Nearest leaders by which a class is first held against another component.
-LEADERS = 2
+# Classes of a list, and shingles of a group, that a task holds as one chunk.
+LIST_CLASSES = 2_000
+GROUP_SHINGLES = 1_000_000
 # Buckets of the frequency sketch that is sent to all tasks (2 MB).
 SKETCH = 1 << 18
 
@@ -68,7 +64,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _describe(n_words: int):
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bytes binary"
+    schema = "doc_id long, n_shingles long, d1 long, d2 long, sig binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,11 +73,10 @@ def _describe(n_words: int):
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(s)))]) for s in (7, 77)]
                 d1, d2 = [(s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums]
                 sigs = signatures(values, offsets)
-                rows = [[s.tobytes() for s in kind] for kind in (sigs, sigs.astype(np.uint8))]
                 ids = batch["doc_id"].slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.diff(offsets), pa.int64()), pa.array(d1), pa.array(d2), *[pa.array(r, pa.binary()) for r in rows]],
-                    names=["doc_id", "n_shingles", "d1", "d2", "sig", "bytes"],
+                    [ids, pa.array(np.diff(offsets), pa.int64()), pa.array(d1), pa.array(d2), pa.array([s.tobytes() for s in sigs], pa.binary())],
+                    names=["doc_id", "n_shingles", "d1", "d2", "sig"],
                 )
 
     return run, schema
@@ -122,7 +117,7 @@ def _ordered(sig: pa.Array, frequencies: np.ndarray, n: int) -> np.ndarray:
 
 
 def _postings(classes: DataFrame, frequencies) -> DataFrame:
-    """(key, cls, place) of the rarest keys; ``place`` is the key's rank in the class."""
+    """(key, cls) of the rarest keys."""
 
     def post(batches):
         for batch in batches:
@@ -130,165 +125,195 @@ def _postings(classes: DataFrame, frequencies) -> DataFrame:
                 continue
             keys = _ordered(batch["sig"], frequencies.value, PREFIX)
             ids = np.repeat(batch["cls"].to_numpy(zero_copy_only=False), PREFIX)
-            places = np.tile(np.arange(PREFIX, dtype=np.int32), len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids, pa.int64()), pa.array(places)], names=["key", "cls", "place"])
-
-    return classes.select("cls", "sig").mapInArrow(post, "key long, cls long, place int")
-
-
-def _split(postings: DataFrame, classes: DataFrame, frequencies, level: int) -> DataFrame:
-    """Postings of ``level`` keys each, with every later key that can be the next one a pair shares.
-
-    Of at least ``MATCHES`` shared keys the one of rank r (from 0) has at most
-    place ``PREFIX - 1 + r`` in both classes.
-    """
-
-    def split(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 50):
-                batch = whole.slice(at, 50)
-                ordered = mix(_ordered(batch["sig"], frequencies.value, PREFIX + level))
-                row = np.repeat(np.arange(batch.num_rows), batch["keys"].value_lengths().to_numpy(zero_copy_only=False))
-                keys = batch["keys"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                places = batch["places"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                more = PREFIX - 1 + level - places
-                of = np.repeat(np.arange(len(keys)), more)
-                place = places[of] + 1 + np.arange(len(of)) - np.repeat(np.cumsum(more) - more, more)
-                key = mix(keys[of] ^ ordered[row[of], place]).view(np.int64)
-                ids = batch["cls"].to_numpy(zero_copy_only=False)[row[of]]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids, pa.int64()), pa.array(place.astype(np.int32))], names=["key", "cls", "place"])
-
-    listed = postings.groupBy("cls").agg(F.collect_list("key").alias("keys"), F.collect_list("place").alias("places"))
-    return listed.join(classes.select("cls", "sig"), "cls").mapInArrow(split, "key long, cls long, place int")
-
-
-def _matched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Adds to (leader, cls) how many coordinates agree."""
-    # One byte per coordinate is enough here: equal values stay equal, few others become so.
-    sigs = classes.select("cls", "bytes")
-    both = pairs.join(sigs, "cls").join(sigs.select(F.col("cls").alias("leader"), F.col("bytes").alias("leader_bytes")), "leader")
-
-    def match(batches):
-        for batch in batches:
-            if batch.num_rows:
-                own, other = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("bytes", "leader_bytes"))
-                same = pa.array((own == other).sum(axis=1).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch["leader"], batch["cls"], same], names=["leader", "cls", "same"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids, pa.int64())], names=["key", "cls"])
+
+    return classes.select("cls", "sig").mapInArrow(post, "key long, cls long")
+
+
+def _dealt(df: DataFrame, group: str, chunks: Column, salt: Column) -> DataFrame:
+    """Rows of each group under every two chunks that meet (``lo``, ``hi``), with their own (``side``), grouped and in order."""
+    own = df.withColumns({"chunks": chunks.cast("int"), "side": F.pmod(salt, chunks).cast("int")})
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = other.withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")}).drop("chunks", "other")
+    return met.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], group: str, columns: Sequence[str]) -> Iterator[tuple[bool, list[list]]]:
+    """(whether two chunks meet, the columns' values) of each consecutive group."""
+    held: list[list] = [[] for _ in columns]
+    key: tuple | None = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        ids = [batch[c].to_numpy(zero_copy_only=False) for c in (group, "lo", "hi")]
+        new = np.zeros(batch.num_rows, bool)
+        for x in ids:
+            new[1:] |= x[1:] != x[:-1]
+        values = [batch[c].to_pylist() for c in columns]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            now = tuple(x[s].item() for x in ids)
+            if key is not None and now != key:
+                yield key[1] != key[2], held
+                held = [[] for _ in columns]
+            key = now
+            for column, v in zip(held, values):
+                column.extend(v[s:e])
+    if key is not None:
+        yield key[1] != key[2], held
+
+
+def _pairs_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def connected(near: np.ndarray) -> list[np.ndarray]:
+    """Sets of two or more that a symmetric matrix connects."""
+    left = np.ones(len(near), bool)
+    out = []
+    for i in np.flatnonzero(near.any(axis=1)).tolist():
+        if not left[i]:
+            continue
+        reached, todo = np.zeros(len(near), bool), [i]
+        reached[i] = True
+        while todo:
+            fresh = near[todo].any(axis=0) & ~reached
+            reached |= fresh
+            todo = np.flatnonzero(fresh).tolist()
+        left &= ~reached
+        out.append(np.flatnonzero(reached))
+    return out
 
-    return both.mapInArrow(match, "leader long, cls long, same int")
 
+def agreements(sigs: np.ndarray) -> np.ndarray:
+    """On how many coordinates any two signatures agree."""
+    same = np.empty((len(sigs), len(sigs)), np.uint8)
+    step = max(1, 4_000_000 // (len(sigs) * COORDINATES))
+    for at in range(0, len(sigs), step):
+        same[at : at + step] = (sigs[at : at + step, None, :] == sigs[None, :, :]).sum(axis=2)
+    return same
 
-def _leader_pairs(classes: DataFrame) -> DataFrame:
-    """(leader, cls) such that two classes that agree on ``MATCHES`` coordinates are a pair or have a common leader.
 
-    Classes of a list that the leader does not keep, and those that may be
-    near one of them, go on: short lists are paired whole, long ones are split
-    by a further key.  Lists of ``LEADER_MATCHES`` keys are kept whole by
-    their leader, so the levels end.
-    """
+def _candidates(classes: DataFrame) -> DataFrame:
+    """(a, b): what pairs with ``MATCHES`` agreements connect inside each list, as links to its smallest class."""
     frequencies = classes.sparkSession.sparkContext.broadcast(_frequencies(classes))
     postings = _postings(classes, frequencies)
-    found = []
-    for level in range(1, COORDINATES):
-        lists = postings.groupBy("key").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).filter("leader != last")
-        members = stored(postings.join(lists.select("key", "leader"), "key").filter("cls != leader"), "members")
-        matched = stored(_matched(members.select("leader", "cls").distinct(), classes), "matched")
-        found.append(matched.filter(F.col("same") >= LEADER_MATCHES).select("leader", "cls"))
-        placed = members.join(matched, ["leader", "cls"])
-        # Agreements of a class with its leader and of a class near it differ by the disagreements of a pair at most.
-        far = placed.filter(F.col("same") < LEADER_MATCHES).groupBy("key").agg((F.max("same") + COORDINATES - MATCHES).alias("upto"))
-        rest = placed.join(far, "key").filter("same <= upto").select("key", "cls", "place", "same")
-        sizes = rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        rest = stored(rest.join(sizes, "key"), "rest")
-        short = rest.filter(F.col("n") <= SHORT_LIST)
-        a, b = (short.select("key", F.col("cls").alias(c), F.col("same").alias(f"same_{c}")) for c in ("leader", "cls"))
-        met = a.join(b, "key").filter("leader < cls").filter(F.least("same_leader", "same_cls") < LEADER_MATCHES)
-        near = _matched(met.select("leader", "cls").distinct(), classes)
-        found.append(stored(near.filter(F.col("same") >= MATCHES).select("leader", "cls"), "paired"))
-        long = rest.filter(F.col("n") > SHORT_LIST)
-        if long.isEmpty():
-            break
-        postings = stored(_split(long, classes, frequencies, level), "postings")
-    return reduce(DataFrame.unionByName, found).distinct()
-
-
-def _compare(n_words: int, p: int, q: int):
-    """Full sets of both texts of a pair: whether it is linked, and the difference.
-
-    ``plus`` and ``minus`` are the shingles that only the class, or only the
-    leader, has.
-    """
-    schema = "leader long, cls long, linked boolean, n long, n_leader long, plus array<long>, minus array<long>"
+    sizes = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
 
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for i, j, words in pieces(column, lower=True):
-            values, offsets = shingle_sets(words, n_words)
-            for k in range(j - i):
-                yield values[offsets[k] : offsets[k + 1]]
-
-    def run(batches):
+    def low_bytes(batches):
+        # One byte per coordinate is enough here: equal values stay equal, few others become so.
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            seen = batch["leader_text"].dictionary_encode()
-            leaders = list(sets(seen.dictionary))
-            rows = {"linked": [], "n": [], "n_leader": [], "plus": [], "minus": []}
-            for at, own in zip(seen.indices.to_pylist(), sets(batch["text"])):
-                lead = leaders[at]
-                where = np.searchsorted(lead, own)
-                shared = np.zeros(len(own), bool)
-                inside = where < len(lead)
-                shared[inside] = lead[where[inside]] == own[inside]
-                gone = np.ones(len(lead), bool)
-                gone[where[shared]] = False
-                n = int(shared.sum())
-                rows["linked"].append(q * n >= p * (len(own) + len(lead) - n))
-                rows["n"].append(len(own))
-                rows["n_leader"].append(len(lead))
-                rows["plus"].append(own[~shared].view(np.int64))
-                rows["minus"].append(lead[gone].view(np.int64))
-            kinds = {"linked": pa.bool_(), "n": pa.int64(), "n_leader": pa.int64(), "plus": pa.list_(pa.int64()), "minus": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([batch["leader"], batch["cls"], *[pa.array(rows[k], t) for k, t in kinds.items()]], names=["leader", "cls", *kinds])
-
-    return run, schema
-
-
-def _cross_links(compared: DataFrame, first: DataFrame, p: int, q: int, nearest_only: bool) -> DataFrame:
-    """Links between classes of one leader that lie in different components so far.
+            sigs = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint32).astype(np.uint8).tobytes()
+            short = pa.array([sigs[k : k + COORDINATES] for k in range(0, len(sigs), COORDINATES)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["cls"], short], names=["cls", "sig"])
 
-    x is a class outside the leader's component, y any other of the leader.
-    ``nearest_only`` finds most of the links cheaply: x takes part under its
-    nearest leaders in each component, and y in the leader's component or under
-    its nearest leader of all.
+    def count(batches):
+        a: list[int] = []
+        b: list[int] = []
+        for two, (ids, sigs, sides) in _runs(batches, "key", ["cls", "sig", "side"]):
+            near = agreements(np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, COORDINATES)) >= MATCHES
+            np.fill_diagonal(near, False)
+            if two:
+                near &= np.not_equal.outer(sides, sides)
+            for found in connected(near):
+                members = [ids[k] for k in found]
+                smallest = min(members)
+                b.extend(m for m in members if m != smallest)
+                a.extend([smallest] * (len(b) - len(a)))
+            if len(a) >= 10_000:
+                yield _pairs_batch(a, b)
+                a, b = [], []
+        yield _pairs_batch(a, b)
+
+    listed = postings.join(sizes, "key").join(classes.select("cls", "sig").mapInArrow(low_bytes, "cls long, sig binary"), "cls")
+    dealt = _dealt(listed, "key", F.ceil(F.col("n") / LIST_CLASSES), F.xxhash64("cls"))
+    return dealt.select("key", "lo", "hi", "cls", "sig", "side").mapInArrow(count, "a long, b long").distinct()
+
+
+def linking_pairs(sets: Sequence[np.ndarray], p: int, q: int, sides: Sequence[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what all pairs with Jaccard similarity p/q or more connect.
+
+    With ``sides`` only pairs of different sides count.  A set in the largest
+    component is held against the others only by them, so most of a large
+    group of copies is never compared with itself.
+    """
+    n = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(n), size)
+    _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders = owner[np.argsort(of, kind="stable")]
+    start = np.cumsum(count) - count
+    first = np.cumsum(size) - size
+    side = None if sides is None else np.asarray(sides)
+    label, members = np.arange(n), np.ones(n, np.int64)
+    waiting = np.ones(n, bool)
+    out: list[tuple[int, int]] = []
+    while True:
+        largest = int(members.argmax())
+        todo = np.flatnonzero(waiting & (label != largest))
+        if not len(todo):
+            return out
+        i = int(todo[0])
+        waiting[i] = False
+        mine = of[first[i] : first[i] + size[i]]
+        here = count[mine]
+        at = np.repeat(start[mine] - (np.cumsum(here) - here), here) + np.arange(here.sum())
+        shared = np.bincount(holders[at], minlength=n)
+        linked = (q * shared >= p * (size[i] + size - shared)) & (label != label[i])
+        if side is not None:
+            linked &= side != side[i]
+        while linked.any():
+            j = int(np.flatnonzero(linked)[0])
+            out.append((i, j))
+            old, new = int(label[j]), int(label[i])
+            members[new] += members[old]
+            members[old] = 0
+            label[label == old] = new
+            linked &= label != new
+
+
+def _links(docs: DataFrame, groups: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """(a, b): links on full sets, as many as connect all that is linked.
+
+    ``groups`` has node, component and n_shingles.
     """
-    label = first.select(F.col("node").alias("cls"), F.col("component").alias("in_cls"))
-    of_leader = first.select(F.col("node").alias("leader"), F.col("component").alias("in_leader"))
-    placed = compared.join(label, "cls", "left").join(of_leader, "leader", "left")
-    placed = placed.withColumns({"in_cls": F.coalesce("in_cls", "cls"), "in_leader": F.coalesce("in_leader", "leader")})
-    outside, others = placed.filter("in_cls != in_leader"), placed
-    if nearest_only:
-        nearest = [((F.size("plus") + F.size("minus")) / (F.col("n") + F.col("n_leader"))).asc(), F.col("leader").asc()]
-        placed = placed.withColumn("there", F.row_number().over(Window.partitionBy("cls", "in_leader").orderBy(*nearest)) <= LEADERS)
-        placed = placed.withColumn("best", F.row_number().over(Window.partitionBy("cls").orderBy(*nearest)) == 1)
-        outside, others = placed.filter("in_cls != in_leader and there"), placed.filter("in_cls = in_leader or best")
-    # Elements only the class has come first in the order, in whole numbers:
-    # 2 * overlap >= |Dx| - c(|x| + |L|), and 2 * overlap > |Dy| + c(|L| - |y|).
-    apart = F.size("plus") + F.size("minus")
-    least_x = -F.floor(((q - p) * (F.col("n") + F.col("n_leader")) - (q + p) * apart) / F.lit(2 * (q + p)))
-    least_y = F.floor(((q + p) * apart + (q - p) * (F.col("n_leader") - F.col("n"))) / F.lit(2 * (q + p))) + 1
-    upto = lambda least: F.greatest(apart - F.greatest(least, F.lit(1)) + 1, F.lit(0)).cast("int")
-    every = F.concat("plus", "minus")
-    x = outside.select("leader", F.col("cls").alias("x"), F.col("in_cls").alias("in_x"), F.explode(F.slice(every, F.lit(1), upto(least_x))).alias("e"))
-    y = others.join(outside.select("leader").distinct(), "leader", "left_semi")
-    y = y.select("leader", F.col("cls").alias("y"), F.col("in_cls").alias("in_y"), F.explode(F.slice(every, F.lit(1), upto(least_y))).alias("e"))
-    both = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("leader", "e")]
-    met = x.alias("x").join(y.alias("y"), [*both, F.col("in_x") != F.col("in_y")])
-    pairs = met.select("x.leader", "x", "y").distinct()
-    side = lambda name: compared.select("leader", F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), every.alias(f"d_{name}"))
-    full = pairs.join(side("x"), ["leader", "x"]).join(side("y"), ["leader", "y"])
-    apart = F.size("d_x") + F.size("d_y") - 2 * F.size(F.array_intersect("d_x", "d_y"))
-    total = F.col("n_x") + F.col("n_y")
-    return full.filter(q * (total - apart) >= p * (total + apart)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    sizes = groups.groupBy("component").agg(F.sum("n_shingles").alias("total"))
+    # The ids grow with the corpus, so they are not sent to every task even where they are few.
+    texts = groups.join(sizes, "component").join(docs.withColumnRenamed("doc_id", "node").hint("merge"), "node")
+    dealt = _dealt(texts, "component", F.ceil(F.col("total") / GROUP_SHINGLES), F.xxhash64("node"))
+
+    def compare(batches):
+        a: list[int] = []
+        b: list[int] = []
+        for two, (ids, held, sides) in _runs(batches, "component", ["node", "text", "side"]):
+            sets, kept = [], []
+            for i, j, words in pieces(pa.array(held, pa.string()), lower=True):
+                values, offsets = shingle_sets(words, n_words)
+                for k in range(j - i):
+                    # Rows that share a doc_id may hold a text without words.
+                    if offsets[k + 1] > offsets[k]:
+                        sets.append(values[offsets[k] : offsets[k + 1]])
+                        kept.append(i + k)
+            if len(sets) > 1:
+                for x, y in linking_pairs(sets, percent, 100, [sides[k] for k in kept] if two else None):
+                    a.append(ids[kept[x]])
+                    b.append(ids[kept[y]])
+            if len(a) >= 10_000:
+                yield _pairs_batch(a, b)
+                a, b = [], []
+        yield _pairs_batch(a, b)
+        # The worker lives on for other stages.
+        pa.default_memory_pool().release_unused()
+
+    return dealt.select("component", "lo", "hi", "node", "text", "side").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _shared_ids(described: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): rows of one doc_id that lie in several classes are one document."""
+    digest = F.struct("d1", "d2")
+    several = described.groupBy("doc_id").agg(F.min(digest).alias("least"), F.max(digest).alias("most")).filter("least != most")
+    rows = described.join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", "d1", "d2").distinct()
+    return rows.join(classes.select("d1", "d2", "cls"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
@@ -308,24 +333,17 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     run, schema = _describe(n_words)
     described = stored(docs.mapInArrow(run, schema), "signatures")
     some = described.filter("n_shingles > 0")
-    classes = stored(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"), F.min_by("sig", "doc_id").alias("sig"), F.min_by("bytes", "doc_id").alias("bytes")), "classes")
-
     # A class is named by its smallest document, whose text stands for it.
-    pairs = stored(_leader_pairs(classes), "pairs")
-    run, schema = _compare(n_words, percent, 100)
-    wanted = pairs.select(F.col("cls").alias("doc_id")).union(pairs.select("leader")).distinct()
-    # The ids grow with the corpus, so they are not sent to every task even where they are few.
-    texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi")
-    texts = stored(texts, "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("cls"), "text"), "cls")
-    both = both.join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("leader_text")), "leader")
-    compared = stored(both.mapInArrow(run, schema), "compared")
-
-    links = compared.filter("linked").select(F.col("leader").alias("a"), F.col("cls").alias("b"))
-    joined = components(links)
-    for nearest_only in (True, False):
-        cross = _cross_links(compared, joined, percent, 100, nearest_only)
-        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(cross))
+    first = (F.min("doc_id").alias("cls"), F.min("n_shingles").alias("n_shingles"), F.min_by("sig", "doc_id").alias("sig"))
+    classes = stored(some.groupBy("d1", "d2").agg(*first), "classes")
+
+    candidates = stored(_candidates(classes), "candidates")
+    shingles = classes.groupBy(F.col("cls").alias("node")).agg(F.sum("n_shingles").alias("n_shingles"))
+    groups = stored(components(candidates).join(shingles, "node"), "groups")
+    forget(candidates)
+    links = stored(_links(docs, groups, n_words, percent), "links")
+    forget(groups)
+    joined = components(links.unionByName(_shared_ids(some, classes)))
 
     named = classes.select("d1", "d2", "cls").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.select("d1", "d2", F.coalesce("component", "cls").alias("component_id"))
