@@ -66,7 +66,37 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(docs, 20).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query("op2_minhash_near_dedup")
+# Links from shared shingles of distinct sets, components by walking from every class to larger ones.
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, string_split_regex(trim(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN w IS NULL OR w = [''] THEN [] WHEN len(w) < 2 THEN w
+           ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s
+    FROM words
+), classes AS (
+    SELECT min(doc_id) AS cls, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), elements AS (
+    SELECT cls, n, unnest(s) AS e FROM classes
+), links AS (
+    SELECT a.cls AS a, b.cls AS b FROM elements a JOIN elements b ON a.e = b.e AND a.cls < b.cls
+    GROUP BY a.cls, b.cls, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+    SELECT cls AS node, cls AS least FROM classes
+    UNION SELECT ways.b, reached.least FROM reached JOIN ways ON ways.a = reached.node WHERE reached.least < ways.b
+), named AS (
+    SELECT node, min(least) AS component FROM reached GROUP BY node
+)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN named ON named.node = classes.cls
+"""
+
+
+@query("op2_minhash_near_dedup", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, similarity 0.8."""
     return near.near_duplicates(table(spark, sf_dir, "documents"), n_words=2, percent=80)
@@ -111,7 +141,27 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096)
 
 
-@query("op6_embedding_near_dedup")
+# All pairs of the small table's vectors.
+OP6_SQL = r"""
+WITH RECURSIVE flat AS (
+    SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
+), usable AS (
+    SELECT vec_id, sqrt(sum(x * x)) AS norm FROM flat GROUP BY vec_id HAVING count(*) = count(x) AND bool_and(isfinite(x)) AND sum(x * x) > 0
+), vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, norm FROM embeddings JOIN usable USING (vec_id)
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95
+), reached AS (
+    SELECT vec_id AS node, vec_id AS least FROM embeddings
+    UNION SELECT links.b, reached.least FROM reached JOIN links ON links.a = reached.node WHERE reached.least < links.b
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, component_id = vec_id AS kept
+FROM embeddings JOIN (SELECT node, min(least) AS component_id FROM reached GROUP BY node) ON node = vec_id
+"""
+
+
+@query("op6_embedding_near_dedup", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine 0.95."""
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
