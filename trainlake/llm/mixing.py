@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import unused
+
 # Entries of all distribution tables up to which they are sent to every task (16 bytes each).
 BROADCAST_ENTRIES = 200_000
 # Copies of the tables, and shares of a hot source, beyond that.
@@ -53,7 +55,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total: float | None = None,
     and empty alike); input columns named copies or copy are replaced.  Without
     weights, or from an empty table, nothing comes.
     """
-    docs = docs.drop("copies", "copy", "_cdf", "_salt")
+    docs = docs.drop("copies", "copy")
+    of, cdf, salt, at = (unused(name, docs) for name in ("_source", "_cdf", "_salt", "_at"))
     counts = docs.groupBy("source").agg(F.count("*").cast("double").alias("n"))
     known = counts.alias("c").join(weights.select("source", "weight").alias("w"), F.col("c.source").eqNullSafe(F.col("w.source")))
     known = known.select("c.source", "n", F.col("weight").cast("double").alias("weight")).filter("weight > 0")
@@ -61,20 +64,22 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total: float | None = None,
     rows, weight = sums[0] or 0.0, sums[1]["w"] or 1.0
     expected = float(rows if total is None else total)
     rates = known.select("source", (F.lit(expected) * F.col("weight") / F.lit(weight) / F.col("n")).alias("rate"))
-    tables = poisson_tables(rates).withColumnRenamed("source", "_source").withColumnRenamed("cdf", "_cdf")
+    tables = poisson_tables(rates).withColumnRenamed("source", of).withColumnRenamed("cdf", cdf)
 
     entries = rates.agg(F.sum(F.col("rate") + 12 * F.sqrt("rate") + 32).alias("e")).first()["e"] or 0
-    same = F.col("source").eqNullSafe(F.col("_source"))
+    same = F.col("source").eqNullSafe(F.col(of))
     if entries <= BROADCAST_ENTRIES:
         joined = docs.join(F.broadcast(tables), same)
     else:
         # A third of all rows may be one source: its rows meet one of several copies of its table.
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)))
-        spread = tables.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = salted.join(spread, same & (F.col("_salt") == F.col("_at"))).drop("_salt", "_at")
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)))
+        spread = tables.withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = salted.join(spread, same & (F.col(salt) == F.col(at)))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     u = uniform(seed, key)
-    drawn = joined.withColumn("copies", F.size(F.filter("_cdf", lambda c: c <= u)).cast("int"))
-    several = drawn.filter("copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    drawn = joined.withColumn("copies", F.size(F.filter(cdf, lambda c: c <= u)).cast("int"))
+    # An empty sequence gives no row; a filter on the count could be moved below the join, where the row isn't known.
+    upto = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies")))
+    several = drawn.select(*[F.col(f"`{c}`") for c in docs.columns], "copies", F.explode(upto).alias("copy"))
     order = F.xxhash64(F.lit(seed), key, F.col("copy"))
     return several.repartition(order).sortWithinPartitions(order)

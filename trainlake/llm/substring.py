@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import stored
+from .storage import stored, unused
 from .words import mix, pieces, runs
 
 LENGTH = 20
@@ -246,6 +246,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     docs = docs.drop("n_words", "n_removed", "kept_text").withColumn("doc_id", F.col("doc_id").cast("long"))
     found = repeated_windows(docs, length)
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + F.lit(length - 1)).alias("end"))).alias("_spans"))
-    cut = docs.join(spans, "doc_id", "left").withColumn("_cut", _without("text", "_spans"))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns], "_cut.n_words", "_cut.n_removed", "_cut.kept_text")
+    listed, cut_to = unused("_spans", docs), unused("_cut", docs)
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + F.lit(length - 1)).alias("end"))).alias(listed))
+    cut = docs.join(spans, "doc_id", "left").withColumn(cut_to, _without("text", listed))
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns], f"{cut_to}.n_words", f"{cut_to}.n_removed", f"{cut_to}.kept_text")

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import unused
 from .words import Words, bare, mix, pieces, spelled
 
 # Bounds of the training sample, in documents.
@@ -295,10 +296,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """
     chain = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     keep = docs.drop("score", "predicted", "toxic_spans")
-    scored = keep.withColumn("_scored", _scorer(chain)("text"))
+    result = unused("_scored", keep)
+    scored = keep.withColumn(result, _scorer(chain)("text"))
     return scored.select(
         *[F.col(f"`{c}`") for c in keep.columns],
-        F.col("_scored.score").alias("score"),
-        (F.col("_scored.score") >= threshold).cast("int").alias("predicted"),
-        F.col("_scored.spans").alias("toxic_spans"),
+        F.col(f"{result}.score").alias("score"),
+        (F.col(f"{result}.score") >= threshold).cast("int").alias("predicted"),
+        F.col(f"{result}.spans").alias("toxic_spans"),
     )

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import unused
+
 # Hex digits of the digest that the join uses.
 SHORT = 8
 # Rules up to which their table (about 200 bytes each) is sent to every task.
@@ -70,6 +72,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     hits = expressions.join(own, "short").filter("full = digest")
     order = F.struct("size", "host_size", (F.col("action") == "block").alias("blocks"), "rule", "action")
     decided = hits.groupBy("url").agg(F.max(order).alias("best")).select("url", F.col("best.rule").alias("rule"), F.col("best.action").alias("verdict"))
-    judged = split.join(decided, "url", "left").select(F.col("url").alias("_url"), "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT)).alias("verdict"))
-    joined = pages.join(judged, F.col("url").eqNullSafe(F.col("_url")), "left")
+    key = unused("_url", pages)
+    judged = split.join(decided, "url", "left").select(F.col("url").alias(key), "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT)).alias("verdict"))
+    joined = pages.join(judged, F.col("url").eqNullSafe(F.col(key)), "left")
     return joined.select(*[F.col(f"`{c}`") for c in pages.columns], "host", "path", "rule", "verdict")
