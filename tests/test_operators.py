@@ -130,6 +130,17 @@ def test_rolling_mean(spark, points, max_rows):
     assert rows(got) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("counted", [1, 150])
+def test_rolling_mean_measured_on_another_frame(spark, counted):
+    """A measure that says too little or enough changes the plan, not the result."""
+    _, df = numbered(spark, 150, groups=2)
+    order = [F.col("t").asc(), F.col("i").asc()]
+    plain = rolling_mean(df, "v", 7, order, ["g"])
+    for max_rows in (10**6, 40):
+        got = rolling_mean(df, "v", 7, order, ["g"], max_rows=max_rows, measure=df.select("g").limit(counted))
+        assert rows(got) == rows(plain)
+
+
 def test_summaries(spark):
     df = spark.createDataFrame([("2024-01-03", 1.0, None), ("2024-01-01", float("nan"), None)], "d string, a double, b double")
     assert rows(null_counts(df, ["a", "b"])) == [(1, 2)]

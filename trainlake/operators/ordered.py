@@ -85,11 +85,14 @@ def rolling_mean(
     out: str = "rolling",
     min_points: int | None = None,
     max_rows: int = SERIES_ROWS,
+    measure: DataFrame | None = None,
 ) -> DataFrame:
     """Mean of the last ``points`` rows (rows, not days), rounded half to even to 2 places.
 
     NULL until ``min_points`` values are present (default: half the window).
     Long series are cut into chunks that each carry the rows before them.
+    ``measure`` is a cheaper frame whose series are about as long, counted in
+    place of a costly input; it only decides how the work is spread.
     """
     least = max(1, points // 2) if min_points is None else min_points
 
@@ -98,13 +101,14 @@ def rolling_mean(
         rounded = F.rint(mean * F.lit(100.0)) / F.lit(100.0)
         return F.when(F.count(value).over(window) >= least, rounded)
 
-    longest = longest_series(df, series)
+    longest = longest_series(df if measure is None else measure, series)
     if longest <= max_rows:
         window = Window.partitionBy(*series).orderBy(*order).rowsBetween(1 - points, 0)
         return df.withColumn(out, mean_over(window))
 
     chunk = max(max_rows, points)
-    placed = ordered_counts(df, order, {"_idx": F.lit(True)}, series, max_rows, longest)
+    # A measure that says too little must not take the row count's place in the layout.
+    placed = ordered_counts(df, order, {"_idx": F.lit(True)}, series, max_rows, longest if measure is None else max(longest, longest_series(df, series)))
     home = F.floor(F.col("_idx") / F.lit(chunk)).cast("bigint")
     last_seen_in = F.floor((F.col("_idx") + F.lit(points - 1)) / F.lit(chunk)).cast("bigint")
     spread = placed.withColumn("_home", home).withColumn("_chunk", F.explode(F.sequence(F.col("_home"), last_seen_in)))

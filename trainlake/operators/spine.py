@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A key is hot above this many spine rows (and above a thousandth of all rows).
+# A key is hot above this many spine rows, however large the table is.
 HOT_ROWS = 5_000_000
 # Keys are counted on a sample of about this many rows; exactly when there are fewer.
 SAMPLE_ROWS = 5_000_000
@@ -28,21 +28,20 @@ _COPIES = "_hot_copies"
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
     """Keys above the threshold with the number of salt copies each needs.
 
-    The threshold is at least a thousandth of all rows, so about a thousand keys
-    are returned at most, however large the table is.  Counting on a sample only
-    decides how rows are spread; every row is joined either way.
+    There are at most as many as ``hot_rows`` goes into the rows: 200,000 of 10^12
+    at the default.  Counting on a sample only decides how rows are spread;
+    every row is joined either way.
     """
     total = df.select(*keys).count()
     if total <= hot_rows:
         return None
-    threshold = max(hot_rows, total // 1000)
     share = min(1.0, SAMPLE_ROWS / total)
     counted = df.select(*keys) if share == 1.0 else df.select(*keys).sample(share, seed=7)
-    found = counted.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > threshold * share).collect()
+    found = counted.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows * share).collect()
     if not found:
         return None
     schema = df.select(*keys).schema.add(_COPIES, T.IntegerType())
-    rows = [tuple(r[k] for k in keys) + (math.ceil(r["_n"] / share / threshold),) for r in found]
+    rows = [tuple(r[k] for k in keys) + (math.ceil(r["_n"] / share / hot_rows),) for r in found]
     return df.sparkSession.createDataFrame(rows, schema)
 
 

@@ -107,11 +107,13 @@ def metric_points(
     rolling_points: int = 0,
     keys: Sequence[str] = (),
     max_rows: int = SERIES_ROWS,
+    measure: DataFrame | None = None,
 ) -> DataFrame:
     """keys, date, value, label[, rolling]; rows without a value are left out first.
 
     The rolling mean runs per key.  Equal days are ordered by activity id, or by
-    value where rows have none.
+    value where rows have none.  ``measure`` is a narrower table with about as
+    many rows per key, counted in place of ``table``.
     """
     day = F.col(family.day)
     sport = sport_is(F.col("activity_type"), sport_type) if family.by_sport else None
@@ -123,7 +125,7 @@ def metric_points(
     ).filter(present(F.col("value")))
     if rolling_points > 0:
         order = [F.col("date").asc_nulls_last(), F.col("_tie").asc_nulls_last(), F.col("value").asc()]
-        points = rolling_mean(points, "value", rolling_points, order, keys, max_rows=max_rows)
+        points = rolling_mean(points, "value", rolling_points, order, keys, max_rows=max_rows, measure=None if measure is None else measure.select(*keys))
     return points
 
 
@@ -168,7 +170,9 @@ def metric_series(
 ) -> Series:
     """A catalogue metric as a series; ``rolling_days`` counts data points."""
     family, found = find_metric(chart_type, metric)
-    points = metric_points(lake.table(family.table), family, found, sport_type, start_date, end_date, rolling_days, keys)
+    # The day spine has a row per daily summary; counting those spares running its joins twice.
+    measure = lake.table("stg_garmin__daily_summary") if family.table == "int_garmin__daily" else None
+    points = metric_points(lake.table(family.table), family, found, sport_type, start_date, end_date, rolling_days, keys, measure=measure)
     title = found.title
     if sport_type and sport_type.lower() != "all":
         title += f" - {sport_type}"
