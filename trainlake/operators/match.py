@@ -5,9 +5,9 @@ difference, then smaller id.  On either side of a start time the nearest right
 row also has the smallest day gap, so each left row only needs one step back and
 one step ahead in time order, once among all rows and once among its family.
 
-The time line of a key is cut into slots, and one sorted pass over a slot, there
-and back, carries the last recording of all and of each family along, payload
-included.  Only the slots' edges are exchanged beside the rows: a slot also
+The time line of a key, once for all rows and once for each family, is cut into
+slots, and one sorted pass over a slot, there and back, carries the last
+recording along, payload included.  Only the slots' edges are exchanged beside the rows: a slot also
 receives the nearest recordings outside it.  A task never holds more than a
 slot, even when one athlete or one day has most of the data.
 
@@ -58,36 +58,28 @@ def _searches(window_days: int) -> Column:
     return F.when(own_day, once).otherwise(each)
 
 
-def _of(family: str, hit: Column) -> Column:
-    """``hit`` when it belongs to the family; any hit for ``_ANY``."""
-    return hit if family == _ANY else F.when(F.col("_hit._family") == family, hit)
-
-
-def _edges(candidates: DataFrame, asked: DataFrame, group: Sequence[str], families: Sequence[str]) -> DataFrame:
-    """For each slot with probes the nearest candidates outside it, of all and of each family."""
+def _edges(candidates: DataFrame, asked: DataFrame, group: Sequence[str]) -> DataFrame:
+    """For each slot with probes the nearest candidates outside it."""
     there = F.col("_hit").isNotNull()
     here, turned = F.when(there, F.struct("_t", "_hit")), F.when(there, F.struct((-F.col("_t")).alias("_t"), F.col("_hit")))
     offered = candidates.select(*group, "_slot", "_t", "_hit", F.lit(False).alias("_asked"))
     wanted = asked.select(*group, "_slot", F.lit(True).alias("_asked"))
     # The smallest time, or the largest; at equal times the smallest id.
-    first = {f"_first_{i}": F.min(_of(f, here)) for i, f in enumerate(families)}
-    last = {f"_last_{i}": F.min(_of(f, turned)) for i, f in enumerate(families)}
-    ends = [c.alias(n) for n, c in {**first, **last}.items()]
-    slots = offered.unionByName(wanted, allowMissingColumns=True).groupBy(*group, "_slot").agg(*ends, F.max("_asked").alias("_asked"))
+    ends = (F.min(here).alias("_first"), F.min(turned).alias("_last"), F.max("_asked").alias("_asked"))
+    slots = offered.unionByName(wanted, allowMissingColumns=True).groupBy(*group, "_slot").agg(*ends)
     earlier = Window.partitionBy(*group).orderBy(F.col("_slot").asc()).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*group).orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = slots.withColumns(
-        {n: F.last(n, ignorenulls=True).over(earlier) for n in last} | {n: F.last(n, ignorenulls=True).over(later) for n in first}
+        {"_before": F.last("_last", ignorenulls=True).over(earlier), "_after": F.last("_first", ignorenulls=True).over(later)}
     ).filter("_asked")
-    before = [F.struct((-F.col(f"{n}._t")).alias("_t"), F.col(f"{n}._hit").alias("_hit")) for n in last]
-    edge = F.explode(F.array_distinct(F.array(*before, *[F.struct(F.col(f"{n}._t").alias("_t"), F.col(f"{n}._hit").alias("_hit")) for n in first])))
-    return carried.select(*group, "_slot", edge.alias("_edge")).select(*group, "_slot", "_edge.*").filter(F.col("_hit").isNotNull())
+    before = F.struct((-F.col("_before._t")).alias("_t"), F.col("_before._hit").alias("_hit"))
+    after = F.struct(F.col("_after._t").alias("_t"), F.col("_after._hit").alias("_hit"))
+    return carried.select(*group, "_slot", F.explode(F.array(before, after)).alias("_edge")).select(*group, "_slot", "_edge.*").filter(F.col("_hit").isNotNull())
 
 
 def nearest_matches(
     probes: DataFrame,
     candidates: DataFrame,
-    families: Sequence[str],
     keys: Sequence[str] = (),
     window_days: int = 1,
     max_diff_s: float | None = None,
@@ -102,64 +94,52 @@ def nearest_matches(
     type_mismatch, start_diff_s`` and the payload.  Candidates equal in time
     and id are told apart by their payload, the smallest first.
     """
-    group = list(keys)
-    names = [_ANY, *families]
+    group = [*keys, "_cls"]
+    # Every row stands among all rows and among its family.
+    classes = F.explode(F.filter(F.array(F.lit(_ANY), F.col("_family")), lambda c: c != ""))
 
     def slot(time: str) -> Column:
         return F.floor(F.col(time) / F.lit(slot_s * 1_000_000)).cast("bigint")
 
-    right = candidates.select(*group, slot("_t").alias("_slot"), "_t", F.struct("_id", *payload, "_family").alias("_hit"))
+    right = candidates.select(*keys, classes.alias("_cls"), slot("_t").alias("_slot"), "_t", F.struct("_id", *payload).alias("_hit"))
     asked = (
-        probes.select(*group, "_day", F.col("_t"), "_family")
+        probes.select(*keys, "_day", F.col("_t").alias("_own_t"), "_family", "_t")
         .filter(F.col("_day").isNotNull())
         .withColumn("_search", F.explode(_searches(window_days)))
-        .select(*group, "_day", F.col("_t").alias("_own_t"), F.col("_family").alias("_asked_family"), "_search", F.col("_search.at").alias("_t"))
+        .withColumn("_cls", classes)
+        .withColumn("_t", F.col("_search.at"))
         .withColumn("_slot", slot("_t"))
     )
-    rows = right.unionByName(_edges(right, asked, group, names)).unionByName(asked, allowMissingColumns=True)
+    rows = right.unionByName(_edges(right, asked, group)).unionByName(asked, allowMissingColumns=True)
 
     # Candidates come before probes at equal time, in both directions, and the smallest id comes last.
     is_probe = F.col("_hit").isNull()
     back = Window.partitionBy(*group, "_slot").orderBy(F.col("_t").asc(), is_probe, F.col("_hit").desc()).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*group, "_slot").orderBy(F.col("_t").desc(), is_probe, F.col("_hit").desc()).rowsBetween(Window.unboundedPreceding, 0)
     found = F.when(~is_probe, F.struct("_t", "_hit"))
-    near = rows.withColumns(
-        {f"_{way}_{i}": F.last(_of(f, found), ignorenulls=True).over(window) for way, window in (("back", back), ("ahead", ahead)) for i, f in enumerate(names)}
-    ).filter(is_probe)
-
-    def own(way: str) -> Column:
-        """The nearest hit of the probe's own family."""
-        hit = F.lit(None)
-        for i, f in enumerate(families, 1):
-            hit = F.when(F.col("_asked_family") == f, F.col(f"_{way}_{i}")).otherwise(hit)
-        return hit
-
-    near = near.withColumns({"_back_own": own("back"), "_ahead_own": own("ahead")}) if families else near
+    near = rows.withColumns({"_back": F.last(found, ignorenulls=True).over(back), "_ahead": F.last(found, ignorenulls=True).over(ahead)}).filter(is_probe)
 
-    def ranked(hit: str, mismatch: int) -> Column:
+    def ranked(hit: str) -> Column:
         found_day = F.timestamp_micros(F.col(f"{hit}._t")).cast("date")
         secs = F.when(F.col("_own_t") != _NO_TIME, F.abs(F.col(f"{hit}._t") - F.col("_own_t")) / F.lit(1e6))
         entry = F.struct(
             F.abs(F.date_diff(found_day, F.col("_day"))).alias("date_diff_days"),
-            F.lit(mismatch).alias("type_mismatch"),
+            F.when(F.col("_cls") == _ANY, 1).otherwise(0).alias("type_mismatch"),
             secs.alias("start_diff_s"),
-            *[F.col(f"{hit}._hit.{c}").alias(c) for c in ("_id", *payload)],
+            F.col(f"{hit}._hit").alias("_hit"),
         )
         usable = F.col(hit).isNotNull() & found_day.between(F.col("_search.low"), F.col("_search.high"))
         if max_diff_s is not None:
             usable = usable & (secs <= F.lit(float(max_diff_s)))
         return F.when(usable, entry)
 
-    ways = [ranked(f"_{way}_0", 1) for way in ("back", "ahead")]
-    if families:
-        ways += [ranked(f"_{way}_own", 0) for way in ("back", "ahead")]
     # ``least`` and ``min`` skip NULL, so a probe with one neighbour keeps it.
     return (
-        near.select(*group, "_day", F.col("_own_t").alias("_t"), F.col("_asked_family").alias("_family"), F.least(*ways).alias("_best"))
+        near.select(*keys, "_day", F.col("_own_t").alias("_t"), "_family", F.least(ranked("_back"), ranked("_ahead")).alias("_best"))
         .filter(F.col("_best").isNotNull())
-        .groupBy(*group, "_day", "_t", "_family")
+        .groupBy(*keys, "_day", "_t", "_family")
         .agg(F.min("_best").alias("_best"))
-        .select(*group, "_day", "_t", "_family", "_best.*")
+        .select(*keys, "_day", "_t", "_family", "_best.date_diff_days", "_best.type_mismatch", "_best.start_diff_s", "_best._hit.*")
     )
 
 
@@ -207,7 +187,7 @@ def match_table(
     named = dict(payload or {})
     taken = {alias: f"_payload_{i}" for i, alias in enumerate(named.values())}
     offered = offered.select(*keys, "_t", "_family", "_id", *[F.col(c).alias(taken[a]) for c, a in named.items()])
-    matches = nearest_matches(asking, offered, list(families), keys, window_days, max_diff_s, slot_s, list(taken.values()))
+    matches = nearest_matches(asking, offered, keys, window_days, max_diff_s, slot_s, list(taken.values()))
     return matches.withColumnsRenamed({"_id": match_id} | {name: alias for alias, name in taken.items()})
 
 
