@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from checks.compare import difference, duck
-from trainlake.llm import mixing, packing, sharding
+from trainlake.llm import bytebpe, mixing, packing, sharding
 from trainlake.llm.queries import QUERIES, SQL
 
 SCHEMA = "doc_id long, text string, source string, copies string, rank int, arc string"
@@ -146,3 +146,64 @@ def test_packing_query(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     used, least = check_packing(docs, QUERIES["op5_best_fit_packing"](spark, sf).collect(), 4096)
     assert used <= least + 1
+
+
+def fewest(sizes, capacity):
+    """The least number of sequences, by trying every place for every piece."""
+    best = len(sizes)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(sizes):
+            best = len(bins)
+            return
+        tried = set()
+        for i, used in enumerate(bins):
+            if used + sizes[k] <= capacity and used not in tried:
+                tried.add(used)
+                bins[i] += sizes[k]
+                place(k + 1, bins)
+                bins[i] -= sizes[k]
+        place(k + 1, [*bins, sizes[k]])
+
+    sizes = sorted(sizes, reverse=True)
+    place(0, [])
+    return best
+
+
+def sequences(fillings):
+    return [[a for a, k in need for _ in range(k)] for times, need in fillings for _ in range(times)]
+
+
+def test_branching_needs_the_fewest_sequences():
+    rng = random.Random(11)
+    for _ in range(1500):
+        sizes = [rng.randint(15, 60) for _ in range(rng.randint(8, 12))]
+        found = sequences(packing.complete_bins(dict(Counter(sizes)), 100))
+        assert sorted(a for s in found for a in s) == sorted(sizes) and all(sum(s) <= 100 for s in found)
+        assert len(found) == fewest(sizes, 100), sizes
+    assert len(sequences(packing.complete_bins(dict(Counter([19, 25, 27, 27, 29, 39, 40, 42, 44, 47, 48])), 100))) == 4
+
+
+def test_branching_ends_and_loses_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "BRANCHES", 30)
+    rng = random.Random(2)
+    histogram = Counter(rng.randint(1, 200) for _ in range(3000))
+    found = sequences(packing.complete_bins(dict(histogram), 256))
+    assert Counter(a for s in found for a in s) == histogram and all(sum(s) <= 256 for s in found)
+    assert len(found) <= 1.03 * sum(a * n for a, n in histogram.items()) / 256
+
+
+def test_words_merge_by_rank_as_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    encoder = packing._Encoder(path, bytebpe.word_end_ranks(path))
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCéüß'!?.,-0123456789"
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(5000)] + ["don't", "a\x00b", "\x00", "\U0001f600", "<|endoftext|>"]
+    for word in words:
+        assert list(memoryview(encoder.encode(word)).cast("I")) == library.encode(word, add_special_tokens=False).ids, word
+    with pytest.raises(ValueError):
+        bytebpe.word_end_ranks(public_tokenizers.path("byte_bpe_50k.json"))

@@ -108,6 +108,47 @@ def ranks(path: str, tokenizer: Tokenizer) -> dict[bytes, int]:
     return tokens
 
 
+def word_end_ranks(path: str) -> tuple[dict[bytes, int], list[int]]:
+    """Ranks that merge words as a vocabulary with word ends does, and the id of each rank; else ValueError.
+
+    A word is its bytes and a zero byte, for words without one.  The last byte
+    and the zero are joined first, being the vocabulary's last letter.  Merging
+    by rank is proved as in ``ranks``, with the listed pairs merged here.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix = model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or not suffix or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges"):
+        raise ValueError(f"not a BPE with word ends: {path}")
+    chars = byte_chars()
+
+    def spelled(token: str) -> bytes:
+        end = token.endswith(suffix)
+        return bytes(chars[c] for c in token.removesuffix(suffix)) + b"\0" * end
+
+    pairs = [tuple(spelled(t) for t in (pair if isinstance(pair, list) else pair.split(" "))) for pair in model["merges"]]
+    listed = {pair: k for k, pair in enumerate(pairs)}
+    made = [x + y for x, y in pairs]
+
+    def alone(token: bytes) -> list[bytes]:
+        parts = [token[i : i + 1] for i in range(len(token))]
+        if token.endswith(b"\0"):
+            parts[-2:] = [token[-2:]]
+        while len(parts) > 1:
+            rank, at = min((listed.get(pair, len(listed)), i) for i, pair in enumerate(zip(parts, parts[1:])))
+            if rank == len(listed):
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    if len(set(made)) < len(made) or any(b"\0" in m[:-1] for m in made) or any(alone(m) != [m] for m in made):
+        raise ValueError(f"merges of {path} can't be proved to follow their order")
+    letters = sorted(chars, key=chars.get)
+    order = {bytes([chars[c]]): c for c in letters} | {bytes([chars[c]]) + b"\0": c + suffix for c in letters if chars[c]}
+    tokens = [*order.values(), *["".join(pair) if isinstance(pair, list) else pair.replace(" ", "") for pair in model["merges"]]]
+    return {t: k for k, t in enumerate([*order, *made])}, [model["vocab"][t] for t in tokens]
+
+
 def unproved(agrees: Callable[[str], bool]) -> re.Pattern[str]:
     """Pattern for one character outside the blocks for which ``agrees`` holds.
 
