@@ -180,6 +180,29 @@ def newer_activities(raw: DataFrame) -> str:
     return _case_sensitive_write(raw, ["athlete_id", F.array(item).alias(S.ACTIVITY_ENVELOPE)], "newer")
 
 
+def document_lines():
+    """A partition's records as the lines of one document that is an array.
+
+    One line per record, each ended by its comma once the next is seen: the
+    bytes of ``"[" + ",\\n ".join(records) + "\\n]"``, never held at once.
+    """
+
+    def document(batches):
+        held, lead = None, "["
+        for batch in batches:
+            lines = []
+            for r in batch["value"]:
+                if held is not None:
+                    lines.append(lead + held + ",")
+                    lead = " "
+                held = r
+            if lines:
+                yield pd.DataFrame({"value": lines})
+        yield pd.DataFrame({"value": ["[", "]"] if held is None else [lead + held, "]"]})
+
+    return document
+
+
 def whole_documents(raw: DataFrame, table: str, files: int, extra: Sequence[Column] = ()) -> str:
     """The flat source as the export has it: many files, each one document that is an array over several lines."""
     whole = raw.withColumn("user_profile_pk", F.rint("user_profile_pk"))
@@ -187,14 +210,10 @@ def whole_documents(raw: DataFrame, table: str, files: int, extra: Sequence[Colu
     # Extra fields of a newer export: one flat, one nested.
     record = F.to_json(F.struct(*[F.col(c) if isinstance(c, str) else c for c in columns], *(extra or [F.struct(F.lit(1).alias("a")).alias("extraNested")])))
 
-    def document(batches):
-        records = [r for batch in batches for r in batch["value"]]
-        yield pd.DataFrame({"value": ["[" + ",\n ".join(records) + "\n]"]})
-
     path = scratch_path(raw.sparkSession, "documents")
     # A file's records come from one partition; there are as many as asked for.
     spread = whole.select(record.alias("value")).repartition(files)
-    spread.mapInPandas(document, "value string").write.text(path)
+    spread.mapInPandas(document_lines(), "value string").write.text(path)
     return path
 
 
