@@ -102,7 +102,8 @@ def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many files of one array each, read as whole documents by ingest; nested fields go."""
     source = "garmin__training_readiness"
     path = files.whole_documents(spark_raw(spark, sf_dir, source)[source], source, 16)
-    records = readers.read_json(spark, path, f"{schemas.flat_ddl(source)}, athlete_id BIGINT", multi_line=True)
+    # Documents above SPLIT_OVER bytes are read by several tasks, cut at the array's commas.
+    records = readers.read_json(spark, path, f"{schemas.flat_ddl(source)}, athlete_id BIGINT", multi_line=True, split_over=readers.SPLIT_OVER)
     stored = build.write_raw(spark, {source: flatten.flat_table(records, source, ATHLETE)}, scratch_path(spark, "raw"))
     return times_as_text(staging.STAGED[source][1](stored[source], ATHLETE))
 
