@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trainlake.operators.dedupe import latest_per_key
 from trainlake.operators.filters import activity_conditions, all_of, complete_cases, not_in_or_null, present, where_all
 from trainlake.operators.match import best_match
-from trainlake.operators.ordered import ordered_counts, rolling_mean
+from trainlake.operators.ordered import RANGE_ROWS, ordered_counts, ranges, rolling_mean
 from trainlake.operators.pivot import any_row, conditional_pivot
 from trainlake.operators.spine import left_join_spine
 from trainlake.operators.summary import day_span, latest_day, null_counts, present_metrics, row_counts, summarise
@@ -115,6 +115,17 @@ def test_ordered_counts(spark, series, max_rows):
     assert rows(got) == sorted(want, key=repr)
 
 
+def test_ranges_do_not_grow_with_a_small_max_rows(spark):
+    """Ranges, and so tasks, follow the rows per range, not ``max_rows``: 10**7 rows at max_rows=1000 made 20,000."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ranges(spark, 10**7) == max(shuffle, 2 * 10**7 // RANGE_ROWS)
+    assert ranges(spark, 400) == shuffle
+    data, df = numbered(spark, 400)
+    got = ordered_counts(df, [F.col("t").asc(), F.col("i").asc()], {"idx": F.lit(True)}, [], 3)
+    want = [(g, t, i, v, n) for n, (g, t, i, v) in enumerate(sorted(data, key=lambda r: (r[1], r[2])))]
+    assert rows(got) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("points", [1, 2, 7, 28])
 @pytest.mark.parametrize("max_rows", [10**6, 40, 3])
 def test_rolling_mean(spark, points, max_rows):

@@ -17,6 +17,8 @@ from ..session import cut_lineage
 
 # Longest series that one window task may hold.
 SERIES_ROWS = 1_000_000
+# Rows of a range laid out for one task; half as many on average.
+RANGE_ROWS = 1_000_000
 
 
 def longest_series(df: DataFrame, series: Sequence[str]) -> int:
@@ -27,6 +29,12 @@ def longest_series(df: DataFrame, series: Sequence[str]) -> int:
     return sizes.agg(F.max("_n")).first()[0] or 0
 
 
+def ranges(spark, total: int) -> int:
+    """Ranges for ``total`` rows: a task each, so as many as there are shuffle partitions, and one more per
+    ``RANGE_ROWS`` rows.  ``max_rows`` does not set it; a range's window spills, and tasks cost the driver."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * total / RANGE_ROWS))
+
+
 def ordered_counts(
     df: DataFrame,
     order: Sequence[Column],
@@ -50,8 +58,7 @@ def ordered_counts(
 
     spark = df.sparkSession
     total = longest if longest is not None and not series else df.count()
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * total / max_rows))
-    laid = tagged.repartitionByRange(partitions, *[F.col(s).asc() for s in series], *order)
+    laid = tagged.repartitionByRange(ranges(spark, total), *[F.col(s).asc() for s in series], *order)
     # Range bounds are sampled anew on each evaluation; fix them once.
     laid = cut_lineage(laid.withColumn("_part", F.spark_partition_id()))
 
