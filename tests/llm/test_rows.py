@@ -207,3 +207,29 @@ def test_words_merge_by_rank_as_the_library():
         assert list(memoryview(encoder.encode(word)).cast("I")) == library.encode(word, add_special_tokens=False).ids, word
     with pytest.raises(ValueError):
         bytebpe.word_end_ranks(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_words_of_many_texts_are_merged_by_one_call(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, proved = Tokenizer.from_file(path), bytebpe.word_end_ranks(path)
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCÉéüß'!?.,-0123456789"
+    plain = ["".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(3000)]
+    odd = ["don't", "a\x00b", "\x1c", "x y", "\x0b", "ª²", "\U0001f600", "İ", "中文字", ""]
+    texts = [None, "", "  \n", *[" \t".join(rng.choices(plain, k=rng.randint(0, 60))) + rng.choice(["", "\r\n"]) for _ in range(200)]]
+    encoder, calls = packing._Encoder(path, proved), []
+    one, every = encoder.words.make, encoder.merge_all
+    encoder.words.make = lambda word: calls.append(word) or one(word)
+    encoder.merge_all = lambda text, special: calls.append(text) or every(text, special)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [list(memoryview(ids).cast("I")) for ids in encoder.encode_all(texts)] == want
+    assert len(calls) == 1  # not one for every word
+    # Texts that hold special strings, rare characters or very many words, among the others; words forgotten between.
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    monkeypatch.setattr(packing, "GROUP_CHARS", 300)
+    texts += [" ".join(rng.choices([*plain, *odd, "<|endoftext|>"], k=rng.randint(0, 90))) for _ in range(200)]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    encoder = packing._Encoder(path, proved)
+    assert [list(memoryview(ids).cast("I")) for ids in encoder.encode_all(texts)] == want
+    # Without the proof the library merges, text by text.
+    assert [list(memoryview(ids).cast("I")) for ids in packing._Encoder(path).encode_all(texts[:40])] == want[:40]
