@@ -266,3 +266,28 @@ def test_sport_and_tier_reach_the_files(spark, sf):
     plain = lake.activity.drop("_sport", "_tier")
     assert queries.query_activities(plain, "riDe", "2024-01-02", None, "low").summary.first() == answer.summary.first()
     assert not {"_sport", "_tier"} & {*lake.ride.columns, *lake.run.columns}
+
+
+def test_steps_of_a_build_free_their_files(spark, sf, tmp_path):
+    import os
+    import time
+
+    from trainlake.plans import build
+
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {b for b in blocks.mkString(" ").split() if b.startswith("shuffle_")}
+
+    before = shuffled()
+    raw = inputs.spark_raw(spark, sf)
+    lake = build.build(spark, raw, str(tmp_path), inputs.ATHLETE)
+    # Removed by other threads.
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert os.listdir(tmp_path / "intermediate") == []
+    lazy = build.lazy_lake(raw, inputs.ATHLETE).activity
+    written = lake.activity.drop("_sport", "_tier")
+    assert written.columns == lazy.columns and written.count() == lazy.count() > 0
+    assert written.exceptAll(lazy).isEmpty() and lazy.exceptAll(written).isEmpty()

@@ -148,12 +148,16 @@ def build(spark: SparkSession, raw: dict[str, DataFrame], lake: str, keys: Seque
     """Write raw tables and the three marts; staging and the day spine stay lazy views.
 
     The marts are laid out by date, so that date filters on them skip files,
-    and hold sport and tier folded, with Bloom filters.
+    and hold sport and tier folded, with Bloom filters.  The activity mart is
+    written in steps, each of which frees its shuffle files.
     """
     views = lazy_lake(write_raw(spark, raw, lake), keys)
     order = ["activity_date", "activity_id"]
     folded = (filters.FOLDED_SPORT, filters.FOLDED_TIER)
-    stored = {"fct_activity": tables.write_table(filters.with_folded(views.activity), lake, "marts", "fct_activity", order, filtered=folded)}
+    with tables.steps(spark, lake) as step:
+        log, device = views.table("stg_strava__activities"), views.table("stg_garmin__activities")
+        activity = marts.activity(log, device, views.daily, keys, step=step)
+        stored = {"fct_activity": tables.write_table(filters.with_folded(activity), lake, "marts", "fct_activity", order, filtered=folded)}
     for name, mart in (("fct_ride", marts.ride), ("fct_run", marts.run)):
         stored[name] = tables.write_table(mart(stored["fct_activity"].drop(*folded)), lake, "marts", name, order)
     return open_lake(spark, lake, keys, stored)

@@ -11,6 +11,7 @@ from ..functions import metrics as M
 from ..functions.scalars import guarded, to_km, to_kph
 from ..operators.match import PROBE, match_table, with_probe
 from ..operators.spine import left_join_spine
+from ..session import partly_partitioned
 from . import contracts as C
 from . import staging
 
@@ -57,16 +58,20 @@ def activity(
     keys: Sequence[str] = (),
     max_diff_s: float | None = None,
     hot_rows: int | None = None,
+    step: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per logged activity: its best device recording and its day's context.
 
     No limit applies to the time between the two starts unless ``max_diff_s``
     is given.  With ``hot_rows`` the join keys are counted while the plan is
-    built, and those with more rows are joined apart.
+    built, and those with more rows are joined apart.  ``step`` writes a step
+    of the plan and returns it as read back; without it all is one lazy plan.
     """
+    step = step or (lambda df, name: df)
     keys = list(keys)
     base = log.select(*keys, *C.pairs(C.ACTIVITY_COLUMNS))
     asking = with_probe(base, "activity_date", "started_at", "activity_type", C.TYPE_FAMILIES)
+    asking = asking.select(*keys, "activity_date", *[c for c in asking.columns if c not in (*keys, "activity_date")])
     matches = match_table(
         asking,
         device,
@@ -79,10 +84,13 @@ def activity(
         keys=keys,
         max_diff_s=max_diff_s,
     )
-    context = days.select(*keys, F.col(DAY).alias("activity_date"), *C.pairs(C.DAY_CONTEXT_COLUMNS))
+    context = days.select(*keys, F.col(DAY).alias("_day"), *C.pairs(C.DAY_CONTEXT_COLUMNS))
+    # Both joins begin with the day, so that a partitioning by it can serve both.
     # If counted, hot keys are counted on the log itself, which is only a narrow scan.
-    joined = left_join_spine(asking, [context], [*keys, "activity_date"], hot_rows)
-    joined = left_join_spine(joined, [matches], [*keys, *PROBE], hot_rows, measure=asking)
+    joined = left_join_spine(asking, [step(context, "days")], [*keys, "_day"], hot_rows)
+    joined = left_join_spine(joined, [step(matches, "matches")], [*keys, *PROBE], hot_rows, measure=asking)
+    with partly_partitioned(log.sparkSession):
+        joined = step(joined, "joined")
     return joined.withColumns(
         {
             "late_start_utc_risk": M.starts_late(F.col("started_at")),

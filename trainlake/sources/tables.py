@@ -11,12 +11,14 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.summary import row_counts
+from ..session import shuffles_dropped
 
 LAYERS = ("raw", "staging", "intermediate", "marts")
 
@@ -108,7 +110,8 @@ def write_table(
     for column in filtered:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     try:
-        writer.parquet(os.path.join(path, version))
+        with shuffles_dropped(spark):
+            writer.parquet(os.path.join(path, version))
     except BaseException:
         # Only this attempt's own folder.
         folder.remove(version)
@@ -120,6 +123,27 @@ def write_table(
     return spark.read.parquet(os.path.join(path, version))
 
 
+@contextmanager
+def steps(spark: SparkSession, lake: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Inside the block, a function that writes a step of a plan and returns it as read back.
+
+    The shuffle files of a step go when it is written, and the steps when the block ends.
+    """
+    folder = table_path(lake, "intermediate", f"steps-{uuid.uuid4().hex}")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = os.path.join(folder, name)
+        with shuffles_dropped(spark):
+            df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield written
+    finally:
+        # Only this block's own folder.
+        _Folder(spark, folder).remove("")
+
+
 def read_table(spark: SparkSession, lake: str, layer: str, name: str) -> DataFrame:
     """The current version; a folder without a manifest is read as it is."""
     path = table_path(lake, layer, name)
