@@ -291,3 +291,21 @@ def test_steps_of_a_build_free_their_files(spark, sf, tmp_path):
     written = lake.activity.drop("_sport", "_tier")
     assert written.columns == lazy.columns and written.count() == lazy.count() > 0
     assert written.exceptAll(lazy).isEmpty() and lazy.exceptAll(written).isEmpty()
+
+
+def test_raw_rows_are_made_once(spark, tmp_path):
+    from trainlake.plans import build
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(0, 400, 1, 4).selectExpr("id AS device_id", "CAST(DATE'2024-01-01' + CAST(id % 9 AS INT) AS STRING) AS calendar_date")
+    made = df.mapInPandas(counted, df.schema)
+    stored = build.write_raw(spark, {"garmin__training_readiness": made}, str(tmp_path))["garmin__training_readiness"]
+    # Not once more for the bounds of the ranges.
+    assert seen.value == 400
+    assert stored.count() == 400 and stored.select(*df.columns).exceptAll(df).isEmpty()

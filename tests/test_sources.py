@@ -363,3 +363,11 @@ def test_plain_folders_are_still_tables(spark, folder):
     assert tables.read_table(spark, f"{folder}/lake", "raw", "t").count() == 4
     tables.write_table(spark.range(9), f"{folder}/lake", "raw", "t")
     assert tables.read_tables(spark, f"{folder}/lake", "raw", ["t", "none"])["t"].count() == 9
+
+
+def test_known_fields_are_not_looked_for(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a": 1, "b": "x", "c": [1]}, {"b": 2}, [{"a": 3, "d": 4}], {}, 5]')
+    for split_over in (64 << 20, 0):
+        found = discover.fields(spark, str(tmp_path / "*.json"), split_over=split_over)
+        assert found == {"a": "bigint", "b": "string", "c": "nested"}
+        assert discover.fields(spark, str(tmp_path / "*.json"), split_over=split_over, known={"a", "z"}) == {"b": "string", "c": "nested"}

@@ -61,9 +61,9 @@ def read_source(
     extra: list[tuple[str, str, str]] = []
     files = readers.read_json(spark, path, schema, multi_line, base_path, split_over)
     if all_fields and (envelope or not nested) and files.inputFiles():
-        found = discover.fields(spark, path, multi_line, base_path, split_over, envelope)
         fields = schemas.DEVICE_ACTIVITY_FIELDS if envelope else schemas.FLAT_SOURCES[name]
         declared = {schemas.wire_name(n) for n, _ in fields} | set(schemas.PROFILE_KEYS) | set(keys)
+        found = discover.fields(spark, path, multi_line, base_path, split_over, envelope, declared)
         extra = discover.extra_fields(found, declared, [*keys, "user_profile_pk", staging.TYPED_DAY, staging.ROW_HASH, *[n for n, _ in fields]])
         if extra:
             files = readers.read_json(spark, path, discover.widened(schema, extra, envelope), multi_line, base_path, split_over)
@@ -81,14 +81,19 @@ def write_raw(spark: SparkSession, raw: dict[str, DataFrame], lake: str) -> dict
     """Create or replace the raw tables; returns them as read back.
 
     Tables of day grain keep their day as a date and are laid out by it, so
-    that a question about some days reads only their files.
+    that a question about some days reads only their files.  Laying out reads
+    the rows twice, once for the bounds of the ranges, so they are written
+    before instead of having their export files parsed again.
     """
     stored = {}
     with case_sensitive(spark):
         for name, df in raw.items():
             kept = staging.keep_day(df, name)
-            by = (staging.TYPED_DAY, staging.ROW_HASH) if staging.TYPED_DAY in kept.columns else ()
-            stored[name] = tables.write_table(kept, lake, "raw", name, by)
+            if staging.TYPED_DAY in kept.columns:
+                with tables.steps(spark, lake) as step:
+                    stored[name] = tables.write_table(step(kept, name), lake, "raw", name, (staging.TYPED_DAY, staging.ROW_HASH))
+            else:
+                stored[name] = tables.write_table(kept, lake, "raw", name)
     return stored
 
 

@@ -6,7 +6,7 @@ type that holds all its values; only names and types reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +43,9 @@ def fields(
     base_path: str | None = None,
     split_over: int = 64 << 20,
     envelope: str | None = None,
+    known: Collection[str] = (),
 ) -> dict[str, str]:
-    """Name -> type of every field of the records, by name.
+    """Name -> type of every field of the records but the ``known`` ones, by name.
 
     The type is ``bigint``, ``double``, ``boolean`` or ``string`` (also for
     fields whose values differ in kind, or are all null), and ``nested`` as soon
@@ -55,8 +56,11 @@ def fields(
         records = _variants(spark, paths, multi_line, base_path, split_over)
         if envelope is not None:
             records = _elements(records.select(F.variant_get("v", f"$.{envelope}", "variant").alias("v")).filter(F.col("v").isNotNull()))
-        records = records.filter(F.schema_of_variant("v").startswith("OBJECT"))
         each = records.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("key", "value")
+        # Elements of a record that is a list have no key.
+        each = each.filter(F.col("key").isNotNull())
+        if known:
+            each = each.filter(~F.col("key").isin(*sorted(known)))
         kind = F.schema_of_variant("value")
         nested = F.bool_or(kind.startswith("ARRAY") | kind.startswith("OBJECT")).alias("nested")
         found = each.groupBy("key").agg(F.schema_of_variant_agg("value").alias("type"), nested).collect()
